@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -44,66 +45,90 @@ def extract_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(_first_object, na_action="ignore")
 
 
-def _type_name(value: Column) -> Column:
-    """JSON type of a variant; ``undefined`` if the key is absent."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.isNull(), "undefined")
-        .when(name == "VOID", "null")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .otherwise("number")
-    )
+# --- strict types -------------------------------------------------------------------
+#
+# A field is first unpacked into two columns, its variant and its type, so that each is
+# computed once per row however many checks look at it.
 
 
-def field(root: Column, name: str) -> Column:
-    return F.variant_get(root, f"$.{name}", "variant")
+def unpack(frame: DataFrame, root: str, names: list[str], prefix: str) -> DataFrame:
+    """Add ``<prefix><name>`` (variant) and ``<prefix><name>_type`` for the fields of a variant."""
+    values = frame.select("*", *[F.variant_get(root, f"$.{name}", "variant").alias(prefix + name) for name in names])
+    return values.select("*", *[F.schema_of_variant(prefix + name).alias(f"{prefix}{name}_type") for name in names])
 
 
-def _wrong_type(path: str, value: Column, wanted: str) -> Column:
-    return F.when(
-        _type_name(value) != wanted,
-        F.concat(F.lit(f"{path}: Invalid input: expected {wanted}, received "), _type_name(value)),
-    )
+@dataclass(frozen=True)
+class Field:
+    """An unpacked field and the path that its issues are reported under."""
+
+    name: str
+    prefix: str = "_"
+    parent: str = ""
+
+    @property
+    def path(self) -> str:
+        return self.parent + self.name
+
+    @property
+    def value(self) -> Column:
+        return F.col(self.prefix + self.name)
 
+    @property
+    def type(self) -> Column:
+        return F.col(f"{self.prefix}{self.name}_type")
 
-def _as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+    def is_a(self, kind: str) -> Column:
+        found = self.type
+        tests = {
+            "undefined": found.isNull(),
+            "null": found == "VOID",
+            "string": found == "STRING",
+            "boolean": found == "BOOLEAN",
+            "object": found.startswith("OBJECT"),
+            "array": found.startswith("ARRAY"),
+        }
+        if kind == "number":
+            return found.startswith("BIGINT") | found.startswith("DECIMAL") | (found == "DOUBLE")
+        return tests[kind]
 
+    def as_(self, kind: str) -> Column:
+        return F.try_variant_get(self.value, "$", kind)
 
-def string_issue(root: Column, name: str, low: int = 0, high: int | None = None, nullable: bool = False) -> Column:
+    def type_name(self) -> Column:
+        """JSON name of the type; ``undefined`` if the field is absent."""
+        kinds = ("undefined", "null", "string", "boolean", "object", "array")
+        return F.coalesce(*[F.when(self.is_a(kind), kind) for kind in kinds], F.lit("number"))
+
+    def wrong_type(self, wanted: str) -> Column:
+        message = F.concat(F.lit(f"{self.path}: Invalid input: expected {wanted}, received "), self.type_name())
+        return F.when(~F.coalesce(self.is_a(wanted), F.lit(False)), message)
+
+
+def string_issue(field: Field, low: int = 0, high: int | None = None, nullable: bool = False) -> Column:
     """The issue of a string field, NULL if it is fine."""
-    value = field(root, name)
-    length = F.length(_as_text(value))
-    checks = [_wrong_type(name, value, "string")]
+    path, length = field.path, F.length(field.as_("string"))
+    checks = [field.wrong_type("string")]
     if low:
-        checks.append(F.when(length < low, f"{name}: Too small: expected string to have >={low} characters"))
+        checks.append(F.when(length < low, f"{path}: Too small: expected string to have >={low} characters"))
     if high is not None:
-        checks.append(F.when(length > high, f"{name}: Too big: expected string to have <={high} characters"))
+        checks.append(F.when(length > high, f"{path}: Too big: expected string to have <={high} characters"))
     issue = F.coalesce(*checks)
-    return F.when(_type_name(value) != "null", issue) if nullable else issue
+    return F.when(~F.coalesce(field.is_a("null"), F.lit(False)), issue) if nullable else issue
 
 
-def enum_issue(root: Column, name: str, allowed: list[str]) -> Column:
+def enum_issue(field: Field, allowed: list[str]) -> Column:
     options = "|".join(f'"{option}"' for option in allowed)
-    value = field(root, name)
-    known = (_type_name(value) == "string") & _as_text(value).isin(allowed)
-    return F.when(~known, f"{name}: Invalid option: expected one of {options}")
+    known = F.coalesce(field.is_a("string") & field.as_("string").isin(allowed), F.lit(False))
+    return F.when(~known, f"{field.path}: Invalid option: expected one of {options}")
 
 
-def boolean_issue(root: Column, name: str) -> Column:
-    return _wrong_type(name, field(root, name), "boolean")
+def boolean_issue(field: Field) -> Column:
+    return field.wrong_type("boolean")
 
 
-def number_issue(
-    root: Column, name: str, low: float, high: float | None = None, whole: bool = False, path: str | None = None
-) -> Column:
-    path = path or name
-    value = field(root, name)
-    number = F.try_variant_get(value, "$", "double")
-    checks = [_wrong_type(path, value, "number")]
+def number_issue(field: Field, low: float, high: float | None = None, whole: bool = False) -> Column:
+    path, number = field.path, field.as_("double")
+    checks = [field.wrong_type("number")]
     if whole:
         checks.append(F.when(number != F.floor(number), f"{path}: Invalid input: expected int, received number"))
     checks.append(F.when(number < low, f"{path}: Too small: expected number to be >={low:g}"))
@@ -112,65 +137,55 @@ def number_issue(
     return F.coalesce(*checks)
 
 
-def _files_issue(root: Column, name: str) -> Column:
-    value = field(root, name)
-    items = F.try_variant_get(value, "$", "array<variant>")
-    bad_type = F.exists(items, lambda item: _type_name(item) != "string")
-    too_long = F.exists(items, lambda item: F.length(_as_text(item)) > 400)
+def strings_issue(field: Field, longest: int, most: int) -> Column:
+    """The issue of a list of strings."""
+    path, items = field.path, field.as_("array<variant>")
+    bad_type = F.exists(items, lambda item: F.schema_of_variant(item) != "STRING")
+    too_long = F.exists(items, lambda item: F.length(F.try_variant_get(item, "$", "string")) > longest)
     return F.coalesce(
-        _wrong_type(name, value, "array"),
-        F.when(bad_type, f"{name}: Invalid input: expected string"),
-        F.when(too_long, f"{name}: Too big: expected string to have <=400 characters"),
-        F.when(F.size(items) > 50, f"{name}: Too big: expected array to have <=50 items"),
+        field.wrong_type("array"),
+        F.when(bad_type, f"{path}: Invalid input: expected string"),
+        F.when(too_long, f"{path}: Too big: expected string to have <={longest} characters"),
+        F.when(F.size(items) > most, f"{path}: Too big: expected array to have <={most} items"),
     )
 
 
-def answer_issues(root: Column, agent: str) -> Column:
-    """All issues of a parsed answer (a variant) of one agent, empty if it is valid."""
+ANSWER_FIELDS = {
+    "classifier": ["severity", "summary", "isRealIncident", "affectedArea"],
+    "correlator": ["suspectedCommitSha", "confidence", "reasoning", "changedFilesImplicated"],
+    "root_cause": ["explainsTheFailure", "rootCause", "suggestedFix", "confidence"],
+}
+
+
+def answer_issues(agent: str) -> Column:
+    """All issues of an answer with unpacked ``ANSWER_FIELDS``, empty if it is valid."""
+    first, second, third, fourth = (Field(name) for name in ANSWER_FIELDS[agent])
     if agent == "classifier":
         found = [
-            enum_issue(root, "severity", V.SEVERITIES),
-            string_issue(root, "summary", 10, 1000),
-            boolean_issue(root, "isRealIncident"),
-            string_issue(root, "affectedArea", 0, 200),
+            enum_issue(first, V.SEVERITIES),
+            string_issue(second, 10, 1000),
+            boolean_issue(third),
+            string_issue(fourth, 0, 200),
         ]
     elif agent == "correlator":
         found = [
-            string_issue(root, "suspectedCommitSha", 7, 40, nullable=True),
-            number_issue(root, "confidence", 0, 1),
-            string_issue(root, "reasoning", 10, 2000),
-            _files_issue(root, "changedFilesImplicated"),
+            string_issue(first, 7, 40, nullable=True),
+            number_issue(second, 0, 1),
+            string_issue(third, 10, 2000),
+            strings_issue(fourth, 400, 50),
         ]
-    elif agent == "root_cause":
+    else:
         found = [
-            boolean_issue(root, "explainsTheFailure"),
-            string_issue(root, "rootCause", 10, 2000),
-            string_issue(root, "suggestedFix", 10, 4000),
-            number_issue(root, "confidence", 0, 1),
+            boolean_issue(first),
+            string_issue(second, 10, 2000),
+            string_issue(third, 10, 4000),
+            number_issue(fourth, 0, 1),
         ]
-    else:
-        raise ValueError(f"unknown agent {agent!r}")
     return F.array_compact(F.array(*found))
 
 
 def is_object(root: Column) -> Column:
-    return F.coalesce(_type_name(root) == "object", F.lit(False))
-
-
-def text_field(root: Column, name: str) -> Column:
-    return F.try_variant_get(root, f"$.{name}", "string")
-
-
-def number_field(root: Column, name: str) -> Column:
-    return F.try_variant_get(root, f"$.{name}", "double")
-
-
-def boolean_field(root: Column, name: str) -> Column:
-    return F.try_variant_get(root, f"$.{name}", "boolean")
-
-
-def list_field(root: Column, name: str) -> Column:
-    return F.try_variant_get(root, f"$.{name}", "array<string>")
+    return F.coalesce(F.schema_of_variant(root).startswith("OBJECT"), F.lit(False))
 
 
 def sha_matches(answer: Column, expected: Column) -> Column:

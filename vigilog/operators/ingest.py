@@ -9,7 +9,11 @@ from vigilog import fixed_values as V
 from vigilog.functions import answers as A
 from vigilog.functions import text
 
-_KNOWN_METADATA = ["requestId", "endpoint", "method", "statusCode", "latencyMs", "errorType", "stack"]
+_ENTRY = ["timestamp", "service", "level", "message", "metadata"]
+_METADATA = ["requestId", "endpoint", "method", "statusCode", "latencyMs", "errorType", "stack"]
+
+_TIMESTAMP, _SERVICE, _LEVEL, _MESSAGE, _META = (A.Field(name, "_e_") for name in _ENTRY)
+_KNOWN = {name: A.Field(name, "_m_", "metadata.") for name in _METADATA}
 
 
 def check_envelopes(batches: DataFrame) -> DataFrame:
@@ -17,28 +21,26 @@ def check_envelopes(batches: DataFrame) -> DataFrame:
 
     The body must be an object with 1 to 1000 entries; the key, if any, must be well formed.
     """
-    parsed = batches.withColumn("_body", F.try_parse_json("body"))
-    entries = F.try_variant_get(A.field(F.col("_body"), "entries"), "$", "array<variant>")
-    kind = A._type_name(A.field(F.col("_body"), "entries"))
-    key = F.trim("idempotency_key")
+    parsed = A.unpack(batches.withColumn("_body", F.try_parse_json("body")), "_body", ["entries"], "_")
+    entries, key = A.Field("entries"), F.trim("idempotency_key")
     return (
-        parsed.withColumn("entries", entries)
+        parsed.withColumn("_entries", entries.as_("array<variant>"))
         .withColumn(
             "batch_error",
-            F.when(
-                F.col("idempotency_key").isNotNull() & ~text.valid_idempotency_key(key),
-                "invalid_idempotency_key",
-            )
-            .when(~A.is_object(F.col("_body")), "Invalid input: expected object")
-            .when(kind != "array", F.concat(F.lit("entries: Invalid input: expected array, received "), kind))
-            .when(F.size("entries") < 1, "entries: Too small: expected array to have >=1 items")
-            .when(
-                F.size("entries") > V.MAX_BATCH_ENTRIES,
-                f"entries: Too big: expected array to have <={V.MAX_BATCH_ENTRIES} items",
+            F.coalesce(
+                F.when(key.isNotNull() & ~text.valid_idempotency_key(key), "invalid_idempotency_key"),
+                F.when(~A.is_object(F.col("_body")), "Invalid input: expected object"),
+                entries.wrong_type("array"),
+                F.when(F.size("_entries") < 1, "entries: Too small: expected array to have >=1 items"),
+                F.when(
+                    F.size("_entries") > V.MAX_BATCH_ENTRIES,
+                    f"entries: Too big: expected array to have <={V.MAX_BATCH_ENTRIES} items",
+                ),
             ),
         )
         .withColumn("idempotency_key", key)
-        .drop("_body")
+        .drop("_body", "_entries_type")
+        .withColumnRenamed("_entries", "entries")
     )
 
 
@@ -50,76 +52,71 @@ def explode_entries(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def _timestamp(entry: Column) -> Column:
+_ISO = (
+    r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?"
+    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+)
+# Beyond this many milliseconds no calendar date exists.
+_LAST_MILLIS = 8.64e15
+
+
+def _entry_time() -> Column:
     """Instant of an entry: ISO text (UTC if it has no offset) or epoch milliseconds."""
-    value = A.field(entry, "timestamp")
-    raw = F.try_variant_get(value, "$", "string")
-    millis = F.try_variant_get(value, "$", "double")
-    iso = raw.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
-    # Beyond this many milliseconds no calendar date exists.
-    in_range = F.abs(millis) <= 8.64e15
+    raw, millis = _TIMESTAMP.as_("string"), _TIMESTAMP.as_("double")
     return F.when(
-        A._type_name(value) == "number",
-        F.when(in_range, F.timestamp_millis(F.when(in_range, millis).try_cast("long"))),
-    ).when((A._type_name(value) == "string") & iso, F.try_to_timestamp(raw))
+        _TIMESTAMP.is_a("number"),
+        F.timestamp_millis(F.when(F.abs(millis) <= _LAST_MILLIS, millis).try_cast("long")),
+    ).when(_TIMESTAMP.is_a("string") & raw.rlike(_ISO), F.try_to_timestamp(raw))
 
 
-def _old(entry: Column) -> Column:
+def _too_old() -> Column:
     """Before 2000. JSON null and booleans read as instants of 1970."""
-    kind = A._type_name(A.field(entry, "timestamp"))
-    limit = F.timestamp_seconds(F.lit(946_684_800))
-    return kind.isin("null", "boolean") | F.coalesce(_timestamp(entry) < limit, F.lit(False))
-
-
-def _metadata_issue(entry: Column) -> Column:
-    metadata = A.field(entry, "metadata")
-    kind = A._type_name(metadata)
-
-    def optional_text(name: str, high: int) -> Column:
-        issue = A.string_issue(metadata, name, 0, high)
-        return F.when(A._type_name(A.field(metadata, name)) != "undefined", F.concat(F.lit("metadata."), issue))
-
-    def optional_number(name: str, low: float, high: float, whole: bool) -> Column:
-        issue = A.number_issue(metadata, name, low, high, whole)
-        return F.when(A._type_name(A.field(metadata, name)) != "undefined", F.concat(F.lit("metadata."), issue))
-
-    size = F.length(F.to_json(metadata))
+    epoch = _TIMESTAMP.is_a("null") | _TIMESTAMP.is_a("boolean")
+    old = F.col("timestamp") < F.timestamp_seconds(F.lit(946_684_800))
+    return F.coalesce(epoch, F.lit(False)) | F.coalesce(old, F.lit(False))
+
+
+def _metadata_issue() -> Column:
+    def optional(name: str, issue: Column) -> Column:
+        return F.when(~_KNOWN[name].is_a("undefined"), issue)
+
+    longest = {"requestId": 128, "endpoint": 256, "method": 16, "errorType": 128, "stack": 8192}
+    numbers = {
+        "statusCode": A.number_issue(_KNOWN["statusCode"], 100, 599, whole=True),
+        "latencyMs": A.number_issue(_KNOWN["latencyMs"], 0, 600_000),
+    }
+    issues = [
+        optional(name, numbers[name] if name in numbers else A.string_issue(_KNOWN[name], 0, longest[name]))
+        for name in _METADATA
+    ]
+    size = F.length(F.to_json(_META.value))
     return F.when(
-        kind != "undefined",
+        ~_META.is_a("undefined"),
         F.coalesce(
-            F.when(kind != "object", F.concat(F.lit("metadata: Invalid input: expected object, received "), kind)),
-            optional_text("requestId", 128),
-            optional_text("endpoint", 256),
-            optional_text("method", 16),
-            optional_number("statusCode", 100, 599, True),
-            optional_number("latencyMs", 0, 600_000, False),
-            optional_text("errorType", 128),
-            optional_text("stack", 8192),
-            F.when(size > V.MAX_METADATA_CHARS, V.REASON_METADATA_SIZE),
+            _META.wrong_type("object"), *issues, F.when(size > V.MAX_METADATA_CHARS, V.REASON_METADATA_SIZE)
         ),
     )
 
 
 def validate_entries(entries: DataFrame, now: Column) -> DataFrame:
-    """Add the typed fields and ``reason``: the first issue of a row, NULL if it is accepted."""
-    entry = F.col("entry")
-    is_object = A.is_object(entry)
-    message = A.text_field(entry, "message")
-    service = A.text_field(entry, "service")
-    typed = entries.withColumn("timestamp", _timestamp(entry))
+    """Add ``timestamp``, the unpacked fields, and ``reason``: the first issue, NULL if accepted."""
+    unpacked = A.unpack(entries, "entry", _ENTRY, "_e_")
+    unpacked = A.unpack(unpacked, "_e_metadata", _METADATA, "_m_").withColumn("timestamp", _entry_time())
+    service, message = _SERVICE.as_("string"), _MESSAGE.as_("string")
+    bad_name = ~service.rlike(V.SERVICE_NAME) | F.contains(service, F.lit("\n"))
     reason = F.coalesce(
-        F.when(~is_object, "Invalid input: expected object"),
-        F.when(_old(entry), V.REASON_TIMESTAMP_OLD),
+        F.when(~A.is_object(F.col("entry")), "Invalid input: expected object"),
+        F.when(_too_old(), V.REASON_TIMESTAMP_OLD),
         F.when(F.col("timestamp").isNull(), V.REASON_TIMESTAMP_INVALID),
-        A.string_issue(entry, "service", 1, 64),
-        F.when(~service.rlike(V.SERVICE_NAME) | F.contains(service, F.lit("\n")), V.REASON_SERVICE_PATTERN),
-        A.enum_issue(entry, "level", V.LEVELS),
-        A.string_issue(entry, "message", 1, 4096),
-        _metadata_issue(entry),
+        A.string_issue(_SERVICE, 1, 64),
+        F.when(bad_name, V.REASON_SERVICE_PATTERN),
+        A.enum_issue(_LEVEL, V.LEVELS),
+        A.string_issue(_MESSAGE, 1, 4096),
+        _metadata_issue(),
         reject_future(F.col("timestamp"), now),
         reject_blank(message),
     )
-    return typed.withColumn("reason", reason)
+    return unpacked.withColumn("reason", reason)
 
 
 def reject_future(timestamp: Column, now: Column) -> Column:
@@ -132,49 +129,47 @@ def reject_blank(message: Column) -> Column:
 
 
 def sanitize_metadata(metadata: Column) -> Column:
-    """Typed metadata of an entry; invisibles are stripped from top-level strings only.
+    """Typed metadata of an entry (a variant); only top-level strings are stripped of invisibles.
 
     Keys without a column of their own stay together as JSON in ``extra``.
     """
 
     def clean(name: str) -> Column:
-        return text.strip_invisible(A.text_field(metadata, name))
+        return text.strip_invisible(F.try_variant_get(metadata, f"$.{name}", "string")).alias(name)
 
-    keys = F.try_variant_get(metadata, "$", "map<string,variant>")
-    extra = F.map_filter(keys, lambda key, _: ~key.isin(_KNOWN_METADATA))
+    fields = F.try_variant_get(metadata, "$", "map<string,variant>")
+    extra = F.map_filter(fields, lambda key, _: ~key.isin(_METADATA))
     cleaned = F.transform_values(
         extra,
         lambda _, value: F.when(
-            A._type_name(value) == "string",
+            F.schema_of_variant(value) == "STRING",
             text.strip_invisible(F.try_variant_get(value, "$", "string")).cast("variant"),
         ).otherwise(value),
     )
     return F.struct(
-        clean("requestId").alias("requestId"),
-        clean("endpoint").alias("endpoint"),
-        clean("method").alias("method"),
+        clean("requestId"), clean("endpoint"), clean("method"),
         F.try_variant_get(metadata, "$.statusCode", "int").alias("statusCode"),
         F.try_variant_get(metadata, "$.latencyMs", "double").alias("latencyMs"),
-        clean("errorType").alias("errorType"),
-        clean("stack").alias("stack"),
+        clean("errorType"), clean("stack"),
         F.when(F.size(extra) > 0, F.to_json(cleaned)).alias("extra"),
     )
 
 
 def accepted_logs(validated: DataFrame) -> DataFrame:
     """Rows for the log table. Arrival time and position give the ingest order."""
-    message = text.strip_invisible(A.text_field(F.col("entry"), "message"))
-    level = A.text_field(F.col("entry"), "level")
     order = F.unix_micros("received_at") * V.MAX_BATCH_ENTRIES + F.col("index")
-    return validated.where(F.col("reason").isNull()).select(
+    rows = validated.where(F.col("reason").isNull()).select(
         order.cast("long").alias("ingest_seq"),
         "timestamp",
-        A.text_field(F.col("entry"), "service").alias("service"),
-        level.alias("level"),
-        message.alias("message"),
-        text.signature_for(level, message).alias("error_signature"),
-        sanitize_metadata(A.field(F.col("entry"), "metadata")).alias("metadata"),
-        F.to_date("timestamp").alias("dt"),
+        _SERVICE.as_("string").alias("service"),
+        _LEVEL.as_("string").alias("level"),
+        text.strip_invisible(_MESSAGE.as_("string")).alias("message"),
+        sanitize_metadata(_META.value).alias("metadata"),
+    )
+    return rows.select(
+        "ingest_seq", "timestamp", "service", "level", "message",
+        text.signature_for(F.col("level"), F.col("message")).alias("error_signature"),
+        "metadata", F.to_date("timestamp").alias("dt"),
     )
 
 

@@ -19,42 +19,42 @@ def parse_responses(responses: DataFrame, agent: str, text: str = "response") ->
     Types are checked strictly: a number is not taken for a string, and an absent field is
     not taken for an explicit null.
     """
-    parsed = responses.withColumn("_json", A.extract_json_object(F.col(text))).withColumn(
+    objects = responses.withColumn("_json", A.extract_json_object(F.col(text))).withColumn(
         "answer", F.try_parse_json("_json")
     )
-    issues = F.when(A.is_object(F.col("answer")), A.answer_issues(F.col("answer"), agent)).otherwise(
-        F.array(F.lit(_UNPARSEABLE))
-    )
-    return parsed.withColumn("issues", issues).drop("_json")
+    unpacked = A.unpack(objects, "answer", A.ANSWER_FIELDS[agent], "_")
+    issues = F.when(A.is_object(F.col("answer")), A.answer_issues(agent)).otherwise(F.array(F.lit(_UNPARSEABLE)))
+    return unpacked.select(*responses.columns, "answer", issues.alias("issues"))
+
+
+_ANSWER_COLUMNS = {
+    "classifier": [
+        ("severity", "severity", "string"), ("summary", "summary", "string"),
+        ("isRealIncident", "is_real_incident", "boolean"), ("affectedArea", "affected_area", "string"),
+    ],
+    "correlator": [
+        ("suspectedCommitSha", "suspected_commit_sha", "string"), ("confidence", "confidence", "double"),
+        ("reasoning", "reasoning", "string"), ("changedFilesImplicated", "implicated_files", "array<string>"),
+    ],
+    "root_cause": [
+        ("explainsTheFailure", "explains_the_failure", "boolean"), ("rootCause", "root_cause", "string"),
+        ("suggestedFix", "suggested_fix", "string"), ("confidence", "confidence", "double"),
+    ],
+}
+
+
+def typed_answers(parsed: DataFrame, agent: str) -> DataFrame:
+    """Typed columns of every answer, NULL where it is not valid; ``issues`` stays."""
+    rest = [c for c in parsed.columns if c != "answer"]
+    columns = [
+        F.when(F.size("issues") == 0, F.try_variant_get("answer", f"$.{name}", kind)).alias(alias)
+        for name, alias, kind in _ANSWER_COLUMNS[agent]
+    ]
+    return parsed.select(*rest, *columns)
 
 
 def valid_answers(parsed: DataFrame, agent: str) -> DataFrame:
-    """Typed columns of the valid answers of one agent."""
-    answer = F.col("answer")
-    ok = parsed.where(F.size("issues") == 0)
-    rest = [c for c in parsed.columns if c not in ("answer", "issues")]
-    if agent == "classifier":
-        columns = [
-            A.text_field(answer, "severity").alias("severity"),
-            A.text_field(answer, "summary").alias("summary"),
-            A.boolean_field(answer, "isRealIncident").alias("is_real_incident"),
-            A.text_field(answer, "affectedArea").alias("affected_area"),
-        ]
-    elif agent == "correlator":
-        columns = [
-            A.text_field(answer, "suspectedCommitSha").alias("suspected_commit_sha"),
-            A.number_field(answer, "confidence").alias("confidence"),
-            A.text_field(answer, "reasoning").alias("reasoning"),
-            A.list_field(answer, "changedFilesImplicated").alias("implicated_files"),
-        ]
-    else:
-        columns = [
-            A.boolean_field(answer, "explainsTheFailure").alias("explains_the_failure"),
-            A.text_field(answer, "rootCause").alias("root_cause"),
-            A.text_field(answer, "suggestedFix").alias("suggested_fix"),
-            A.number_field(answer, "confidence").alias("confidence"),
-        ]
-    return ok.select(*rest, *columns)
+    return typed_answers(parsed, agent).where(F.size("issues") == 0).drop("issues")
 
 
 def failed_answers(parsed: DataFrame) -> DataFrame:

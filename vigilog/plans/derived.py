@@ -59,7 +59,7 @@ class Derived:
     def firings(self) -> DataFrame:
         """What fired over the whole history, and the silence after its end."""
         silence = detect.silence_firings(self.lines, now(), EVENTS_CONFIG)
-        return detect.firings(self.statuses).unionByName(silence)
+        return staged(detect.firings(self.statuses).unionByName(silence))
 
     @cached_property
     def incidents(self) -> DataFrame:

@@ -642,9 +642,12 @@ def extracted_json(d: Derived) -> DataFrame:
 @registered
 def parsed_classifications(d: Derived) -> DataFrame:
     parsed = verdicts.parse_responses(classifier_responses(d), "classifier")
-    valid = verdicts.valid_answers(parsed, "classifier").select("order_key", "severity", "summary", "is_real_incident", "affected_area")
-    issues = parsed.select("order_key", joined(F.col("issues"), "\n").alias("issues"))
-    return issues.join(valid, "order_key", "left")
+    return flat_answers(parsed, "classifier")
+
+
+def flat_answers(parsed: DataFrame, agent: str) -> DataFrame:
+    typed = verdicts.typed_answers(parsed, agent).withColumn("issues", joined(F.col("issues"), "\n"))
+    return typed.drop("response")
 
 
 @registered
@@ -660,11 +663,7 @@ def parsed_correlations(d: Derived) -> DataFrame:
         F.lit("}"),
     )
     parsed = verdicts.parse_responses(d.table("orders").select(key.alias("order_key"), response.alias("response")), "correlator")
-    valid = verdicts.valid_answers(parsed, "correlator").select(
-        "order_key", "suspected_commit_sha", "confidence", "reasoning", joined(F.col("implicated_files")).alias("implicated_files")
-    )
-    issues = parsed.select("order_key", joined(F.col("issues"), "\n").alias("issues"))
-    return issues.join(valid, "order_key", "left")
+    return flat_answers(parsed, "correlator").withColumn("implicated_files", joined(F.col("implicated_files")))
 
 
 @registered
@@ -678,9 +677,7 @@ def parsed_hypotheses(d: Derived) -> DataFrame:
         F.lit(', "confidence": '), F.when(flaw == 4, "-0.5").otherwise("0.5"), F.lit("}"),
     )
     parsed = verdicts.parse_responses(d.table("orders").select(key.alias("order_key"), response.alias("response")), "root_cause")
-    valid = verdicts.valid_answers(parsed, "root_cause").select("order_key", "explains_the_failure", "root_cause", "suggested_fix", "confidence")
-    issues = parsed.select("order_key", joined(F.col("issues"), "\n").alias("issues"))
-    return issues.join(valid, "order_key", "left")
+    return flat_answers(parsed, "root_cause")
 
 
 @registered

@@ -108,5 +108,5 @@ def calls_from_conversations(conversations: DataFrame) -> DataFrame:
         (size * 3 + turn).alias("latency_ms"),
         F.greatest(size % 4 - 1, F.lit(0)).cast("long").alias("repair_attempts"),
         (size % 4 != 3).alias("succeeded"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + conv % 2_000 * 1_237 + turn * 61).alias("created_at"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + conv * 12_101 % 1_209_600 + turn * 61).alias("created_at"),
     )
