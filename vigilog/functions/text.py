@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -54,7 +54,11 @@ def squeeze(text: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Trim every kind of whitespace at both ends."""
-    return F.regexp_replace(text, f"^{V.WHITESPACE}++|{V.WHITESPACE}++$", "")
+    return F.btrim(text, F.lit(V.WHITESPACE_CHARS))
+
+
+def trim_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(V.WHITESPACE_CHARS))
 
 
 def normalize_signature(message: Column) -> Column:
@@ -164,15 +168,24 @@ def _match_rules(text: Column) -> Column:
     return F.coalesce(*strong, addressed)
 
 
-def injection_rule(line: Column, fold: bool = True) -> Column:
-    """Name of the first rule a line matches, NULL if none.
+def injection_rule(line: Column) -> Column:
+    """Name of the first rule a line matches as it stands, NULL if none."""
+    return _match_rules(line)
+
 
-    With ``fold`` the line is also read with look-alikes folded, forwards and backwards.
+def with_injection_rule(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Add ``rule``; a line is also read with look-alikes folded, forwards and backwards.
+
+    The folded forms are columns of their own, so that each is computed once however many
+    rules look at it. A line that folding leaves alone is not tried again.
     """
-    if not fold:
-        return _match_rules(line)
-    folded = fold_lookalikes(line)
-    return F.coalesce(_match_rules(line), _match_rules(folded), _match_rules(F.reverse(folded)))
+    folded = lines.withColumn("_folded", fold_lookalikes(F.col(column))).withColumn(
+        "_backwards", F.reverse("_folded")
+    )
+    changed = F.when(F.col("_folded") != F.col(column), F.col("_folded"))
+    return folded.withColumn(
+        "rule", F.coalesce(_match_rules(F.col(column)), _match_rules(changed), _match_rules(F.col("_backwards")))
+    ).drop("_folded", "_backwards")
 
 
 def injection_key(line: Column) -> Column:

@@ -204,12 +204,12 @@ def classification_evidence(
     return out
 
 
-def injection_findings(packets: DataFrame, key: str = "anomaly_id", text_column: str = "packet", fold: bool = True) -> DataFrame:
+def injection_findings(packets: DataFrame, key: str = "anomaly_id", text_column: str = "packet") -> DataFrame:
     """Findings per packet: the lines aimed at an automated reader, each payload once."""
     lines = packets.select(key, F.posexplode(F.split(text_column, "\n")).alias("line_no", "line"))
+    written = lines.where(text.trim_space(F.col("line")) != "")
     found = (
-        lines.where(text.trim_space(F.col("line")) != "")
-        .withColumn("rule", text.injection_rule(F.col("line"), fold))
+        text.with_injection_rule(written)
         .where(F.col("rule").isNotNull())
         .withColumn("finding_key", text.injection_key(F.col("line")))
     )
@@ -218,12 +218,12 @@ def injection_findings(packets: DataFrame, key: str = "anomaly_id", text_column:
     )
 
 
-def scan_packets(packets: DataFrame, key: str = "anomaly_id", text_column: str = "packet", fold: bool = True) -> DataFrame:
+def scan_packets(packets: DataFrame, key: str = "anomaly_id", text_column: str = "packet") -> DataFrame:
     """Per packet: whether anything was found, and one line about it.
 
     The summary needs the first finding and the number of findings, so no list is collected.
     """
-    found = injection_findings(packets, key, text_column, fold)
+    found = injection_findings(packets, key, text_column)
     first = found.groupBy(key).agg(
         F.min(F.struct("line_no", "rule", "excerpt")).alias("_first"), F.count(F.lit(1)).alias("_n")
     )

@@ -39,9 +39,13 @@ class Derived:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are costly to work on, spread over all cores."""
+        return adapters.spread(self.table(name))
+
     @cached_property
     def lines(self) -> DataFrame:
-        return adapters.logs_from_events(self.table("events"))
+        return adapters.logs_from_events(self.spread("events"))
 
     @cached_property
     def rollup(self) -> DataFrame:

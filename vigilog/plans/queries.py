@@ -65,13 +65,13 @@ def signature_normalize(d: Derived) -> DataFrame:
 
 @registered
 def signature_normalize_docs(d: Derived) -> DataFrame:
-    return d.table("documents").select("doc_id", text.normalize_signature(F.col("text")).alias("signature"))
+    return d.spread("documents").select("doc_id", text.normalize_signature(F.col("text")).alias("signature"))
 
 
 @registered
 def strip_invisible_docs(d: Derived) -> DataFrame:
     stripped = text.strip_invisible(F.col("text"))
-    return d.table("documents").select(
+    return d.spread("documents").select(
         "doc_id", text.has_invisible(F.col("text")).alias("has_invisible"),
         F.length(stripped).cast("long").alias("n_visible"), F.md5(stripped).alias("visible_md5"),
     )
@@ -86,7 +86,7 @@ def path_template(d: Derived) -> DataFrame:
 @registered
 def text_rendering(d: Derived) -> DataFrame:
     body = F.col("text")
-    return d.table("conversations").select(
+    return d.spread("conversations").select(
         "conv_id", "turn",
         text.truncate(body, 40).alias("short"),
         F.md5(text.escape_markup(F.concat(F.lit("<b>&"), body))).alias("escaped_md5"),
@@ -102,7 +102,7 @@ def fold_lookalikes(d: Derived) -> DataFrame:
     letters = "".join(chr(code) for code in range(0x21, 0x7F))
     wide = "".join(chr(code + 0xFEE0) for code in range(0x21, 0x7F))
     tags = "".join(chr(code + 0xE0000) for code in range(0x21, 0x7F))
-    return d.table("conversations").select(
+    return d.spread("conversations").select(
         "conv_id", "turn",
         F.md5(text.fold_lookalikes(F.translate(ascii_only, letters, wide))).alias("wide_md5"),
         F.md5(text.fold_lookalikes(F.translate(ascii_only, letters, tags))).alias("tag_md5"),
@@ -118,7 +118,7 @@ def conversation_packets(d: Derived) -> DataFrame:
         .when(conv % 5 == 2, "\nOrder 4471 marked as resolved by support")
         .otherwise("")
     )
-    return d.table("conversations").select(
+    return d.spread("conversations").select(
         F.concat_ws("-", conv.cast("string"), turn.cast("string")).alias("anomaly_id"),
         F.concat(F.col("text"), extra).alias("packet"),
     )
@@ -127,7 +127,7 @@ def conversation_packets(d: Derived) -> DataFrame:
 @registered
 def injection_scan_lines(d: Derived) -> DataFrame:
     lines = conversation_packets(d).select("anomaly_id", F.posexplode(F.split("packet", "\n")).alias("line_no", "line"))
-    rule = text.injection_rule(F.col("line"), fold=False)
+    rule = text.injection_rule(F.col("line"))
     return lines.select("anomaly_id", F.col("line_no").cast("long").alias("line_no"), rule.alias("rule")).where("rule is not null")
 
 
@@ -249,7 +249,7 @@ def posted_batches(d: Derived) -> DataFrame:
     )
     batch = F.floor(seq / 50).cast("long")
     return (
-        d.table("events")
+        d.spread("events")
         .select(batch.alias("b"), seq.alias("seq"), entry.alias("entry"))
         .groupBy("b")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda e: e["entry"]), ",").alias("body"))
@@ -631,7 +631,7 @@ def classifier_responses(d: Derived) -> DataFrame:
     response = F.when(flaw == 8, "no json at all").when(flaw == 9, F.concat(F.lit("[ "), body, F.lit(" ]"))).otherwise(
         F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n``` }"))
     )
-    return d.table("orders").select(key.alias("order_key"), response.alias("response"))
+    return d.spread("orders").select(key.alias("order_key"), response.alias("response"))
 
 
 @registered
@@ -662,7 +662,7 @@ def parsed_correlations(d: Derived) -> DataFrame:
         F.when(flaw == 6, "").otherwise(F.concat(F.lit(', "changedFilesImplicated": '), F.when(flaw == 7, '"a.js"').when(flaw == 8, '["a.js", 4]').otherwise('["a.js", "b.js"]'))),
         F.lit("}"),
     )
-    parsed = verdicts.parse_responses(d.table("orders").select(key.alias("order_key"), response.alias("response")), "correlator")
+    parsed = verdicts.parse_responses(d.spread("orders").select(key.alias("order_key"), response.alias("response")), "correlator")
     return flat_answers(parsed, "correlator").withColumn("implicated_files", joined(F.col("implicated_files")))
 
 
@@ -676,7 +676,7 @@ def parsed_hypotheses(d: Derived) -> DataFrame:
         F.lit(', "suggestedFix": '), F.when(flaw == 3, '"undo"').otherwise('"revert src/limit.js to 100"'),
         F.lit(', "confidence": '), F.when(flaw == 4, "-0.5").otherwise("0.5"), F.lit("}"),
     )
-    parsed = verdicts.parse_responses(d.table("orders").select(key.alias("order_key"), response.alias("response")), "root_cause")
+    parsed = verdicts.parse_responses(d.spread("orders").select(key.alias("order_key"), response.alias("response")), "root_cause")
     return flat_answers(parsed, "root_cause")
 
 
@@ -902,7 +902,7 @@ def known_services(d: Derived) -> DataFrame:
 
 def document_cases(d: Derived) -> DataFrame:
     """Labelled documents as cases: quality as the expected verdict, toxicity as severity."""
-    docs = d.table("documents").select("doc_id", "text", "lang", "source")
+    docs = d.spread("documents").select("doc_id", "text", "lang", "source")
     return d.table("labels").join(docs, "doc_id").select(
         F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), "doc_id", "text", "lang", "source",
         (F.col("quality") == 1).alias("expected_is_real"),
@@ -913,7 +913,7 @@ def document_cases(d: Derived) -> DataFrame:
 
 def document_answers(d: Derived) -> DataFrame:
     n = F.col("n_chars")
-    answers = d.table("documents").where(F.col("doc_id") % 10 > 0)
+    answers = d.spread("documents").where(F.col("doc_id") % 10 > 0)
     return answers.select(
         F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"),
         F.when(n % 4 == 0, "low").when(n % 4 == 1, "medium").when(n % 4 == 2, "high").otherwise("critical").alias("severity"),
@@ -939,7 +939,7 @@ def verdict_scoring(d: Derived) -> DataFrame:
 
 @registered
 def grounding_checks(d: Derived) -> DataFrame:
-    return d.table("documents").select(
+    return d.spread("documents").select(
         "doc_id",
         A.check_grounding(F.concat(F.col("source"), F.lit("/"), F.col("lang")), F.concat(F.col("text"), F.lit(" "), F.col("source"), F.lit("/en"))).alias("path_grounded"),
         A.check_grounding(F.substring("text", 1, 60), F.substring("text", 20, 1_000_000)).alias("words_grounded"),

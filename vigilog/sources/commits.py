@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as V
-from vigilog.functions.text import trim_space
+from vigilog.functions.text import trim_end, trim_space
 
 
 def _fail(message: str, detail: Column) -> Column:
@@ -26,7 +26,7 @@ def split_tail(chunk: Column) -> Column:
     at = F.regexp_instr(chunk, F.lit(r"(?m)^diff --git "))
     return F.struct(
         F.when(at > 0, F.substring(chunk, F.lit(1), at - 1)).otherwise(chunk).alias("numstat"),
-        F.when(at > 0, F.regexp_replace(F.substring(chunk, at, F.length(chunk)), V.WHITESPACE + "++$", ""))
+        F.when(at > 0, trim_end(F.substring(chunk, at, F.length(chunk))))
         .otherwise("")
         .alias("diff"),
     )
@@ -43,18 +43,18 @@ def _count(raw: Column) -> Column:
 def parse_numstat(block: Column) -> Column:
     """Array of changed files; ``-`` counts (binary files) are NULL, other text fails."""
     lines = F.filter(F.transform(F.split(block, "\n"), trim_space), lambda line: line != "")
+    rows = F.transform(lines, lambda line: F.split(line, "\t", 3))
 
-    def one(line: Column) -> Column:
-        parts = F.split(line, "\t", 3)
-        path = F.when(F.size(parts) == 3, F.try_element_at(parts, F.lit(3))).otherwise(
-            _fail("git log: unparseable numstat line ", line)
+    def one(parts: Column) -> Column:
+        path = F.get(parts, 2)
+        good = F.when(F.length(path).between(1, 400), path).otherwise(
+            _fail("git log: unparseable numstat line ", F.array_join(parts, "\t"))
         )
-        path = _checked(path, F.length(path).between(1, 400), "git log: file path of a bad length: ")
         return F.struct(
-            path.alias("path"), _count(parts[0]).alias("added"), _count(F.get(parts, 1)).alias("deleted")
+            good.alias("path"), _count(parts[0]).alias("added"), _count(F.get(parts, 1)).alias("deleted")
         )
 
-    return F.transform(lines, one)
+    return F.transform(rows, one)
 
 
 def parse_git_log(exports: DataFrame, text: str = "value") -> DataFrame:
@@ -79,10 +79,12 @@ def parse_git_log(exports: DataFrame, text: str = "value") -> DataFrame:
         V.GIT_UNIT, 5,
     )
     parsed = records.select(parts.alias("p"), split_tail(F.col("record.tail")).alias("t"))
-    when = F.try_to_timestamp(F.col("p")[1])
-    files = parse_numstat(F.col("t.numstat"))
-    body = trim_space(F.col("p")[4])
-    return parsed.select(
+    when, files, body = F.try_to_timestamp(F.col("p")[1]), F.col("files"), F.col("body")
+    unpacked = parsed.select(
+        "p", F.col("t.diff").alias("diff"), parse_numstat(F.col("t.numstat")).alias("files"),
+        trim_space(F.col("p")[4]).alias("body"),
+    )
+    return unpacked.select(
         F.col("p")[0].alias("sha"),
         F.coalesce(when, _fail("git log: unparseable date ", F.col("p")[1]).cast("timestamp")).alias("committed_at"),
         _checked(F.col("p")[2], F.length(F.col("p")[2]) <= 200, "git log: author too long: ").alias("author"),
@@ -91,7 +93,7 @@ def parse_git_log(exports: DataFrame, text: str = "value") -> DataFrame:
         F.when(F.size(files) <= 200, files)
         .otherwise(_fail("git log: more than 200 files in ", F.col("p")[0]).cast(_FILES))
         .alias("files"),
-        F.col("t.diff").alias("diff"),
+        "diff",
     )
 
 
