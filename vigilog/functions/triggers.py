@@ -38,7 +38,7 @@ def merge_triggers(existing: Column, incoming: Column) -> Column:
     replaced = F.transform(
         existing,
         lambda old: F.coalesce(
-            F.element_at(F.filter(incoming, lambda new: new["kind"] == old["kind"]), -1), old
+            F.try_element_at(F.filter(incoming, lambda new: new["kind"] == old["kind"]), F.lit(-1)), old
         ),
     )
     added = F.filter(incoming, lambda new: ~F.exists(existing, lambda old: old["kind"] == new["kind"]))

@@ -46,22 +46,27 @@ def merge_incidents(firings: DataFrame, config: DetectionConfig) -> DataFrame:
     The window keeps the start of its first firing and the latest end; each kind keeps its
     newest trigger, in the order the kinds first appeared.
     """
-    assigned = assign_incidents(firings, config)
-    spans = assigned.groupBy("service", "incident_no").agg(
-        F.min_by("window_start", "run_no").alias("window_start"),
-        F.max("window_end").alias("window_end"),
-        F.max_by("window_end", "run_no").alias("detected_at"),
-        F.count(F.lit(1)).alias("firing_count"),
+    single = assign_incidents(firings, config).select(
+        "service", "incident_no", "run_no", "window_start", "window_end", F.posexplode("triggers").alias("pos", "trigger")
     )
-    single = assigned.select("service", "incident_no", "run_no", F.posexplode("triggers").alias("pos", "trigger"))
+    # Grouped by keys that begin with the service, like the windows before: no more shuffles.
     per_kind = single.groupBy("service", "incident_no", F.col("trigger.kind").alias("kind")).agg(
-        F.min(F.struct("run_no", "pos")).alias("first"), F.max_by("trigger", "run_no").alias("trigger")
+        F.min(F.struct("run_no", "pos")).alias("first"),
+        F.max_by("trigger", "run_no").alias("trigger"),
+        F.min(F.struct("run_no", "window_start")).alias("_opened"),
+        F.max(F.struct("run_no", "window_end")).alias("_latest"),
+        F.max("window_end").alias("window_end"),
+        F.count_if(F.col("pos") == 0).alias("firing_count"),
     )
     # One entry per trigger kind: four at most.
-    listed = per_kind.groupBy("service", "incident_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("first", "kind", "trigger"))), lambda e: e["trigger"]).alias("triggers")
+    merged = per_kind.groupBy("service", "incident_no").agg(
+        F.min("_opened")["window_start"].alias("window_start"),
+        F.max("window_end").alias("window_end"),
+        F.max("_latest")["window_end"].alias("detected_at"),
+        F.sum("firing_count").alias("firing_count"),
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "kind", "trigger"))), lambda e: e["trigger"]).alias("triggers"),
     )
-    return spans.join(listed, ["service", "incident_no"]).select(
+    return merged.select(
         anomaly_id(F.col("service"), F.col("window_start")).alias("anomaly_id"),
         "detected_at", "window_start", "window_end", "service", "triggers", "firing_count",
     )
@@ -69,19 +74,17 @@ def merge_incidents(firings: DataFrame, config: DetectionConfig) -> DataFrame:
 
 def firing_actions(firings: DataFrame, config: DetectionConfig) -> DataFrame:
     """Per firing: whether it created or extended an incident, and which kinds it added."""
-    assigned = assign_incidents(firings, config)
-    single = assigned.select("service", "incident_no", "run_no", F.explode(kinds(F.col("triggers"))).alias("kind"))
-    first = single.groupBy("service", "incident_no", "kind").agg(F.min("run_no").alias("run_no"))
-    added = first.groupBy("service", "incident_no", "run_no").agg(F.array_sort(F.collect_list("kind")).alias("added_kinds"))
-    opening = F.min("run_no").over(Window.partitionBy("service", "incident_no"))
-    return (
-        assigned.withColumn("action", F.when(F.col("run_no") == opening, "created").otherwise("extended"))
-        .join(added, ["service", "incident_no", "run_no"], "left")
-        .select(
-            "service", "window_start", "window_end", "incident_no", "action",
-            F.coalesce("added_kinds", F.array().cast("array<string>")).alias("added_kinds"),
-        )
+    incident = Window.partitionBy("service", "incident_no")
+    single = (
+        assign_incidents(firings, config)
+        .withColumn("kind", F.explode(kinds(F.col("triggers"))))
+        .withColumn("_opening", F.min("run_no").over(incident))
+        .withColumn("_first", F.min("run_no").over(Window.partitionBy("service", "incident_no", "kind")))
     )
+    return single.groupBy("service", "incident_no", "run_no", "window_start", "window_end").agg(
+        F.when(F.max("_opening") == F.col("run_no"), "created").otherwise("extended").alias("action"),
+        F.array_sort(F.collect_list(F.when(F.col("_first") == F.col("run_no"), F.col("kind")))).alias("added_kinds"),
+    ).drop("run_no")
 
 
 def as_anomalies(incidents: DataFrame) -> DataFrame:
