@@ -524,7 +524,7 @@ def packet_preview(d: Derived) -> DataFrame:
 
 
 def git_export(d: Derived) -> DataFrame:
-    """Commits as the text ``git log`` would export, one export per author."""
+    """Commits as the text ``git log`` would export, at most 500 commits per export."""
     files = joined(
         F.transform(
             "files",
@@ -538,7 +538,8 @@ def git_export(d: Derived) -> DataFrame:
         F.lit(V.GIT_RECORD), F.concat_ws(V.GIT_UNIT, "sha", F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), "author", "subject", "body"),
         F.lit(V.GIT_RECORD + "\n\n"), files, F.lit("\n\n"), F.col("diff"), F.lit("\n"),
     )
-    return d.commits.groupBy("author").agg(F.array_join(F.collect_list(record), "").alias("value"))
+    part = F.floor(F.regexp_extract("subject", "^Change order ([0-9]+)", 1).cast("long") / 500)
+    return d.commits.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(record), "").alias("value"))
 
 
 @registered
