@@ -162,13 +162,12 @@ def detect_latest(
         return judged
     silent = silence_firings(lines, now, config)
     flags = silent.select("service", F.lit(True).alias("_silent"))
-    reason = "silent — judged by service_silent, not by a stale window"
     is_silent = F.coalesce(F.col("_silent"), F.lit(False))
     rest = judged.join(flags, "service", "left").select(
         "service", "window_start", "window_end",
         F.when(is_silent, F.filter("triggers", lambda _: F.lit(False))).otherwise(F.col("triggers")).alias("triggers"),
         F.when(is_silent, "skipped").otherwise(F.col("status")).alias("status"),
-        F.when(is_silent, reason).otherwise(F.col("skipped_reason")).alias("skipped_reason"),
+        F.when(is_silent, V.TEXT_SILENT_SERVICE).otherwise(F.col("skipped_reason")).alias("skipped_reason"),
     )
     return rest.unionByName(
         silent.withColumn("status", F.lit("silent")).withColumn("skipped_reason", F.lit(None).cast("string"))

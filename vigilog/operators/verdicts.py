@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilog import fixed_values as V
 from vigilog.functions import answers as A
 from vigilog.functions.triggers import has_readable_trigger, kinds, severity_for_score, trigger_score
 from vigilog.operators.candidates import ground_correlations
 from vigilog.sources.tables import latest_per
 
-_UNPARSEABLE = "(root): The response did not contain a parseable JSON object."
-
-
 def parse_responses(responses: DataFrame, agent: str, text: str = "response") -> DataFrame:
     """Add ``answer`` (variant) and ``issues``; an answer is valid if it has none.
 
@@ -23,7 +21,7 @@ def parse_responses(responses: DataFrame, agent: str, text: str = "response") ->
         "answer", F.try_parse_json("_json")
     )
     unpacked = A.unpack(objects, "answer", A.ANSWER_FIELDS[agent], "_")
-    issues = F.when(A.is_object(F.col("answer")), A.answer_issues(agent)).otherwise(F.array(F.lit(_UNPARSEABLE)))
+    issues = F.when(A.is_object(F.col("answer")), A.answer_issues(agent)).otherwise(F.array(F.lit(V.TEXT_NO_JSON)))
     return unpacked.select(*responses.columns, "answer", issues.alias("issues"))
 
 

@@ -1025,7 +1025,7 @@ answers AS (
   SELECT 'case-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, n_chars % 4 AS rank, n_chars % 3 > 0 AS is_real, n_chars % 5 AS area_kind,
     lower(source) AS source, lower(lang) AS lang, n_chars % 900 AS latency_ms, n_chars % 3 AS repair_attempts,
     CASE WHEN n_chars % 6 > 0 THEN n_chars END AS input_tokens, n_chars % 50 AS output_tokens
-  FROM documents WHERE doc_id % 10 > 0
+  FROM documents WHERE lang <> 'de'
 ),
 scored AS (
   SELECT c.*, a.name IS NOT NULL AS answered, a.is_real = c.expected_real AS verdict_correct, abs(a.rank - c.expected_rank) AS distance,
@@ -1061,22 +1061,18 @@ add(
     "grounding_checks",
     f"""
 SELECT doc_id, len(list_filter(paths, lambda p: NOT contains(evidence, p))) = 0 AS path_grounded,
-  CASE WHEN claim IN ('', 'unknown', 'n/a') THEN true WHEN len(claim_paths) > 0
-      THEN len(list_filter(claim_paths, lambda p: NOT contains(rest, regexp_replace(p, '[.,;:]+$', '')))) = 0
-    WHEN len(words) = 0 THEN false ELSE len(list_filter(words, lambda w: contains(rest, w))) / len(words) >= 0.6 END AS words_grounded
-FROM (SELECT doc_id, lower("text" || ' ' || source || '/en') AS evidence, [lower('/' || lang)] AS paths,
-  lower(substr("text", 20)) AS rest, claim, regexp_extract_all(claim, '/[A-Za-z0-9:_\\-/]+') AS claim_paths,
-  list_filter(regexp_split_to_array(claim, '[^a-z0-9]+'), lambda w: length(w) >= 4) AS words
-  FROM (SELECT *, lower({S.trim_space('substr("text", 1, 60)')}) AS claim FROM documents))""",
+  coalesce(len(list_filter(words, lambda w: contains(lower("text"), w))) / nullif(len(words), 0) >= 0.6, false) AS words_grounded
+FROM (SELECT doc_id, "text", lower("text" || ' ' || source || '/en') AS evidence, [lower('/' || lang)] AS paths,
+  list_filter(regexp_split_to_array(lower(lang || ' ' || source || ' and'), '[^a-z0-9]+'), lambda w: length(w) >= 4) AS words FROM documents)""",
 )
 CORRELATION_CASES = """
 scored AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderkey % 17 > 0 AS answered, o_orderkey % 4 = 0 AS decline_case,
+  SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderstatus <> 'P' AS answered, o_orderkey % 4 = 0 AS decline_case,
     CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 4 = 0 WHEN o_orderkey % 4 = 0 THEN false
       WHEN o_orderkey % 6 = 1 THEN starts_with(sha1(CAST(o_orderkey AS VARCHAR)), '0000000') ELSE true END AS attribution_correct,
     o_orderkey % 5 > 0 AS has_files, o_orderkey % 3 = 0 AS misses_a, o_orderkey % 8 / 8.0 AS confidence,
-    CASE WHEN o_orderkey % 17 > 0 THEN o_orderkey % 900 END AS latency_ms, CASE WHEN o_orderkey % 17 > 0 THEN o_orderkey % 3 END AS repair_attempts,
-    CASE WHEN o_orderkey % 17 > 0 THEN o_orderkey END AS input_tokens, NULL AS output_tokens
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 900 END AS latency_ms, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 3 END AS repair_attempts,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS input_tokens, NULL AS output_tokens
   FROM orders
 ),
 filed AS (SELECT *, answered AND attribution_correct AND NOT decline_case AND has_files AS score_files FROM scored)"""
@@ -1101,10 +1097,10 @@ SELECT count(*) FILTER (WHERE answered) AS total, count(*) FILTER (WHERE answere
 )
 DIAGNOSIS_CASES = """
 scored AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderkey % 19 > 0 AS answered, o_orderkey % 2 = 0 AS expected, o_orderkey % 3 > 0 AS claimed,
+  SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority <> '5-LOW' AS answered, o_orderkey % 2 = 0 AS expected, o_orderkey % 3 > 0 AS claimed,
     o_orderkey % 9 > 0 AND o_orderkey % 5 IN (0, 1) AS named, CAST(o_orderkey % 8 / 8.0 AS DOUBLE) AS confidence,
-    CASE WHEN o_orderkey % 19 > 0 THEN o_orderkey % 900 END AS latency_ms, CASE WHEN o_orderkey % 19 > 0 THEN o_orderkey % 3 END AS repair_attempts,
-    CASE WHEN o_orderkey % 19 > 0 THEN o_orderkey END AS input_tokens, CASE WHEN o_orderkey % 19 > 0 THEN o_orderkey % 7 END AS output_tokens
+    CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey % 900 END AS latency_ms, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey % 3 END AS repair_attempts,
+    CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey END AS input_tokens, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey % 7 END AS output_tokens
   FROM orders
 )"""
 add(

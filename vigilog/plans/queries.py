@@ -914,7 +914,7 @@ def document_cases(d: Derived) -> DataFrame:
 
 def document_answers(d: Derived) -> DataFrame:
     n = F.col("n_chars")
-    answers = d.spread("documents").where(F.col("doc_id") % 10 > 0)
+    answers = d.spread("documents").where("lang <> 'de'")
     return answers.select(
         F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"),
         F.when(n % 4 == 0, "low").when(n % 4 == 1, "medium").when(n % 4 == 2, "high").otherwise("critical").alias("severity"),
@@ -943,7 +943,7 @@ def grounding_checks(d: Derived) -> DataFrame:
     return d.spread("documents").select(
         "doc_id",
         A.check_grounding(F.concat(F.col("source"), F.lit("/"), F.col("lang")), F.concat(F.col("text"), F.lit(" "), F.col("source"), F.lit("/en"))).alias("path_grounded"),
-        A.check_grounding(F.substring("text", 1, 60), F.substring("text", 20, 1_000_000)).alias("words_grounded"),
+        A.check_grounding(F.concat_ws(" ", "lang", "source", F.lit("and")), F.col("text")).alias("words_grounded"),
     )
 
 
@@ -967,7 +967,7 @@ def correlation_cases(d: Derived) -> DataFrame:
 def correlation_case_answers(d: Derived) -> DataFrame:
     key = F.col("o_orderkey")
     sha = F.when(key % 6 == 0, F.lit(None).cast("string")).when(key % 6 == 1, "0000000").otherwise(F.concat(F.lit(" "), F.upper(F.substring(F.sha1(key.cast("string")), 1, 9))))
-    return d.table("orders").where(key % 17 > 0).select(
+    return d.table("orders").where("o_orderstatus <> 'P'").select(
         key.cast("string").alias("name"), sha.alias("suspected_commit_sha"),
         F.when(key % 3 == 0, F.array(F.lit("b.js"))).otherwise(F.array(F.lit("b.js"), F.lit("a.js"))).alias("implicated_files"),
         (key % 8 / 8.0).alias("confidence"), (key % 900).alias("latency_ms"), (key % 3).alias("repair_attempts"),
@@ -990,7 +990,7 @@ def diagnosis_cases(d: Derived) -> DataFrame:
 
 def diagnosis_answers(d: Derived) -> DataFrame:
     key = F.col("o_orderkey")
-    return d.table("orders").where(key % 19 > 0).select(
+    return d.table("orders").where("o_orderpriority <> '5-LOW'").select(
         key.cast("string").alias("name"), (key % 3 > 0).alias("explains_the_failure"),
         F.when(key % 5 == 0, "Revert limit.js").when(key % 5 == 1, "Undo SRC/PRICE.JS now").otherwise("Scale out").alias("suggested_fix"),
         (key % 8 / 8.0).alias("confidence"), (key % 900).alias("latency_ms"), (key % 3).alias("repair_attempts"),
