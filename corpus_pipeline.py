@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, language
+from vigilog.llm import common, language, simhash
 
 #: A document whose language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -25,7 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return certain.select(*[f"`{name}`" for name in docs.columns])
 
 
-STAGES = [("language ID", language_id)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group whose fingerprints are linked."""
+    return simhash.keep_first(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+]
 
 #: No SQL: the stages fit models and join texts by likeness. Tests use brute force.
 ORACLE_SQL = None

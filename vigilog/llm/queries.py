@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, language
+from vigilog.llm import common, language, simhash
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_language_id": op3_language_id}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-duplicates of every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = common.stage(simhash.fingerprints(docs).select("doc_id", "fp"))
+    return simhash.components(marked).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_simhash": op5_simhash,
+}
 ORACLES: dict[str, str] = {}
