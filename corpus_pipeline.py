@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, language, simhash
+from vigilog.llm import common, decontaminate, language, simhash
 
 #: A document whose language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -30,9 +30,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents a twentieth of whose words, or more, lie in windows of benchmark items."""
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    marked = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text")
+    found = decontaminate.find_contamination(marked, benchmark)
+    return found.where(~F.col("contaminated")).select("row.*")
+
+
 STAGES = [
     ("language ID", language_id),
     ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
 ]
 
 #: No SQL: the stages fit models and join texts by likeness. Tests use brute force.

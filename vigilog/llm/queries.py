@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, language, simhash
+from vigilog.llm import common, decontaminate, language, simhash
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,59 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document hit by windows of the benchmark, and the items they are from."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP8_SQL = r"""
+WITH lowered AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+  UNION ALL
+  SELECT 1, 0, CAST(item_id AS VARCHAR),
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  FROM benchmark
+), worded AS MATERIALIZED (
+  SELECT side, rid, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), item_windows AS MATERIALIZED (
+  SELECT DISTINCT id AS item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win
+  FROM (SELECT id, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i
+        FROM worded WHERE side = 1 AND len(w) > 0)
+), doc_windows AS (
+  SELECT rid, k, i, array_to_string(w[i : i + k - 1], ' ') AS win
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM worded, (SELECT DISTINCT k FROM item_windows) WHERE side = 0 AND len(w) >= k)
+), found AS MATERIALIZED (
+  SELECT d.rid, d.i, d.k, b.item_id FROM doc_windows d JOIN item_windows b ON d.k = b.k AND d.win = b.win
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT rid, i, k FROM found)) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid
+)
+SELECT CAST(w.id AS BIGINT) AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
+       CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(w.w) AS contaminated
+FROM worded w LEFT JOIN hit h USING (rid) LEFT JOIN named n USING (rid)
+WHERE w.side = 0
+"""
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
+    "op8_decontamination": op8_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_decontamination": OP8_SQL}
