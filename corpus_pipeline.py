@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, decontaminate, language, simhash
+from vigilog.llm import common, decontaminate, language, mixing, simhash
 
 #: A document whose language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -38,10 +38,20 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return found.where(~F.col("contaminated")).select("row.*")
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the mix takes, with how often as ``repeats``."""
+    stored = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    sized = common.stage(stored.select("_row", "doc_id", "source", mixing.words("text").alias("size")))
+    taken = mixing.mix(sized).where("repeats > 0").select("_row", "repeats")
+    kept = common.without(stored, ["repeats"]).join(taken, "_row")
+    return kept.drop("_row")
+
+
 STAGES = [
     ("language ID", language_id),
     ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources", mix_sources),
 ]
 
 #: No SQL: the stages fit models and join texts by likeness. Tests use brute force.

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, decontaminate, language, simhash
+from vigilog.llm import common, decontaminate, language, mixing, simhash
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = common.table(spark, sf_dir, "documents")
+    sized = common.stage(docs.select("doc_id", "source", mixing.words("text").alias("size")))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +88,7 @@ WHERE w.side = 0
 """
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
     "op8_decontamination": op8_decontamination,
