@@ -30,7 +30,7 @@ WORDS = 4
 BITS = 4
 SEED = 42
 #: Points that a shard should be home to.
-SHARD_POINTS = 1 << 14
+SHARD_POINTS = 1 << 16
 #: Sampled points per shard for the upper tree, and the most in all (bounds the driver's tree).
 SAMPLE_PER_SHARD = 256
 MAX_SAMPLE = 1 << 18
