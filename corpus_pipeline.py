@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, decontaminate, language, mixing, simhash
+from vigilog.llm import common, decontaminate, language, mixing, pii, simhash
 
 #: A document whose language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -38,6 +38,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return found.where(~F.col("contaminated")).select("row.*")
 
 
+def clean_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and terms that disclose it; ``n_chars`` follows the new text."""
+    clean = pii.sanitise(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the mix takes, with how often as ``repeats``."""
     stored = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -51,6 +59,7 @@ STAGES = [
     ("language ID", language_id),
     ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("PII", clean_personal_data),
     ("mixing sources", mix_sources),
 ]
 

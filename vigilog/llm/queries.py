@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, decontaminate, language, mixing, simhash
+from vigilog.llm import common, decontaminate, language, mixing, pii, simhash
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of disclosing terms in every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, keep_text=False)
+
+    def joined(spans: str) -> Column:
+        shown = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(shown, ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    every = F.array(F.nullif(joined("base"), F.lit("")), F.nullif(joined("added"), F.lit("")))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        F.array_join(F.array_compact(every), ",").alias("spans"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near-duplicates of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,6 +112,7 @@ WHERE w.side = 0
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op8_decontamination": op8_decontamination,
 }
