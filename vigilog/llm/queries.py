@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, decontaminate, language, mixing, pii, simhash
+from vigilog.llm import common, decontaminate, language, mixing, pii, simhash, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled ones that are not held out."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = common.remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxic_flag").alias("above_language_threshold"),
+    )
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +125,7 @@ WHERE w.side = 0
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
