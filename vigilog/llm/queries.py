@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import common, decontaminate, language, mixing, pii, simhash, toxicity
+from vigilog.llm import (
+    common,
+    decontaminate,
+    language,
+    mixing,
+    neighbours,
+    pii,
+    simhash,
+    toxicity,
+)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +133,13 @@ FROM worded w LEFT JOIN hit h USING (rid) LEFT JOIN named n USING (rid)
 WHERE w.side = 0
 """
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth, out of all."""
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = neighbours.build_index(vectors, k=20)
+    return neighbours.search(index, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -131,5 +147,6 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_neighbours": op9_neighbours,
 }
 ORACLES = {"op8_decontamination": OP8_SQL}
