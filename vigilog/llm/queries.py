@@ -13,9 +13,13 @@ from vigilog.llm import (
     neighbours,
     pii,
     simhash,
+    tokens,
     toxicity,
 )
 
+#: Pieces that words are cut into.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labelled ones that are not held out."""
@@ -97,6 +101,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(
+    spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY
+) -> DataFrame:
+    """Greedy word-piece lengths of every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokens.count_tokens(docs, tokens.read_vocabulary(vocabulary))
+    return found.select("doc_id", "n_tokens")
+
+
 OP8_SQL = r"""
 WITH lowered AS (
   SELECT 0 AS side, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS id,
@@ -148,5 +161,6 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op8_decontamination": OP8_SQL}
