@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilog.llm import (
     common,
     decontaminate,
+    html_text,
     language,
     mixing,
     neighbours,
@@ -87,6 +88,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, read by the wrapper of its host."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    wrappers = common.stage(html_text.infer_wrappers(pages))
+    found = html_text.extract(pages, wrappers)
+    return found.select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.char_length("main_text").cast("long").alias("n_chars"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document hit by windows of the benchmark, and the items they are from."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -159,6 +173,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_main_text": op6_main_text,
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
