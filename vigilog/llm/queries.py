@@ -13,6 +13,7 @@ from vigilog.llm import (
     mixing,
     neighbours,
     pii,
+    pseudo_likelihood,
     simhash,
     tokens,
     toxicity,
@@ -101,6 +102,13 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum and mean of the log probabilities of every document's words."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return found.select("doc_id", "n_words", "log_likelihood", "mean_log_likelihood")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document hit by windows of the benchmark, and the items they are from."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -174,6 +182,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_main_text": op6_main_text,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
