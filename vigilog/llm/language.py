@@ -76,7 +76,8 @@ def _bucket(mixed: np.ndarray) -> np.ndarray:
 def _text_chunks(column: pa.Array, limit: int = common.CHUNK_BYTES) -> Iterator[tuple[int, list]]:
     """Rows as lists of at most ``limit`` characters, or one text; null is empty."""
     first, texts, size = 0, [], 0
-    for text in column.to_pylist():
+    rows = (text for at in range(0, len(column), 256) for text in column.slice(at, 256).to_pylist())
+    for text in rows:
         if texts and size + len(text or "") > limit:
             yield first, texts
             first, texts, size = first + len(texts), [], 0

@@ -165,11 +165,11 @@ def detect(docs: DataFrame, text: str = "text", reach: int = NEAR_WORDS) -> Data
 
     def compute(_: object, column: pa.Array) -> list[pa.Array]:
         data, offsets = common.as_bytes(column)
-        whole = data.tobytes()
+        whole = memoryview(data)
         base: list[list[dict]] = []
         terms: list[list[dict]] = []
         for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            raw = whole[first:last]
+            raw = bytes(whole[first:last])
             spans = base_spans(raw)
             base.append([])
             terms.append([])
@@ -293,8 +293,11 @@ def find_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, reac
     span = F.struct("kind", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.kind").alias("category"))
     spans = hits.groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("added"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,category:string>>")
-    found = stored.drop("terms").join(spans, "_row", "left").drop("_row")
-    return found.withColumn("added", F.coalesce("added", none))
+    # Only rows with an entity can get spans, so the other texts are not shuffled.
+    apart = F.size("terms") == 0
+    plain = stored.where(apart).drop("terms", "_row").withColumn("added", none)
+    joined = stored.where(~apart).drop("terms").join(spans, "_row", "left").drop("_row")
+    return plain.unionByName(joined.withColumn("added", F.coalesce("added", none)))
 
 
 def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -317,23 +320,25 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     ``[WORD]``, removed terms nothing. Null texts stay null. Columns are those of ``docs``.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("row"), F.col(text).alias("text"))
+    others = [f"`{c}`" for c in names if c != text]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).alias("text"))
     found = find_spans(packed)
 
     def compute(_: object, texts: pa.Array, base: pa.Array, added: pa.Array) -> list[pa.Array]:
-        out = texts.to_pylist()
-        marked = np.flatnonzero(
-            (pa.compute.list_value_length(base).fill_null(0).to_numpy(zero_copy_only=False) > 0)
-            | (pa.compute.list_value_length(added).fill_null(0).to_numpy(zero_copy_only=False) > 0)
+        marked = (pa.compute.list_value_length(base).to_numpy(zero_copy_only=False) > 0) | (
+            pa.compute.list_value_length(added).to_numpy(zero_copy_only=False) > 0
         )
-        for i in marked.tolist():
+        out = []
+        for i in np.flatnonzero(marked).tolist():
             spans = [(x["start"], x["end"], f"[{x['kind'].upper()}]") for x in base[i].as_py()]
             spans += [
                 (x["start"], x["end"], f"[{x['category']}]" if x["kind"] == GENERALISED else "")
                 for x in added[i].as_py()
             ]
-            out[i] = replace_spans(out[i], spans)
-        return [pa.array(out, pa.string())]
+            out.append(replace_spans(texts[i].as_py(), spans))
+        # Other texts are handed on as they are.
+        kept = texts.cast(pa.large_string())
+        return [pa.compute.replace_with_mask(kept, pa.array(marked), pa.array(out, pa.large_string())).cast(pa.string())]
 
     field = T.StructField("clean", T.StringType(), True)
     clean = common.with_arrow_columns(found, ["text", "base", "added"], [field], compute)
