@@ -86,7 +86,7 @@ def test_latest_run_equals_backtest_at_its_end(spark):
 def test_too_little_baseline_is_skipped(spark):
     status = detect.detect_latest(lines(spark, [(0, "svc", "info", "x", 1)]), rollup_rows(spark, history(50, 60)[35:]), CONFIG)
     row = status.first()
-    assert row.status == "skipped" and row.skipped_reason == "only 25 min of baseline (need 30)"
+    assert row.status == "skipped" and row.skipped_reason == "only 25 of 30 baseline buckets of 60 s needed"
 
 
 def test_new_signatures_agree_with_brute_force(spark):

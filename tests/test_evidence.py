@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import at, lines, rollup_rows
 from vigilog import schemas
 from vigilog.config import CommitBudget, PacketBudget
+from vigilog.functions import times
 from vigilog.operators import candidates, evidence, sampling
 from vigilog.plans import packets
 from vigilog.sources import commits as commit_source
@@ -156,7 +157,7 @@ def test_grounding(spark):
 
     hit = ground(" " + SHA[0][:12].upper())
     assert hit.grounded and hit.sha == SHA[0] and hit.kept_files == ["x.js"] and hit.dropped_files == ["z.js"]
-    assert not ground("f" * 12).grounded and "3 candidate(s)" in ground("f" * 12).error
+    assert not ground("f" * 12).grounded and "3 candidates" in ground("f" * 12).error
     assert not ground("abcdef0").grounded
     declined = ground(None)
     assert declined.grounded and declined.sha is None and declined.kept_files == []
@@ -167,9 +168,9 @@ VERDICT = dict(severity="high", summary="It is down.", is_real_incident=True, af
 
 def test_correlation_packet(spark):
     none = packets.correlation_packets(anomaly(spark, **VERDICT), commit_frame(spark, [-9000])).first()
-    assert none.candidate_count == 0 and "Candidate commits: NONE." in none.packet and "Affected area: unknown" in none.packet
+    assert none.candidate_count == 0 and "Candidate commits: 0." in none.packet and "Affected area: unknown" in none.packet
     many = packets.correlation_packets(anomaly(spark, **VERDICT), commit_frame(spark, [-i for i in range(30)]), diffs=True).first()
-    assert many.candidate_count == 25
+    assert many.candidate_count == 30 and "(5 older not shown)" in many.packet
     # 40 lines each until 300 are spent: seven commits in full, the eighth cut to 20.
     assert many.packet.count("    diff:") == 8
     assert many.packet.count("… 20 more diff line(s)") == 7 and many.packet.count("… 40 more diff line(s)") == 1
@@ -187,5 +188,31 @@ def test_diagnosis_packet(spark):
     assert f"  Commit {SHA[0][:10]} (confidence 0.90)" in packet and "Files implicated: (none named)" in packet
     assert packet.endswith("      end") and packet.count("      line") == 59
     bare = commit_frame(spark, [-1]).withColumn("diff", F.lit(""))
-    assert "diff: UNAVAILABLE" in packets.diagnosis_packets(pending, bare).first().packet
+    assert "diff: no patch" in packets.diagnosis_packets(pending, bare).first().packet
     assert packets.diagnosis_packets(pending, bare, sha_override="0" * 40).count() == 0
+
+
+def test_sample_reaches_the_last_line_of_a_busy_window(spark):
+    rows = [(i / 3000, "svc", "error", f"Order {i} failed", 5) for i in range(9_999)] + [(3.9, "svc", "error", "disk is full", 5)]
+    window = lines(spark, rows).withColumn("anomaly_id", F.lit("a1"))
+    picked = [r.message for r in evidence.sampled_lines(window).collect()]
+    assert len(picked) == 15 and "disk is full" in picked
+
+
+def test_pairs_do_not_grow_with_commits(spark):
+    anomaly = spark.createDataFrame([("a1", at(60 * 50))], "anomaly_id string, window_end timestamp")
+
+    def search(step):
+        n = 50 * 3600 // step
+        made = spark.range(n).select(
+            F.sha1(F.col("id").cast("string")).alias("sha"),
+            times.shift(times.instant(at(0)), F.col("id") * step).alias("committed_at"), F.lit("x").alias("diff"),
+        )
+        return candidates.candidate_commits(anomaly, made), n
+
+    for step in (600, 7):
+        found, n = search(step)
+        rows = found.orderBy("position").collect()
+        assert len(rows) == 25 and rows[0].found == sum(7200 <= i * step <= 180_000 for i in range(n))
+        newest = [i for i in range(n) if i * step <= 180_000][::-1][:25]
+        assert [r.committed_at for r in rows] == [at(0, i * step).replace(tzinfo=None) for i in newest]

@@ -28,7 +28,7 @@ def test_signatures(spark):
     assert out[3] == "open <path> failed after <num>ms"
     # An ASCII boundary lies between the accent and the digit, none inside v2x.
     assert out[4] == "é<num> v2x"
-    assert out[5].startswith("a b") and len(out[5]) == 512
+    assert out[5].startswith("a b") and len(out[5]) == 603
 
 
 def test_long_paths_do_not_overflow_the_stack(spark):

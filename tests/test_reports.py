@@ -59,7 +59,7 @@ def test_alert_text(spark):
     due = alerts.due_alerts(table, none, ["slack"], F.lit(at(0)))
     row = alerts.delivery_payloads(alerts.alert_messages(due, spark.createDataFrame(found, schemas.CORRELATION), "https://x/")).first()
     assert row.title == "HIGH incident on svc" and row.url == "https://x/anomaly/a"
-    assert "Suspected commit: cccccccccc (confidence 0.90)" in row.text and "\"say 'hi' <now>\"" in row.text
+    assert "Commit blamed: cccccccccc (confidence 0.90)" in row.text and "\"say 'hi' <now>\"" in row.text
     assert "&lt;now&gt;" in row.payload and '"unfurl_links":false' in row.payload
 
 
@@ -98,8 +98,9 @@ def test_confidence_is_null_without_answers(spark):
 
 def test_filters(spark):
     parse = reports.AnomalyFilters.parse
-    assert parse({"severity": "odd", "verdict": "nope", "since": "2w", "service": "x" * 65, "q": "  "}) == reports.AnomalyFilters()
-    assert parse({"q": ["y" * 200, "z"]}).q == "y" * 100 and parse({"since": "24h"}).active
+    assert parse({"severity": "odd", "verdict": "nope", "since": "2w", "q": "  "}) == reports.AnomalyFilters()
+    assert parse({"service": "x" * 65}).service == "x" * 65
+    assert parse({"q": ["y" * 200, "z"]}).q == "y" * 200 and parse({"since": "24h"}).active
     table = anomalies(
         spark,
         ("abc-1", ["latency_jump"], {**REAL, "summary": "100% of a_b"}),
@@ -231,4 +232,4 @@ def test_null_sha_is_an_answer_and_absent_is_not(spark):
     parsed = verdicts.parse_responses(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "anomaly_id int, response string"), "correlator")
     assert [r.anomaly_id for r in verdicts.valid_answers(parsed, "correlator").collect()] == [0]
     errors = {r.anomaly_id: r.error for r in verdicts.failed_answers(parsed).collect()}
-    assert errors == {1: "suspectedCommitSha: Invalid input: expected string, received undefined", 2: "(root): The response did not contain a parseable JSON object."}
+    assert errors == {1: "suspectedCommitSha: Invalid input: expected string, received undefined", 2: "(root): no JSON object in the response"}

@@ -119,3 +119,42 @@ def test_silence_in_the_watch(spark, tmp_path):
     sent = spark.createDataFrame([], log_source.schemas.ALERT)
     due = watch.pending_alerts(spark, settings, sent, ["slack"]).collect()
     assert [(r.reason, r.channel) for r in due] == [("silence", "slack")]
+
+
+def test_dirty_buckets_scan_only_their_days(spark, tmp_path):
+    base = str(tmp_path)
+    post(f"{base}/in", "b0", 60 * 24 * 3, [entry(60 * 24 * day + m) for day in range(4) for m in range(3)])
+    ingest_all(spark, base)
+    lines = log_source.project_lines(log_source.read_logs(spark, f"{base}/logs"))
+    dirty = rollup.dirty_buckets(lines.where(F.col("dt") == "2026-11-03"))
+    plan = rollup.rollup_dirty(lines, dirty)._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "2026-11-03" in line]
+    assert filters and not any("2026-11-04" in line for line in filters)
+    assert {r.bucket_start.day for r in rollup.rollup_dirty(lines, dirty).collect()} == {3}
+
+
+def test_dismissed_incident_is_extended_but_a_new_trigger_opens_one(spark, tmp_path):
+    base = str(tmp_path)
+    config = DetectionConfig(baseline_buckets=10, min_baseline_buckets=5, window_buckets=2)
+    settings = watch.Watch(f"{base}/logs", f"{base}/rollup", f"{base}/anomalies", config)
+
+    def run(name, arrival, entries):
+        post(f"{base}/in", name, arrival, entries)
+        ingest_all(spark, base)
+        roll_all(spark, base, watch.detection_step(settings))
+        return watch.current_anomalies(watch.anomaly_events(spark, settings.anomalies_path)).collect()
+
+    run("b0", 15, [entry(m + i / 10) for m in range(14) for i in range(3)])
+    spike = run("b1", 16, [entry(14 + i / 50, "error", f"boom {i}") for i in range(20)])
+    assert len(spike) == 1 and spike[0].status == "open"
+    epoch = watch.anomaly_events(spark, settings.anomalies_path).agg(F.max("epoch")).first()[0]
+    dismissed = watch.current_anomalies(watch.anomaly_events(spark, settings.anomalies_path)).withColumns(
+        {"status": F.lit("dismissed"), "is_real_incident": F.lit(False)}
+    )
+    watch.record(dismissed, settings, epoch, "classified")
+    more = run("b2", 17, [entry(15 + i / 50, "error", f"boom {i}") for i in range(20)])
+    assert len(more) == 1 and more[0].status == "dismissed" and more[0].window_end > spike[0].window_end
+    slow = [entry(16 + i / 50, "error", f"boom {i}", latency=9_000) for i in range(20)]
+    reopened = run("b3", 18, slow)
+    assert {r.anomaly_id: r.status for r in reopened}[spike[0].anomaly_id] == "dismissed"
+    assert sorted(r.status for r in reopened) == ["dismissed", "open"]

@@ -54,7 +54,6 @@ class PacketBudget:
     error_lines: int = 15
     healthy_lines: int = 8
     message_chars: int = 240
-    rows_scanned: int = 2000
 
 
 @dataclass(frozen=True)

@@ -37,10 +37,18 @@ def _unrolled(pattern: str) -> str:
     would overflow a task's stack. Nothing follows these groups and their parts cannot
     overlap, so giving up backtracking changes no match.
     """
-    return (
-        pattern.replace("(?:/[A-Za-z0-9_.-]+){2,}", "(?:/[A-Za-z0-9_.-]++){2,}+")
-        .replace("[0-9]+(?:[.,][0-9]+)*", "[0-9]++(?:[.,][0-9]++)*+")
-    )
+    for plain, possessive in _POSSESSIVE.items():
+        pattern = pattern.replace(plain, possessive)
+    return pattern
+
+
+_POSSESSIVE = {
+    "(?:/[A-Za-z0-9_.-]+){2,}": "(?:/[A-Za-z0-9_.-]++){2,}+",
+    "[0-9]+(?:[.,][0-9]+)*": "[0-9]++(?:[.,][0-9]++)*+",
+}
+for _plain in _POSSESSIVE:
+    if not any(_plain in rule for rule, _ in V.SIGNATURE_RULES):
+        raise ValueError(f"no signature rule has {_plain} any more")
 
 
 def squeeze(text: Column) -> Column:
@@ -66,7 +74,7 @@ def normalize_signature(message: Column) -> Column:
     out = message
     for pattern, token in V.SIGNATURE_RULES:
         out = F.regexp_replace(out, ascii_boundaries(_unrolled(pattern)), token)
-    return F.substring(squeeze(out), 1, V.MAX_SIGNATURE_CHARS)
+    return squeeze(out)
 
 
 def strip_invisible(text: Column) -> Column:

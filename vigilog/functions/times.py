@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +101,12 @@ def chart_range(
     to = shift(floor_to_bucket(end, bucket_seconds), after * bucket_seconds)
     wanted = shift(floor_to_bucket(start, bucket_seconds), -before * bucket_seconds)
     return F.greatest(wanted, shift(to, -longest * bucket_seconds)), to
+
+
+def instant(moment: datetime) -> Column:
+    """A point in time as a literal; a datetime without zone is UTC, wherever the driver runs."""
+    known = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit(round((known - _EPOCH) / timedelta(microseconds=1))))
+
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)

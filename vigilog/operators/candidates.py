@@ -10,43 +10,80 @@ from vigilog.functions import times
 from vigilog.functions.text import trim_space
 from vigilog.operators.sampling import cap_rows
 
-CELL_SECONDS = 3600
+HOUR, MINUTE = 3600, 60
+
+
+def _search_cells(lookback: int) -> Column:
+    """Hours that lie wholly in the search of an anomaly, and the minutes at its two ends."""
+    since, until = F.col("_until") - lookback, F.col("_until")
+    first_hour, last_hour = F.floor(since / HOUR), F.floor(until / HOUR)
+    first, last = F.floor(since / MINUTE), F.floor(until / MINUTE)
+    per_hour = HOUR // MINUTE
+
+    def cells(low: Column, high: Column, width: int) -> Column:
+        numbers = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda n: F.struct(F.lit(width).alias("width"), n.alias("cell")))
+
+    spread = F.concat(
+        cells(first, (first_hour + 1) * per_hour - 1, MINUTE),
+        cells(first_hour + 1, last_hour - 1, HOUR),
+        cells(last_hour * per_hour, last, MINUTE),
+    )
+    return F.when(first_hour < last_hour, spread).otherwise(cells(first, last, MINUTE))
 
 
 def candidate_commits(anomalies: DataFrame, commits: DataFrame, budget: CommitBudget = CommitBudget()) -> DataFrame:
     """The newest commits of the two days up to each window's end, both ends included.
 
-    Commits are counted per hour first. Going back from the end of a window, an hour can
-    only hold one of the newest commits while the full hours after it hold fewer than the
-    limit, so just those hours are joined: pairs stay near the limit however busy the
-    repository is.
+    ``found`` is the number of all commits in that span, shown or not. Commits are counted per
+    hour and minute; going back from the end, only the cells that can still hold one of the newest
+    are joined, each with its newest commits only (sha and time), so that pairs do not grow with
+    the density of commits. Cells at the very ends are joined whole, as they lie partly outside.
+    The other columns are attached to the commits that are kept.
     """
-    until = times.seconds_of(F.col("window_end"))
     lookback = budget.lookback_hours * 3600
-    last_cell = F.floor(until / CELL_SECONDS)
-    first_cell = F.floor((until - lookback) / CELL_SECONDS)
+    moment = F.col("committed_at")
     searched = anomalies.select(
         "anomaly_id",
         times.shift(F.col("window_end"), -lookback).alias("since"),
         F.col("window_end").alias("until"),
-        last_cell.alias("_last"),
-        F.explode(F.sequence(first_cell, last_cell)).alias("_cell"),
+        times.seconds_of(F.col("window_end")).alias("_until"),
     )
-    celled = commits.withColumn("_cell", F.floor(times.seconds_of(F.col("committed_at")) / CELL_SECONDS))
-    counts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    # Commits of the window's last hour may lie after its end, so that hour counts as none.
-    certain = F.when(F.col("_cell") < F.col("_last"), F.col("_n")).otherwise(0)
-    newer = Window.partitionBy("anomaly_id").orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        searched.join(counts, "_cell")
-        .withColumn("_newer", F.coalesce(F.sum(certain).over(newer), F.lit(0)))
-        .where(F.col("_newer") < budget.commits)
-        .select("anomaly_id", "since", "until", "_cell")
+    ends = F.array(*[F.floor((F.col("_until") - ago) / MINUTE) for ago in (0, lookback)])
+    cells = searched.withColumn("_at", F.explode(_search_cells(lookback))).select(
+        "anomaly_id", "since", "until",
+        F.col("_at.width").alias("_width"), F.col("_at.cell").alias("_cell"),
+        ((F.col("_at.width") == MINUTE) & F.array_contains(ends, F.col("_at.cell"))).alias("_end"),
     )
-    moment = F.col("committed_at")
-    found = needed.join(celled, "_cell").where((moment >= F.col("since")) & (moment <= F.col("until"))).drop("_cell")
-    order = Window.partitionBy("anomaly_id").orderBy(F.col("committed_at").desc(), F.col("sha"))
-    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= budget.commits)
+    seconds = times.seconds_of(moment)
+    light = commits.select("sha", "committed_at").withColumn("_width", F.explode(F.array(F.lit(HOUR), F.lit(MINUTE))))
+    light = light.withColumn("_cell", F.floor(seconds / F.col("_width")))
+    key = ["_width", "_cell"]
+    newest_first = [moment.desc(), F.col("sha")]
+    counts = light.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    capped = cap_rows(light, key, newest_first, budget.commits)
+
+    inside = (moment >= F.col("since")) & (moment <= F.col("until"))
+    at_ends = cells.where("_end").join(light, key).where(inside)
+    whole = cells.where(~F.col("_end")).join(counts, key)
+    newer = (
+        Window.partitionBy("anomaly_id")
+        .orderBy((F.col("_cell") * F.col("_width")).desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    needed = whole.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    needed = needed.where(F.col("_newer") < budget.commits)
+    keep = ["anomaly_id", "since", "until", "sha", "committed_at"]
+    pairs = needed.join(capped, key).select(*keep).unionByName(at_ends.select(*keep))
+    order = Window.partitionBy("anomaly_id").orderBy(*newest_first)
+    ranked = pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= budget.commits)
+    found = (
+        whole.select("anomaly_id", "_n")
+        .unionByName(at_ends.select("anomaly_id", F.lit(1).cast("long").alias("_n")))
+        .groupBy("anomaly_id")
+        .agg(F.sum("_n").alias("found"))
+    )
+    return ranked.join(found, "anomaly_id").join(commits, ["sha", "committed_at"])
 
 
 def newest_commit_verdict(anomalies: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -57,8 +94,8 @@ def newest_commit_verdict(anomalies: DataFrame, candidates: DataFrame) -> DataFr
         "anomaly_id",
         F.substring("suspected_commit_sha", 1, 10).alias("suspected_commit_sha"),
         F.when(named, F.lit(0.25)).otherwise(F.lit(0.1)).alias("confidence"),
-        F.when(named, "The newest candidate commit, named without reading anything.")
-        .otherwise("There was no candidate commit to choose from.")
+        F.when(named, "Baseline answer: the latest candidate.")
+        .otherwise("Baseline answer: no candidates.")
         .alias("reasoning"),
         F.array().cast("array<string>").alias("implicated_files"),
     )
@@ -103,9 +140,9 @@ def ground_correlations(answers: DataFrame, candidates: DataFrame) -> DataFrame:
     resolved = resolve_sha(answers, candidates)
     kept, dropped = split_files(F.col("implicated_files"), F.col("_paths"))
     reason = F.concat(
-        F.lit('the model named commit "'), F.col("suspected_commit_sha"),
-        F.lit('", which is not among the '), F.col("candidate_count").cast("string"),
-        F.lit(" candidate(s) it was shown"),
+        F.lit('the answer names "'), F.col("suspected_commit_sha"),
+        F.lit('", not one of the '), F.col("candidate_count").cast("string"),
+        F.lit(" candidates listed"),
     )
     return resolved.select(
         *answers.columns, "sha", "candidate_count", "grounded",
@@ -131,9 +168,6 @@ def diff_allowance(candidates: DataFrame, budget: CommitBudget = CommitBudget())
 def blamed_commits(pending: DataFrame, commits: DataFrame) -> DataFrame:
     """Attach the commit of an exact sha; a missing one leaves an ``error``."""
     joined = pending.join(commits, "sha", "left")
-    gone = F.concat(F.lit("commit "), F.substring("sha", 1, 10), F.lit(" is not in the target repository any more"))
+    gone = F.concat(F.lit("commit "), F.substring("sha", 1, 10), F.lit(" is missing from the commit table"))
     return joined.withColumn("error", F.when(F.col("committed_at").isNull(), gone))
 
-
-def newest_candidates(candidates: DataFrame, limit: int) -> DataFrame:
-    return cap_rows(candidates, ["anomaly_id"], [F.col("position")], limit)

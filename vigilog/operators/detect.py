@@ -13,6 +13,8 @@ from vigilog.functions.triggers import make_trigger
 from vigilog.operators.frames import latest_frames, sliding_frames
 from vigilog.operators.signatures import new_signatures, new_signatures_at
 
+TEXT_SILENT_SERVICE = "silent: covered by the service_silent check"
+
 
 def enough_baseline(config: DetectionConfig) -> Column:
     return F.col("baseline_buckets") >= config.min_baseline_buckets
@@ -129,7 +131,7 @@ def _run_detectors(frames: DataFrame, fresh: DataFrame, config: DetectionConfig)
         ~ready,
         F.concat(
             F.lit("only "), F.col("baseline_buckets").cast("string"),
-            F.lit(f" min of baseline (need {config.min_baseline_buckets})"),
+            F.lit(f" of {config.min_baseline_buckets} baseline buckets of {config.bucket_seconds} s needed"),
         ),
     )
     return (
@@ -167,7 +169,7 @@ def detect_latest(
         "service", "window_start", "window_end",
         F.when(is_silent, F.filter("triggers", lambda _: F.lit(False))).otherwise(F.col("triggers")).alias("triggers"),
         F.when(is_silent, "skipped").otherwise(F.col("status")).alias("status"),
-        F.when(is_silent, V.TEXT_SILENT_SERVICE).otherwise(F.col("skipped_reason")).alias("skipped_reason"),
+        F.when(is_silent, TEXT_SILENT_SERVICE).otherwise(F.col("skipped_reason")).alias("skipped_reason"),
     )
     return rest.unionByName(
         silent.withColumn("status", F.lit("silent")).withColumn("skipped_reason", F.lit(None).cast("string"))

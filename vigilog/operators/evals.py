@@ -13,9 +13,10 @@ from vigilog.functions.triggers import severity_distance
 def match_cases(cases: DataFrame, answers: DataFrame, key: str = "name") -> DataFrame:
     """Every case with its answer; ``answered`` is false where there is none.
 
-    ``cases`` carries expected columns as ``expected_*``.
+    ``cases`` carries expected columns as ``expected_*``. Answers may say themselves, in a column
+    ``answered``, that they failed.
     """
-    given = answers.withColumn("answered", F.lit(True))
+    given = answers if "answered" in answers.columns else answers.withColumn("answered", F.lit(True))
     return cases.join(given, key, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 

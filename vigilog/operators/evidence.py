@@ -118,16 +118,20 @@ def scanned_lines(in_window: DataFrame, limit: int) -> DataFrame:
 
 
 def sampled_lines(in_window: DataFrame, budget: PacketBudget = PacketBudget()) -> DataFrame:
-    """Diverse sample per anomaly: failing lines, and the others including warnings."""
-    scanned = scanned_lines(in_window, budget.rows_scanned)
+    """Diverse sample per anomaly: failing lines, and the others including warnings.
+
+    Sampled are all lines of the window. They are only ever sorted within a minute; positions in
+    the window come from the minutes' counts.
+    """
     prepared = (
-        scanned.withColumn("shape", line_shape())
+        in_window.withColumn("shape", line_shape())
         .withColumn("failing", text.is_error_level(F.col("level")))
-        .withColumn("_info", (~F.col("carries_error")).cast("int"))
+        .withColumn("_info", (~text.has_error_signature(F.col("level"))).cast("int"))
+        .withColumn("_cell", F.col("_info") * F.lit(10**12) + F.floor(times.seconds_of(F.col("timestamp")) / 60))
     )
     limit = F.when(F.col("failing"), budget.error_lines).otherwise(budget.healthy_lines).cast("long")
     order = [F.col("_info"), *[F.col(c) for c in LINE_ORDER]]
-    return sample_diverse(prepared, ["anomaly_id", "failing"], order, "shape", limit).drop("_info", "shape")
+    return sample_diverse(prepared, ["anomaly_id", "failing"], order, "shape", limit, "_cell").drop("_info", "_cell", "shape")
 
 
 def window_sample(in_window: DataFrame, limit: int = 12) -> DataFrame:

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as V
 from vigilog.functions import answers as A
 from vigilog.functions import text
 
+REASON_TIMESTAMP_INVALID = "timestamp: neither an ISO-8601 date nor a number of milliseconds"
+REASON_TIMESTAMP_OLD = (
+    "timestamp: earlier than the year 2000 (were seconds sent instead of milliseconds?)"
+)
+REASON_TIMESTAMP_FUTURE = (
+    "timestamp: over 5 minutes ahead of the receiver (wrong clock or unit)"
+)
+REASON_SERVICE_PATTERN = (
+    "service: only letters, digits, dot, dash and underscore, the first a letter or digit"
+)
+REASON_MESSAGE_BLANK = "message: has no visible character"
+REASON_METADATA_SIZE = "metadata: over 16384 characters as JSON"
+
+#: The ingest order counts from 2020, in so many steps a microsecond.
+ORDER_EPOCH_MICROS = 1_577_836_800_000_000
+ORDER_SLOTS = 16_384
+
 _ENTRY = ["timestamp", "service", "level", "message", "metadata"]
 _METADATA = ["requestId", "endpoint", "method", "statusCode", "latencyMs", "errorType", "stack"]
 
@@ -93,7 +110,7 @@ def _metadata_issue() -> Column:
     return F.when(
         ~_META.is_a("undefined"),
         F.coalesce(
-            _META.wrong_type("object"), *issues, F.when(size > V.MAX_METADATA_CHARS, V.REASON_METADATA_SIZE)
+            _META.wrong_type("object"), *issues, F.when(size > V.MAX_METADATA_CHARS, REASON_METADATA_SIZE)
         ),
     )
 
@@ -106,10 +123,10 @@ def validate_entries(entries: DataFrame, now: Column) -> DataFrame:
     bad_name = ~service.rlike(V.SERVICE_NAME) | F.contains(service, F.lit("\n"))
     reason = F.coalesce(
         F.when(~A.is_object(F.col("entry")), "Invalid input: expected object"),
-        F.when(_too_old(), V.REASON_TIMESTAMP_OLD),
-        F.when(F.col("timestamp").isNull(), V.REASON_TIMESTAMP_INVALID),
+        F.when(_too_old(), REASON_TIMESTAMP_OLD),
+        F.when(F.col("timestamp").isNull(), REASON_TIMESTAMP_INVALID),
         A.string_issue(_SERVICE, 1, 64),
-        F.when(bad_name, V.REASON_SERVICE_PATTERN),
+        F.when(bad_name, REASON_SERVICE_PATTERN),
         A.enum_issue(_LEVEL, V.LEVELS),
         A.string_issue(_MESSAGE, 1, 4096),
         _metadata_issue(),
@@ -121,11 +138,11 @@ def validate_entries(entries: DataFrame, now: Column) -> DataFrame:
 
 def reject_future(timestamp: Column, now: Column) -> Column:
     late = F.unix_micros(timestamp) > F.unix_micros(now) + V.MAX_FUTURE_MINUTES * 60_000_000
-    return F.when(late, V.REASON_TIMESTAMP_FUTURE)
+    return F.when(late, REASON_TIMESTAMP_FUTURE)
 
 
 def reject_blank(message: Column) -> Column:
-    return F.when(text.is_blank(message), V.REASON_MESSAGE_BLANK)
+    return F.when(text.is_blank(message), REASON_MESSAGE_BLANK)
 
 
 def sanitize_metadata(metadata: Column) -> Column:
@@ -156,8 +173,18 @@ def sanitize_metadata(metadata: Column) -> Column:
 
 
 def accepted_logs(validated: DataFrame) -> DataFrame:
-    """Rows for the log table. Arrival time and position give the ingest order."""
-    order = F.unix_micros("received_at") * V.MAX_BATCH_ENTRIES + F.col("index")
+    """Rows for the log table. Arrival time, batch and position give the ingest order.
+
+    Lines that arrive in the same microsecond, of one batch or several, are numbered; there is
+    room for 16384 of them, so the order is unique up to 2037. A stream cannot number across its
+    batches: there the hash of the batch's id chooses one of 16 ranges of the microsecond, so two
+    batches tie only if they share the microsecond and the range.
+    """
+    if validated.isStreaming:
+        own = F.pmod(F.xxhash64("batch_id"), F.lit(ORDER_SLOTS // 1024)) * 1024 + F.col("index")
+    else:
+        own = F.row_number().over(Window.partitionBy("received_at").orderBy("batch_id", "index")) - 1
+    order = (F.unix_micros("received_at") - F.lit(ORDER_EPOCH_MICROS)) * F.lit(ORDER_SLOTS) + own
     rows = validated.where(F.col("reason").isNull()).select(
         order.cast("long").alias("ingest_seq"),
         "timestamp",

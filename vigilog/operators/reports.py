@@ -41,12 +41,12 @@ class AnomalyFilters:
 
         service, text, since = first("service"), first("q"), first("since")
         return cls(
-            service=service if service and len(service) <= 64 else None,
+            service=service or None,
             severity=known("severity", V.SEVERITIES),
             verdict=known("verdict", V.VERDICT_FILTERS),
             status=known("status", V.STATUSES),
             since=since if since in V.SINCE_MINUTES else "all",
-            q=text[: V.MAX_SEARCH_CHARS] if text else None,
+            q=text or None,
         )
 
     @property
@@ -63,7 +63,7 @@ def search(q: str) -> Column:
 
     The text is taken literally, so no character of it acts as a wildcard.
     """
-    needle = _fold_ascii(F.lit(q[: V.MAX_SEARCH_CHARS]))
+    needle = _fold_ascii(F.lit(q))
     hit = F.contains(_fold_ascii(F.col("summary")), needle)
     return (
         F.coalesce(hit, F.lit(False))

@@ -9,6 +9,9 @@ from vigilog.functions import text, times
 from vigilog.functions.numbers import round_half_up
 from vigilog.sources.logs import with_bucket
 
+#: Days listed one by one in a filter.
+MOST_DAYS = 1000
+
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
@@ -102,11 +105,13 @@ def rollup(lines: DataFrame, bucket_seconds: int = 60) -> DataFrame:
 def rollup_dirty(lines: DataFrame, dirty: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     """Recompute the dirty (service, bucket) keys from all of their lines.
 
-    Lateness is unbounded, so late lines are never dropped: they make their bucket dirty.
+    Lateness is unbounded, so late lines are never dropped: they make their bucket dirty. The
+    days of a table by day are put in as literals, so that only they are scanned.
     """
     keys = dirty.select("service", "bucket_start").distinct()
     bucketed = with_bucket(lines, bucket_seconds)
     if "dt" in lines.columns:
+        bucketed = bucketed.where(on_days(dirty))
         bucketed = bucketed.join(
             keys.withColumn("dt", F.to_date("bucket_start")), ["dt", "service", "bucket_start"], "left_semi"
         )
@@ -115,6 +120,19 @@ def rollup_dirty(lines: DataFrame, dirty: DataFrame, bucket_seconds: int = 60) -
     return rollup(bucketed.drop("bucket_start"), bucket_seconds)
 
 
+def on_days(dirty: DataFrame) -> Column:
+    """Whether ``dt`` is a day of a dirty bucket, as a list of days that prunes partitions.
+
+    Beyond some years' days the first and the last bound a range instead, which prunes less.
+    """
+    days = dirty.select(F.to_date("bucket_start").alias("dt")).where("dt IS NOT NULL").distinct()
+    few = [row.dt for row in days.limit(MOST_DAYS + 1).collect()]
+    if len(few) <= MOST_DAYS:
+        return F.col("dt").isin(few) if few else F.lit(False)
+    first, last = days.agg(F.min("dt"), F.max("dt")).first()
+    return F.col("dt").between(F.lit(first), F.lit(last))
+
+
 def dirty_buckets(new_lines: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     return with_bucket(new_lines, bucket_seconds).select("service", "bucket_start").distinct()
 

@@ -11,6 +11,8 @@ from vigilog.functions.triggers import has_readable_trigger, kinds, severity_for
 from vigilog.operators.candidates import ground_correlations
 from vigilog.sources.tables import latest_per
 
+TEXT_NO_JSON = "(root): no JSON object in the response"
+
 def parse_responses(responses: DataFrame, agent: str, text: str = "response") -> DataFrame:
     """Add ``answer`` (variant) and ``issues``; an answer is valid if it has none.
 
@@ -21,7 +23,7 @@ def parse_responses(responses: DataFrame, agent: str, text: str = "response") ->
         "answer", F.try_parse_json("_json")
     )
     unpacked = A.unpack(objects, "answer", A.ANSWER_FIELDS[agent], "_")
-    issues = F.when(A.is_object(F.col("answer")), A.answer_issues(agent)).otherwise(F.array(F.lit(V.TEXT_NO_JSON)))
+    issues = F.when(A.is_object(F.col("answer")), A.answer_issues(agent)).otherwise(F.array(F.lit(TEXT_NO_JSON)))
     return unpacked.select(*responses.columns, "answer", issues.alias("issues"))
 
 

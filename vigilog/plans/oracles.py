@@ -164,9 +164,9 @@ judged AS (
     TIMESTAMP '2024-01-01' + to_seconds((b // 3) * 240) AS received_at,
     b % 13 IN (5, 6) OR b % 7 = 1 AS refused,
     CASE k
-      WHEN 1 THEN 'timestamp: is before 2000 — epoch seconds sent where milliseconds were expected?'
-      WHEN 2 THEN 'timestamp: must be an ISO-8601 string or epoch milliseconds'
-      WHEN 5 THEN 'service: must be letters, digits, ''.'', ''-'' or ''_'', starting with a letter or digit'
+      WHEN 1 THEN 'timestamp: earlier than the year 2000 (were seconds sent instead of milliseconds?)'
+      WHEN 2 THEN 'timestamp: neither an ISO-8601 date nor a number of milliseconds'
+      WHEN 5 THEN 'service: only letters, digits, dot, dash and underscore, the first a letter or digit'
       WHEN 6 THEN 'service: Too small: expected string to have >=1 characters'
       WHEN 7 THEN 'service: Invalid input: expected string, received number'
       WHEN 8 THEN 'level: Invalid option: expected one of "info"|"warn"|"error"|"fatal"'
@@ -176,8 +176,8 @@ judged AS (
       WHEN 13 THEN 'metadata.statusCode: Too small: expected number to be >=100'
       WHEN 14 THEN 'metadata.statusCode: Invalid input: expected int, received number'
       WHEN 15 THEN 'metadata.latencyMs: Too small: expected number to be >=0'
-      WHEN 4 THEN 'timestamp: more than 5 minutes in the future — check the sender''s clock and units'
-      WHEN 9 THEN 'message: nothing visible left once control characters are removed' END AS reason
+      WHEN 4 THEN 'timestamp: over 5 minutes ahead of the receiver (wrong clock or unit)'
+      WHEN 9 THEN 'message: has no visible character' END AS reason
   FROM raw
 )"""
 add(
@@ -188,7 +188,7 @@ add(
 add(
     "accepted_lines",
     f"""
-SELECT epoch_us(received_at) * 1000 + "index" AS ingest_seq, date_trunc('millisecond', ts) AS "timestamp",
+SELECT (epoch_us(received_at) - 1577836800000000) * 16384 + row_number() OVER (PARTITION BY received_at ORDER BY batch_id, "index") - 1 AS ingest_seq, date_trunc('millisecond', ts) AS "timestamp",
   'svc-' || (user_id % 4) AS service, level, message, CASE WHEN level <> 'info' THEN {S.signature('message')} END AS error_signature,
   '/' || event_type AS endpoint, CAST(200 AS BIGINT) AS status_code, value AS latency_ms, '{{"region":"eu"}}' AS extra
 FROM (SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' ELSE 'info' END AS level,
@@ -339,7 +339,7 @@ kinds AS (SELECT service, window_end, string_agg(kind, ', ' ORDER BY pos) AS kin
 statuses AS (
   SELECT f.service, f.window_start, f.window_end, coalesce(k.kinds, '') AS kinds,
     CASE WHEN NOT ({S.READY}) THEN 'skipped' WHEN k.kinds IS NOT NULL THEN 'firing' ELSE 'clean' END AS status,
-    CASE WHEN NOT ({S.READY}) THEN 'only ' || baseline_buckets || ' min of baseline (need {C.min_baseline_buckets})' ELSE '' END AS skipped_reason
+    CASE WHEN NOT ({S.READY}) THEN 'only ' || baseline_buckets || ' of {C.min_baseline_buckets} baseline buckets of {C.bucket_seconds} s needed' ELSE '' END AS skipped_reason
   FROM frames f LEFT JOIN kinds k ON k.service = f.service AND k.window_end = f.window_end
 )"""
 add("detector_status", "SELECT * FROM statuses", S.TRIGGERS + "," + _STATUS)
@@ -372,7 +372,7 @@ latest AS (
     CASE WHEN {S.READY} THEN concat_ws(', ', CASE WHEN {S.SPIKE} THEN 'error_rate_spike' END,
       CASE WHEN {S.JUMP} THEN 'latency_jump' END,
       CASE WHEN n.signature IS NOT NULL THEN 'new_error_signature' END) ELSE '' END AS kinds,
-    CASE WHEN NOT ({S.READY}) THEN 'only ' || baseline_buckets || ' min of baseline (need {C.min_baseline_buckets})' ELSE '' END AS skipped_reason
+    CASE WHEN NOT ({S.READY}) THEN 'only ' || baseline_buckets || ' of {C.min_baseline_buckets} baseline buckets of {C.bucket_seconds} s needed' ELSE '' END AS skipped_reason
   FROM latest_frames f LEFT JOIN new_signatures n ON n.service = f.service AND n.window_end = f.window_end
 ),
 latest_statuses AS (
@@ -386,7 +386,7 @@ add(
     """
 SELECT l.service, l.window_start, l.window_end, CASE WHEN s.service IS NULL THEN kinds ELSE '' END AS kinds,
   CASE WHEN s.service IS NULL THEN status ELSE 'skipped' END AS status,
-  CASE WHEN s.service IS NULL THEN skipped_reason ELSE 'silent — judged by service_silent, not by a stale window' END AS skipped_reason
+  CASE WHEN s.service IS NULL THEN skipped_reason ELSE 'silent: covered by the service_silent check' END AS skipped_reason
 FROM latest_statuses l LEFT JOIN silent s ON s.service = l.service
 UNION ALL
 SELECT service, window_start, window_end, 'service_silent', 'silent', '' FROM silent""",
@@ -495,7 +495,6 @@ _SAMPLED = (
 capped AS (
   SELECT *, level IN ('error', 'fatal') AS failing, CASE WHEN level = 'info' THEN 1 ELSE 0 END AS is_info,
     endpoint || ' ' || status_code || ' ' || {S.signature('message')} AS shape FROM in_window
-  QUALIFY row_number() OVER (PARTITION BY anomaly_id, level IN ('warn', 'error', 'fatal') ORDER BY "timestamp", ingest_seq) <= 2000
 ),"""
     + diverse("capped", "anomaly_id, failing", 'is_info, "timestamp", ingest_seq', "CASE WHEN failing THEN 15 ELSE 8 END")
 )
@@ -516,8 +515,8 @@ _RENDERED = f"""
 rendered AS (
   SELECT i.anomaly_id, i.detected_at,
     'Service: ' || i.service || {NL} || {_WINDOW_LINE} || {NL} || 'Triggers fired: ' || i.kinds AS s1,
-    'What the statistical detectors found:' || {NL} || i.bullets AS s2,
-    'Window totals:' || {NL} || '  requests ' || t.request_count || ' | errors ' || t.error_count || ' ('
+    'Detector findings:' || {NL} || i.bullets AS s2,
+    'Totals of the window:' || {NL} || '  requests ' || t.request_count || ' | errors ' || t.error_count || ' ('
       || CASE WHEN t.request_count > 0 THEN {S.fixed('(CAST(t.error_count AS DOUBLE) / t.request_count * 100)', 1)} ELSE '0.0' END
       || '%)' || {NL} || '  latency p50 ' || t.p50_ms || 'ms | p95 ' || t.p95_ms || 'ms | p99 ' || t.p99_ms || 'ms' AS s3,
     (SELECT CASE WHEN any_value(n_all) > count(*) THEN 'Per-minute detail (last ' || count(*) || ' of ' || any_value(n_all) || ' minutes):'
@@ -525,7 +524,7 @@ rendered AS (
         || string_agg('  ' || strftime(bucket_start, '%H:%M') || '  ' || lpad(CAST(m.request_count AS VARCHAR), 5, ' ') || ' req  '
           || lpad(CAST(m.error_count AS VARCHAR), 5, ' ') || ' err  p95 ' || lpad(CAST(m.p95_ms AS VARCHAR), 5, ' ') || 'ms', {NL} ORDER BY bucket_start)
       FROM minutes m WHERE m.anomaly_id = i.anomaly_id AND rn <= 20 GROUP BY m.anomaly_id) AS s4,
-    (SELECT 'Latency by endpoint (slowest first):' || {NL}
+    (SELECT 'Endpoints by latency, slowest first:' || {NL}
         || string_agg('  ' || rpad(e.endpoint, 24, ' ') || ' ' || lpad(CAST(e.request_count AS VARCHAR), 6, ' ') || ' req  '
           || lpad(CAST(e.error_count AS VARCHAR), 4, ' ') || ' err  p95 ' || e.p95_ms || 'ms', {NL} ORDER BY rn)
       FROM endpoints e WHERE e.anomaly_id = i.anomaly_id AND rn <= 6 AND n_all > 1 GROUP BY e.anomaly_id) AS s5,
@@ -546,7 +545,7 @@ add(
 )
 add(
     "packet_preview",
-    f"SELECT anomaly_id, 'What the statistical detectors found:' || {NL} || bullets AS section FROM incidents ORDER BY detected_at DESC, anomaly_id LIMIT 1",
+    f"SELECT anomaly_id, 'Detector findings:' || {NL} || bullets AS section FROM incidents ORDER BY detected_at DESC, anomaly_id LIMIT 1",
     S.INCIDENTS,
 )
 
@@ -584,8 +583,8 @@ add(
     """
 SELECT anomaly_id, suspected_commit_sha, sha, candidate_count, grounded, array_to_string(kept_files, ', ') AS kept_files,
   array_to_string(dropped_files, ', ') AS dropped_files,
-  CASE WHEN NOT grounded THEN 'the model named commit "' || suspected_commit_sha || '", which is not among the '
-    || candidate_count || ' candidate(s) it was shown' END AS error
+  CASE WHEN NOT grounded THEN 'the answer names "' || suspected_commit_sha || '", not one of the '
+    || candidate_count || ' candidates listed' END AS error
 FROM grounded""",
     S.ANSWERS,
 )
@@ -639,16 +638,18 @@ commit_text AS (
   FROM aged
 ),
 listed AS (SELECT anomaly_id, count(*) AS candidate_count, string_agg(txt, {NL} || {NL} ORDER BY position) AS txt FROM commit_text GROUP BY anomaly_id),
+all_found AS (SELECT anomaly_id, max(found) AS found FROM candidates GROUP BY anomaly_id),
 correlation_packets AS (
-  SELECT i.anomaly_id, coalesce(l.candidate_count, 0) AS candidate_count, concat_ws({NL} || {NL}, {_HEAD},
-    'Already established by the classification stage:' || {NL} || '  ' || i.summary,
-    'What the statistical detectors found:' || {NL} || i.example_bullets,
-    CASE WHEN l.txt IS NULL THEN 'Candidate commits: NONE.' || {NL} || '  No commit landed between '
+  SELECT i.anomaly_id, CAST(coalesce(t.found, 0) AS BIGINT) AS candidate_count, concat_ws({NL} || {NL}, {_HEAD},
+    'Verdict so far:' || {NL} || '  ' || i.summary,
+    'Detector findings:' || {NL} || i.example_bullets,
+    CASE WHEN l.txt IS NULL THEN 'Candidate commits: 0.' || {NL} || '  Nothing was committed from '
         || {S.iso('(i.window_end - INTERVAL 48 HOURS)')} || ' and ' || {S.iso('i.window_end')} || '.' || {NL}
-        || '  The search ran and returned nothing; this is not missing data.'
-      ELSE 'Candidate commits (' || l.candidate_count || '), searched ' || {S.iso('(i.window_end - INTERVAL 48 HOURS)')} || ' to '
-        || {S.iso('i.window_end')} || ', newest first:' || {NL} || {NL} || l.txt END) AS packet
-  FROM anomalies i LEFT JOIN listed l ON l.anomaly_id = i.anomaly_id WHERE i.severity IS NOT NULL
+        || '  The commit table was searched in full for that span.'
+      ELSE 'Candidate commits (' || t.found || '), searched ' || {S.iso('(i.window_end - INTERVAL 48 HOURS)')} || ' to '
+        || {S.iso('i.window_end')} || ', newest first:' || {NL} || {NL} || l.txt
+        || CASE WHEN t.found > l.candidate_count THEN {NL} || {NL} || '  (' || (t.found - l.candidate_count) || ' older not shown)' ELSE '' END END) AS packet
+  FROM anomalies i LEFT JOIN listed l ON l.anomaly_id = i.anomaly_id LEFT JOIN all_found t ON t.anomaly_id = i.anomaly_id WHERE i.severity IS NOT NULL
 )"""
 
 
@@ -668,18 +669,18 @@ add(
     f"""
 SELECT i.anomaly_id, k.sha, array_to_string(list_transform(k.files, lambda f: f.path), ', ') AS commit_files,
   concat_ws({NL} || {NL}, {_HEAD},
-    'What the classification stage concluded:' || {NL} || '  ' || i.summary,
-    'What the detectors found:' || {NL} || i.example_bullets,
-    'What the correlation stage concluded:' || {NL} || '  Commit ' || substr(k.sha, 1, 10) || ' (confidence ' || {S.fixed('c.confidence', 2)} || ')'
+    'Classification:' || {NL} || '  ' || i.summary,
+    'Findings that raised it:' || {NL} || i.example_bullets,
+    'Correlation:' || {NL} || '  Commit ' || substr(k.sha, 1, 10) || ' (confidence ' || {S.fixed('c.confidence', 2)} || ')'
       || {NL} || '  Files implicated: ' || CASE WHEN len(c.implicated_files) > 0 THEN array_to_string(c.implicated_files, ', ') ELSE '(none named)' END
       || {NL} || '  Reasoning: ' || c.reasoning,
-    'The commit, in full:' || {NL} || {NL} || '  ' || substr(k.sha, 1, 10) || '  ' || {S.stamp('k.committed_at')} || '  —  ' || k.author
+    'Blamed commit:' || {NL} || {NL} || '  ' || substr(k.sha, 1, 10) || '  ' || {S.stamp('k.committed_at')} || '  —  ' || k.author
       || {NL} || '    ' || k.subject
       || CASE WHEN k.body <> '' THEN {NL} || array_to_string(list_transform(string_split(k.body, {NL}), {_INDENT} ELSE '' END
       || {NL} || '    files (' || len(k.files) || '):' || {NL}
       || array_to_string(list_transform(k.files, lambda f: '      ' || f.path || '  ' || {_CHANGE}), {NL}) || {NL} || {NL}
       || CASE WHEN k.diff <> '' THEN '    diff:' || {NL} || array_to_string(list_transform(string_split(k.diff, {NL}), {_INDENT}
-        ELSE '    diff: UNAVAILABLE — the patch for this commit could not be read.' END) AS packet
+        ELSE '    diff: no patch is on record for this commit.' END) AS packet
 FROM anomalies i JOIN correlations c ON c.anomaly_id = i.anomaly_id JOIN commits k ON k.sha = c.suspected_commit_sha""",
     S.ANSWERS,
 )
@@ -705,7 +706,7 @@ add(
     "SELECT order_key, CASE WHEN flaw = 8 THEN NULL WHEN flaw = 7 THEN rtrim(object, '}') || chr(10) || '``` }' ELSE object END AS object FROM objects",
     RESPONSES,
 )
-_ROOT = "(root): The response did not contain a parseable JSON object."
+_ROOT = "(root): no JSON object in the response"
 add(
     "parsed_classifications",
     f"""
@@ -809,8 +810,8 @@ add(
     "blamed_commits",
     """
 SELECT c.anomaly_id, c.suspected_commit_sha AS sha, k.subject,
-  CASE WHEN k.sha IS NULL THEN 'commit ' || substr(c.suspected_commit_sha, 1, 10) || ' is not in the target repository any more' END AS error
-FROM correlations c LEFT JOIN commits k ON k.sha = c.suspected_commit_sha AND len(k.files) > 2 WHERE c.suspected_commit_sha IS NOT NULL""",
+  CASE WHEN k.sha IS NULL THEN 'commit ' || substr(c.suspected_commit_sha, 1, 10) || ' is missing from the commit table' END AS error
+FROM correlations c LEFT JOIN commits k ON k.sha = c.suspected_commit_sha WHERE c.suspected_commit_sha IS NOT NULL""",
     S.ANSWERS,
 )
 
@@ -856,21 +857,21 @@ add(
     ALERTS
     + f""",
 messages AS (
-  SELECT d.anomaly_id, reason, channel, CASE reason WHEN 'silence' THEN service || ' has stopped logging'
-      WHEN 'injection' THEN 'Possible prompt injection on ' || service ELSE upper(coalesce(severity, 'unrated')) || ' incident on ' || service END AS title,
+  SELECT d.anomaly_id, reason, channel, CASE reason WHEN 'silence' THEN service || ' went silent'
+      WHEN 'injection' THEN 'Log text aimed at the classifier of ' || service ELSE upper(coalesce(severity, 'unrated')) || ' incident on ' || service END AS title,
     CASE reason
-      WHEN 'silence' THEN concat_ws({NL}, '*' || service || ' has stopped logging*', silent_sentence,
-        'Detected by statistics alone — silence has nothing for a model to read.', url)
-      WHEN 'injection' THEN concat_ws({NL}, '*Possible prompt injection — ' || service || '*' || {_SPAN},
-        'Log text in this window is addressed to the automated classifier. Its verdict ('
+      WHEN 'silence' THEN concat_ws({NL}, '*' || service || ' went silent*', silent_sentence,
+        'Found from line counts only, as there are no new lines to read.', url)
+      WHEN 'injection' THEN concat_ws({NL}, '*Log text aimed at the classifier: ' || service || '*' || {_SPAN},
+        'Some log text of this window speaks to the classifier itself, so its verdict ('
           || CASE WHEN is_real_incident IS NULL THEN 'no verdict yet' ELSE CASE WHEN is_real_incident THEN 'incident' ELSE 'dismissed' END
-            || ', ' || coalesce(severity, 'unrated') END || ') is not trusted to keep this quiet, so a human is being asked instead.',
-        'Flagged text: ' || {_EVIDENCE}, dots, url)
+            || ', ' || coalesce(severity, 'unrated') END || ') may be bent. Please look at the lines yourself.',
+        'The text: ' || {_EVIDENCE}, dots, url)
       ELSE concat_ws({NL}, '*' || upper(coalesce(severity, 'unrated')) || ' — ' || service || '*' || {_SPAN}, coalesce(summary, 'No summary.'), dots,
-        CASE WHEN injection_suspected THEN 'Warning: log text in this window is addressed to the classifier — ' || {_EVIDENCE} END,
+        CASE WHEN injection_suspected THEN 'Note: some log text of this window speaks to the classifier: ' || {_EVIDENCE} END,
         CASE WHEN c.anomaly_id IS NOT NULL THEN CASE WHEN c.suspected_commit_sha IS NOT NULL
-          THEN 'Suspected commit: ' || substr(c.suspected_commit_sha, 1, 10) || ' (confidence ' || {S.fixed('c.confidence', 2)} || ')'
-          ELSE 'No recent commit explains this.' END END, url) END AS "text", url
+          THEN 'Commit blamed: ' || substr(c.suspected_commit_sha, 1, 10) || ' (confidence ' || {S.fixed('c.confidence', 2)} || ')'
+          ELSE 'No commit was found to blame.' END END, url) END AS "text", url
   FROM (SELECT *, 'https://ops.example/anomaly/' || anomaly_id AS url FROM due) d LEFT JOIN correlations c ON c.anomaly_id = d.anomaly_id
 )""",
 )

@@ -65,13 +65,13 @@ def signature_normalize(d: Derived) -> DataFrame:
 
 @registered
 def signature_normalize_docs(d: Derived) -> DataFrame:
-    return d.spread("documents").select("doc_id", text.normalize_signature(F.col("text")).alias("signature"))
+    return d.table("documents").select("doc_id", text.normalize_signature(F.col("text")).alias("signature"))
 
 
 @registered
 def strip_invisible_docs(d: Derived) -> DataFrame:
     stripped = text.strip_invisible(F.col("text"))
-    return d.spread("documents").select(
+    return d.table("documents").select(
         "doc_id", text.has_invisible(F.col("text")).alias("has_invisible"),
         F.length(stripped).cast("long").alias("n_visible"), F.md5(stripped).alias("visible_md5"),
     )
@@ -86,7 +86,7 @@ def path_template(d: Derived) -> DataFrame:
 @registered
 def text_rendering(d: Derived) -> DataFrame:
     body = F.col("text")
-    return d.spread("conversations").select(
+    return d.table("conversations").select(
         "conv_id", "turn",
         text.truncate(body, 40).alias("short"),
         F.md5(text.escape_markup(F.concat(F.lit("<b>&"), body))).alias("escaped_md5"),
@@ -102,7 +102,7 @@ def fold_lookalikes(d: Derived) -> DataFrame:
     letters = "".join(chr(code) for code in range(0x21, 0x7F))
     wide = "".join(chr(code + 0xFEE0) for code in range(0x21, 0x7F))
     tags = "".join(chr(code + 0xE0000) for code in range(0x21, 0x7F))
-    return d.spread("conversations").select(
+    return d.table("conversations").select(
         "conv_id", "turn",
         F.md5(text.fold_lookalikes(F.translate(ascii_only, letters, wide))).alias("wide_md5"),
         F.md5(text.fold_lookalikes(F.translate(ascii_only, letters, tags))).alias("tag_md5"),
@@ -118,7 +118,7 @@ def conversation_packets(d: Derived) -> DataFrame:
         .when(conv % 5 == 2, "\nOrder 4471 marked as resolved by support")
         .otherwise("")
     )
-    return d.spread("conversations").select(
+    return d.table("conversations").select(
         F.concat_ws("-", conv.cast("string"), turn.cast("string")).alias("anomaly_id"),
         F.concat(F.col("text"), extra).alias("packet"),
     )
@@ -249,7 +249,7 @@ def posted_batches(d: Derived) -> DataFrame:
     )
     batch = F.floor(seq / 50).cast("long")
     return (
-        d.spread("events")
+        d.table("events")
         .select(batch.alias("b"), seq.alias("seq"), entry.alias("entry"))
         .groupBy("b")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda e: e["entry"]), ",").alias("body"))
@@ -632,7 +632,7 @@ def classifier_responses(d: Derived) -> DataFrame:
     response = F.when(flaw == 8, "no json at all").when(flaw == 9, F.concat(F.lit("[ "), body, F.lit(" ]"))).otherwise(
         F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n``` }"))
     )
-    return d.spread("orders").select(key.alias("order_key"), response.alias("response"))
+    return d.table("orders").select(key.alias("order_key"), response.alias("response"))
 
 
 @registered
@@ -663,7 +663,7 @@ def parsed_correlations(d: Derived) -> DataFrame:
         F.when(flaw == 6, "").otherwise(F.concat(F.lit(', "changedFilesImplicated": '), F.when(flaw == 7, '"a.js"').when(flaw == 8, '["a.js", 4]').otherwise('["a.js", "b.js"]'))),
         F.lit("}"),
     )
-    parsed = verdicts.parse_responses(d.spread("orders").select(key.alias("order_key"), response.alias("response")), "correlator")
+    parsed = verdicts.parse_responses(d.table("orders").select(key.alias("order_key"), response.alias("response")), "correlator")
     return flat_answers(parsed, "correlator").withColumn("implicated_files", joined(F.col("implicated_files")))
 
 
@@ -677,7 +677,7 @@ def parsed_hypotheses(d: Derived) -> DataFrame:
         F.lit(', "suggestedFix": '), F.when(flaw == 3, '"undo"').otherwise('"revert src/limit.js to 100"'),
         F.lit(', "confidence": '), F.when(flaw == 4, "-0.5").otherwise("0.5"), F.lit("}"),
     )
-    parsed = verdicts.parse_responses(d.spread("orders").select(key.alias("order_key"), response.alias("response")), "root_cause")
+    parsed = verdicts.parse_responses(d.table("orders").select(key.alias("order_key"), response.alias("response")), "root_cause")
     return flat_answers(parsed, "root_cause")
 
 
@@ -743,9 +743,8 @@ def pending_queues(d: Derived) -> DataFrame:
 
 @registered
 def blamed_commits(d: Derived) -> DataFrame:
-    known = d.commits.where("size(files) > 2")
     pending = verdicts.attributed(d.anomalies, d.correlations)
-    return candidates.blamed_commits(pending, known).select("anomaly_id", "sha", "subject", "error")
+    return candidates.blamed_commits(pending, d.commits).select("anomaly_id", "sha", "subject", "error")
 
 
 # --- alerts -------------------------------------------------------------------------
@@ -903,7 +902,7 @@ def known_services(d: Derived) -> DataFrame:
 
 def document_cases(d: Derived) -> DataFrame:
     """Labelled documents as cases: quality as the expected verdict, toxicity as severity."""
-    docs = d.spread("documents").select("doc_id", "text", "lang", "source")
+    docs = d.table("documents").select("doc_id", "text", "lang", "source")
     return d.table("labels").join(docs, "doc_id").select(
         F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), "doc_id", "text", "lang", "source",
         (F.col("quality") == 1).alias("expected_is_real"),
@@ -914,9 +913,9 @@ def document_cases(d: Derived) -> DataFrame:
 
 def document_answers(d: Derived) -> DataFrame:
     n = F.col("n_chars")
-    answers = d.spread("documents").where("lang <> 'de'")
-    return answers.select(
+    return d.table("documents").select(
         F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"),
+        (F.col("lang") != "de").alias("answered"),
         F.when(n % 4 == 0, "low").when(n % 4 == 1, "medium").when(n % 4 == 2, "high").otherwise("critical").alias("severity"),
         (n % 3 > 0).alias("is_real_incident"),
         F.when(n % 5 == 0, F.col("source")).when(n % 5 == 1, "unknown").when(n % 5 == 2, F.lit("/no/such.path:")).otherwise(
@@ -940,7 +939,7 @@ def verdict_scoring(d: Derived) -> DataFrame:
 
 @registered
 def grounding_checks(d: Derived) -> DataFrame:
-    return d.spread("documents").select(
+    return d.table("documents").select(
         "doc_id",
         A.check_grounding(F.concat(F.col("source"), F.lit("/"), F.col("lang")), F.concat(F.col("text"), F.lit(" "), F.col("source"), F.lit("/en"))).alias("path_grounded"),
         A.check_grounding(F.concat_ws(" ", "lang", "source", F.lit("and")), F.col("text")).alias("words_grounded"),
@@ -967,8 +966,8 @@ def correlation_cases(d: Derived) -> DataFrame:
 def correlation_case_answers(d: Derived) -> DataFrame:
     key = F.col("o_orderkey")
     sha = F.when(key % 6 == 0, F.lit(None).cast("string")).when(key % 6 == 1, "0000000").otherwise(F.concat(F.lit(" "), F.upper(F.substring(F.sha1(key.cast("string")), 1, 9))))
-    return d.table("orders").where("o_orderstatus <> 'P'").select(
-        key.cast("string").alias("name"), sha.alias("suspected_commit_sha"),
+    return d.table("orders").select(
+        key.cast("string").alias("name"), (F.col("o_orderstatus") != "P").alias("answered"), sha.alias("suspected_commit_sha"),
         F.when(key % 3 == 0, F.array(F.lit("b.js"))).otherwise(F.array(F.lit("b.js"), F.lit("a.js"))).alias("implicated_files"),
         (key % 8 / 8.0).alias("confidence"), (key % 900).alias("latency_ms"), (key % 3).alias("repair_attempts"),
         key.alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"),
@@ -990,8 +989,8 @@ def diagnosis_cases(d: Derived) -> DataFrame:
 
 def diagnosis_answers(d: Derived) -> DataFrame:
     key = F.col("o_orderkey")
-    return d.table("orders").where("o_orderpriority <> '5-LOW'").select(
-        key.cast("string").alias("name"), (key % 3 > 0).alias("explains_the_failure"),
+    return d.table("orders").select(
+        key.cast("string").alias("name"), (F.col("o_orderpriority") != "5-LOW").alias("answered"), (key % 3 > 0).alias("explains_the_failure"),
         F.when(key % 5 == 0, "Revert limit.js").when(key % 5 == 1, "Undo SRC/PRICE.JS now").otherwise("Scale out").alias("suggested_fix"),
         (key % 8 / 8.0).alias("confidence"), (key % 900).alias("latency_ms"), (key % 3).alias("repair_attempts"),
         key.alias("input_tokens"), (key % 7).alias("output_tokens"),

@@ -16,7 +16,7 @@ def signature(expr: str) -> str:
     out = expr
     for pattern, token in V.SIGNATURE_RULES:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(token)}, 'g')"
-    return f"substr(trim(regexp_replace({out}, {quoted(V.WHITESPACE + '+')}, ' ', 'g')), 1, {V.MAX_SIGNATURE_CHARS})"
+    return f"trim(regexp_replace({out}, {quoted(V.WHITESPACE + '+')}, ' ', 'g'))"
 
 
 def strip_invisible(expr: str) -> str:
@@ -271,7 +271,7 @@ described AS (
       || '; normally ' || {bare('lines_per_minute', 1)} || ' lines/min' END AS short_sentence
   FROM incident_triggers
 ),
-incidents AS (
+incidents AS MATERIALIZED (
   SELECT md5(s.service || '|' || CAST(epoch(s.window_start) AS BIGINT)) AS anomaly_id, s.service, s.window_start, s.window_end,
     s.detected_at, s.firing_count, string_agg(d.kind, ', ' ORDER BY d.first_run, d.pos) AS kinds,
     string_agg('- ' || d.sentence, chr(10) ORDER BY d.first_run, d.pos) AS bullets,
@@ -288,7 +288,7 @@ incidents AS (
 )"""
 
 ANOMALIES = INCIDENTS + """,
-anomalies AS (
+anomalies AS MATERIALIZED (
   SELECT *, CASE WHEN outcome <> 0 THEN CASE WHEN score >= 4 THEN 'critical' WHEN score >= 3 THEN 'high'
       WHEN score >= 2 THEN 'medium' ELSE 'low' END END AS severity,
     CASE WHEN outcome <> 0 THEN 'Statistical verdict for ' || service || ': ' || trigger_count
@@ -312,7 +312,7 @@ rolled AS (
 )"""
 
 COMMITS = """
-commits AS (
+commits AS MATERIALIZED (
   SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS sha,
     TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 7919 + o_custkey * 13) % 43200) AS committed_at,
     'author ' || (o_custkey % 50) AS author, 'Change order ' || o_orderkey || ' to ' || o_orderstatus AS subject,
@@ -327,15 +327,16 @@ commits AS (
 )"""
 
 CANDIDATES = ANOMALIES + "," + COMMITS + """,
-candidates AS (
+candidates AS MATERIALIZED (
   SELECT a.anomaly_id, a.window_end - INTERVAL 48 HOURS AS since, a.window_end AS "until", c.*,
-    row_number() OVER (PARTITION BY a.anomaly_id ORDER BY committed_at DESC, sha) AS position
+    row_number() OVER (PARTITION BY a.anomaly_id ORDER BY committed_at DESC, sha) AS position,
+    count(*) OVER (PARTITION BY a.anomaly_id) AS found
   FROM anomalies a JOIN commits c ON c.committed_at BETWEEN a.window_end - INTERVAL 48 HOURS AND a.window_end
   QUALIFY position <= 25
 )"""
 
 ANSWERS = CANDIDATES + """,
-answers AS (
+answers AS MATERIALIZED (
   SELECT a.anomaly_id, CASE WHEN outcome = 5 THEN NULL WHEN outcome = 6 THEN '0000000' || substr(a.anomaly_id, 1, 5)
       ELSE upper(substr(sha, 1, 12)) END AS suspected_commit_sha,
     outcome / 10.0 AS confidence, 'Outcome ' || outcome || ' of the derived answers.' AS reasoning,
@@ -343,13 +344,13 @@ answers AS (
   FROM anomalies a LEFT JOIN candidates c ON c.anomaly_id = a.anomaly_id AND c.position = outcome
   WHERE is_real_incident
 ),
-hits AS (
+hits AS MATERIALIZED (
   SELECT n.anomaly_id, count(c.sha) AS candidate_count,
     count(*) FILTER (WHERE starts_with(c.sha, lower(trim(n.suspected_commit_sha)))) AS hit_count,
     max(c.sha) FILTER (WHERE starts_with(c.sha, lower(trim(n.suspected_commit_sha)))) AS hit_sha
   FROM answers n LEFT JOIN candidates c ON c.anomaly_id = n.anomaly_id GROUP BY n.anomaly_id
 ),
-grounded AS (
+grounded AS MATERIALIZED (
   SELECT n.*, h.candidate_count, CASE WHEN hit_count = 1 THEN hit_sha END AS sha,
     n.suspected_commit_sha IS NULL OR hit_count = 1 AS grounded,
     list_filter(n.implicated_files, lambda f: hit_count = 1 AND list_contains(list_transform(coalesce(c.files, []), lambda x: x.path), f)) AS kept_files,
@@ -357,7 +358,7 @@ grounded AS (
   FROM answers n JOIN hits h ON h.anomaly_id = n.anomaly_id
   LEFT JOIN candidates c ON c.anomaly_id = n.anomaly_id AND c.sha = h.hit_sha
 ),
-correlations AS (
+correlations AS MATERIALIZED (
   SELECT anomaly_id, sha AS suspected_commit_sha, confidence, reasoning, kept_files AS implicated_files
   FROM grounded WHERE grounded
 ),

@@ -33,16 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Give a scan of fewer splits than there are cores one partition per core.
-
-    Only a small table has so few splits, so the shuffle this adds is small; a large one is
-    returned as it is.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def logs_from_events(events: DataFrame) -> DataFrame:
     """The ``events`` table as log lines."""
     k = F.get_json_object("props", "$.k").cast("long")

@@ -17,10 +17,6 @@ def _fail(message: str, detail: Column) -> Column:
     return F.raise_error(F.concat(F.lit(message), detail))
 
 
-def _checked(value: Column, ok: Column, message: str) -> Column:
-    return F.when(ok, value).otherwise(_fail(message, value.cast("string")))
-
-
 def split_tail(chunk: Column) -> Column:
     """``struct(numstat, diff)``: what follows a header, cut at the first patch header."""
     at = F.regexp_instr(chunk, F.lit(r"(?m)^diff --git "))
@@ -35,7 +31,7 @@ def split_tail(chunk: Column) -> Column:
 def _count(raw: Column) -> Column:
     return F.when(raw == "-", F.lit(None).cast("int")).otherwise(
         F.when(raw.rlike("^[0-9]+$"), raw.try_cast("int")).otherwise(
-            _fail("git log: unparseable numstat count ", raw).cast("int")
+            _fail("commit export: bad line count: ", raw).cast("int")
         )
     )
 
@@ -48,7 +44,7 @@ def parse_numstat(block: Column) -> Column:
     def one(parts: Column) -> Column:
         path = F.get(parts, 2)
         good = F.when(F.length(path).between(1, 400), path).otherwise(
-            _fail("git log: unparseable numstat line ", F.array_join(parts, "\t"))
+            _fail("commit export: bad file line: ", F.array_join(parts, "\t"))
         )
         return F.struct(
             good.alias("path"), _count(parts[0]).alias("added"), _count(F.get(parts, 1)).alias("deleted")
@@ -57,8 +53,8 @@ def parse_numstat(block: Column) -> Column:
     return F.transform(rows, one)
 
 
-def parse_git_log(exports: DataFrame, text: str = "value") -> DataFrame:
-    """Commits from rows that each hold one whole export. A malformed record fails the job."""
+def _records(exports: DataFrame, text: str) -> DataFrame:
+    """Parsed records, with ``reason`` where one is over a limit."""
     chunks = exports.select(F.split(F.col(text), V.GIT_RECORD).alias("chunks"))
     records = chunks.select(
         F.explode(
@@ -75,29 +71,43 @@ def parse_git_log(exports: DataFrame, text: str = "value") -> DataFrame:
     header = F.col("record.header")
     good = header.rlike(rf"^[0-9a-f]{{40}}{V.GIT_UNIT}") & (F.size(F.split(header, V.GIT_UNIT)) >= 5)
     parts = F.split(
-        F.when(good, header).otherwise(_fail("git log: record without a sha and five fields: ", header)),
-        V.GIT_UNIT, 5,
+        F.when(good, header).otherwise(_fail("commit export: bad record header: ", header)), V.GIT_UNIT, 5
     )
     parsed = records.select(parts.alias("p"), split_tail(F.col("record.tail")).alias("t"))
-    when, files, body = F.try_to_timestamp(F.col("p")[1]), F.col("files"), F.col("body")
+    at = F.try_to_timestamp(F.col("p")[1])
     unpacked = parsed.select(
-        "p", F.col("t.diff").alias("diff"), parse_numstat(F.col("t.numstat")).alias("files"),
+        F.col("p")[0].alias("sha"),
+        F.coalesce(at, _fail("commit export: bad date: ", F.col("p")[1]).cast("timestamp")).alias("committed_at"),
+        F.col("p")[2].alias("author"),
+        F.col("p")[3].alias("subject"),
         trim_space(F.col("p")[4]).alias("body"),
+        parse_numstat(F.col("t.numstat")).alias("files"),
+        F.col("t.diff").alias("diff"),
     )
-    return unpacked.select(
-        F.col("p")[0].alias("sha"),
-        F.coalesce(when, _fail("git log: unparseable date ", F.col("p")[1]).cast("timestamp")).alias("committed_at"),
-        _checked(F.col("p")[2], F.length(F.col("p")[2]) <= 200, "git log: author too long: ").alias("author"),
-        _checked(F.col("p")[3], F.length(F.col("p")[3]) <= 500, "git log: subject too long: ").alias("subject"),
-        _checked(body, F.length(body) <= 4000, "git log: body too long: ").alias("body"),
-        F.when(F.size(files) <= 200, files)
-        .otherwise(_fail("git log: more than 200 files in ", F.col("p")[0]).cast(_FILES))
-        .alias("files"),
-        "diff",
+    over = [
+        F.when(F.length(name) > limit, F.lit(f"{name}: over {limit} characters")) for name, limit in _LIMITS.items()
+    ]
+    return unpacked.withColumn(
+        "reason", F.coalesce(*over, F.when(F.size("files") > MOST_FILES, F.lit(f"files: over {MOST_FILES}")))
     )
 
 
-_FILES = "array<struct<path:string,added:int,deleted:int>>"
+_LIMITS = {"author": 200, "subject": 500, "body": 4000}
+MOST_FILES = 200
+
+
+def parse_git_log(exports: DataFrame, text: str = "value") -> DataFrame:
+    """Commits from rows that each hold one whole export.
+
+    A commit over a limit is left out, see :func:`oversized_commits`. Malformed framing fails the
+    job, as what follows it could not be trusted.
+    """
+    return _records(exports, text).where(F.col("reason").isNull()).drop("reason")
+
+
+def oversized_commits(exports: DataFrame, text: str = "value") -> DataFrame:
+    """``sha, reason`` of the commits that :func:`parse_git_log` leaves out."""
+    return _records(exports, text).where(F.col("reason").isNotNull()).select("sha", "reason")
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:

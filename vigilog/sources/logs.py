@@ -68,14 +68,14 @@ def scan_logs(
     if service is not None:
         out = out.where(F.col("service") == service)
     if start is not None:
-        out = out.where(F.col("timestamp") >= F.lit(start))
+        out = out.where(F.col("timestamp") >= times.instant(start))
     if end is not None:
-        out = out.where(F.col("timestamp") < F.lit(end))
+        out = out.where(F.col("timestamp") < times.instant(end))
     if "dt" in lines.columns:
         if start is not None:
-            out = out.where(F.col("dt") >= F.to_date(F.lit(start)))
+            out = out.where(F.col("dt") >= F.to_date(times.instant(start)))
         if end is not None:
-            out = out.where(F.col("dt") <= F.to_date(F.lit(end)))
+            out = out.where(F.col("dt") <= F.to_date(times.instant(end)))
     if levels is not None:
         out = out.where(F.col("level").isin(levels))
     return out

@@ -7,17 +7,18 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilog.functions import times
 from vigilog.config import RetentionPolicy
 
 
 def cutoff(now: datetime, days: float) -> datetime | None:
     """Rows strictly older than this go; ``None`` keeps everything."""
     if days != days or days in (float("inf"), float("-inf")) or days < 0:
-        raise ValueError(f"retention must be 0 or a positive number of days, got {days}")
+        raise ValueError(f"days to keep must be finite and not negative: {days}")
     if days == 0:
         return None
     if days < 1:
-        raise ValueError(f"retention under one day would delete detection's baseline, got {days}")
+        raise ValueError(f"at least one day must be kept, as detection compares with it: {days}")
     return now - timedelta(days=days)
 
 
@@ -35,7 +36,7 @@ def prune_preview(lines: DataFrame, rollup: DataFrame, now: datetime, policy: Re
     limits = retention_cutoffs(now, policy)
 
     def doomed(frame: DataFrame, moment: str, limit: datetime | None, name: str) -> DataFrame:
-        old = F.lit(False) if limit is None else F.col(moment) < F.lit(limit)
+        old = F.lit(False) if limit is None else F.col(moment) < times.instant(limit)
         return frame.where(old).groupBy("service").agg(F.count(F.lit(1)).alias(name))
 
     counts_of_logs = doomed(lines, "timestamp", limits["logs"], "logs_deleted")
@@ -60,8 +61,8 @@ def prune(spark: SparkSession, path: str, moment: str, limit: datetime | None) -
     if limit is None:
         return
     table = spark.read.parquet(path)
-    boundary = F.to_date(F.lit(limit))
-    kept = table.where((F.col("dt") == boundary) & (F.col(moment) >= F.lit(limit)))
+    boundary = F.to_date(times.instant(limit))
+    kept = table.where((F.col("dt") == boundary) & (F.col(moment) >= times.instant(limit)))
     kept.write.partitionBy("dt").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())

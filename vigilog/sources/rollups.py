@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilog.functions import times
 from vigilog import schemas
+from vigilog.operators.rollup import on_days
 
 KEYS = ["service", "endpoint", "bucket_start"]
 
@@ -28,6 +30,7 @@ def upsert_rollup(spark: SparkSession, fresh: DataFrame, dirty: DataFrame, path:
     if _exists(spark, path):
         kept = (
             read_rollup(spark, path)
+            .where(on_days(dirty))
             .join(days, "dt", "left_semi")
             .join(dirty.select("service", "bucket_start").distinct(), ["service", "bucket_start"], "left_anti")
         )
@@ -48,8 +51,8 @@ def series(rollup: DataFrame, service: str, start: datetime, end: datetime) -> D
         rollup.where(
             (F.col("service") == service)
             & (F.col("endpoint") == "")
-            & (F.col("bucket_start") >= F.lit(start))
-            & (F.col("bucket_start") < F.lit(end))
+            & (F.col("bucket_start") >= times.instant(start))
+            & (F.col("bucket_start") < times.instant(end))
         )
         .select("bucket_start", "request_count", "error_count", "p95_ms")
         .orderBy("bucket_start")

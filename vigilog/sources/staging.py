@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folder: str | None = None
+_open: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,5 +34,22 @@ def staged(frame: DataFrame) -> DataFrame:
     planner true sizes, so that it broadcasts what is small and nothing else.
     """
     path = f"{shared_folder(frame.sparkSession)}/stage-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when the block ends, for steps that repeat for ever.
+
+    Results that read the stages must have been written by then.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,8 +1,9 @@
 """What follows a rollup: detection, incident state, alerts.
 
 The anomaly table is append-only: every run adds the rows it created or changed under its
-epoch, and the current state is the newest row per id. A run reads only epochs before its
-own and overwrites its own, so repeating it changes nothing.
+epoch, and so do verdicts, correlations, hypotheses and injection scans under a step of the
+epoch they followed. The current state is the newest row per id. A run reads only epochs before
+its own and overwrites its own, so repeating it changes nothing.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ from pyspark.sql import types as T
 
 from vigilog import schemas
 from vigilog.config import AlertPolicy, DetectionConfig
+from vigilog.functions import times
 from vigilog.operators.alerts import due_alerts
 from vigilog.operators.detect import detect_latest, firings
 from vigilog.operators.incidents import persist_run
 from vigilog.sources.logs import project_lines, read_logs, scan_logs
 from vigilog.sources.rollups import read_rollup
-from vigilog.sources.staging import staged
+from vigilog.sources.staging import staged, stages
 from vigilog.sources.tables import latest_per
 
 _EVENTS = T.StructType(schemas.ANOMALY.fields + [
     T.StructField("action", T.StringType()),
     T.StructField("added_kinds", T.ArrayType(T.StringType())),
     T.StructField("epoch", T.LongType()),
+    T.StructField("step", T.IntegerType()),
 ])
+#: What changes an anomaly within an epoch, in this order.
+STEPS = {"detected": 0, "classified": 1, "correlated": 2, "diagnosed": 3, "scanned": 4}
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,7 @@ def anomaly_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def current_anomalies(events: DataFrame) -> DataFrame:
-    newest = latest_per(events, ["anomaly_id"], F.col("epoch").desc())
+    newest = latest_per(events, ["anomaly_id"], F.struct("epoch", "step").desc())
     return newest.select(*[f.name for f in schemas.ANOMALY])
 
 
@@ -79,24 +84,49 @@ def run_detection(spark: SparkSession, watch: Watch, epoch: int) -> None:
     if moment is not None:
         silence = config.silence_lookback_minutes + config.silence_baseline_minutes
         reach = min(reach, moment - timedelta(minutes=silence))
-    rows = rows.where((F.col("dt") >= F.lit(reach.date())) & (F.col("bucket_start") >= F.lit(reach)))
+    rows = rows.where((F.col("dt") >= F.lit(reach.date())) & (F.col("bucket_start") >= times.instant(reach)))
     lines = scan_logs(project_lines(read_logs(spark, watch.logs_path)), start=reach)
-    now: Column | None = F.lit(moment) if moment is not None else None
-    # A few rows per service: written once, then joined to the anomaly table.
-    fired = staged(firings(detect_latest(lines, rows, config, now)))
-    seen_at = now if now is not None else F.lit(newest + timedelta(seconds=config.bucket_seconds))
+    now: Column | None = times.instant(moment) if moment is not None else None
+    seen_at = now if now is not None else times.instant(newest + timedelta(seconds=config.bucket_seconds))
     before = current_anomalies(_events_before(spark, watch.anomalies_path, epoch))
-    changed = persist_run(before, fired, seen_at, config)
-    changed.withColumn("epoch", F.lit(epoch).cast("long")).write.partitionBy("epoch").mode("overwrite").option(
+    with stages(spark):
+        # A few rows per service: written once, then joined to the anomaly table.
+        fired = staged(firings(detect_latest(lines, rows, config, now)))
+        _write(persist_run(before, fired, seen_at, config), watch, epoch, "detected")
+
+
+def _write(changed: DataFrame, watch: Watch, epoch: int, step: str) -> None:
+    numbered = changed.withColumns({"epoch": F.lit(epoch).cast("long"), "step": F.lit(STEPS[step])})
+    numbered.write.partitionBy("epoch", "step").mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(watch.anomalies_path)
 
 
-def detection_step(watch: Watch) -> Callable[[DataFrame, int], None]:
-    """For ``start_rollup(then=...)``: rollup first, then detection."""
+def record(anomalies: DataFrame, watch: Watch, epoch: int, step: str) -> None:
+    """Append anomalies as a later step left them, for instance with a verdict.
+
+    ``anomalies`` has the anomaly columns; rows that did not change may be left out. The next run
+    of the detection sees them: it extends a dismissed incident, and opens another for a new kind
+    of trigger.
+    """
+    rows = anomalies.select(*[f.name for f in schemas.ANOMALY]).withColumns(
+        {"action": F.lit(step), "added_kinds": F.array().cast("array<string>")}
+    )
+    _write(rows, watch, epoch, step)
+
+
+def detection_step(
+    watch: Watch, then: Callable[[SparkSession, Watch, int], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """For ``start_rollup(then=...)``: rollup first, then detection, then what ``then`` adds.
+
+    ``then`` may classify and :func:`record` verdicts, queue :func:`pending_alerts` and prune.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
         run_detection(batch.sparkSession, watch, epoch)
+        if then is not None:
+            then(batch.sparkSession, watch, epoch)
 
     return step
 
@@ -105,5 +135,5 @@ def pending_alerts(
     spark: SparkSession, watch: Watch, attempts: DataFrame, channels: list[str], policy: AlertPolicy = AlertPolicy()
 ) -> DataFrame:
     """Alerts due on the current anomalies, for whatever delivers them."""
-    now = F.lit(watch.clock()) if watch.clock else F.current_timestamp()
+    now = times.instant(watch.clock()) if watch.clock else F.current_timestamp()
     return due_alerts(current_anomalies(anomaly_events(spark, watch.anomalies_path)), attempts, channels, now, policy)
