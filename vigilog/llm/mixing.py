@@ -63,9 +63,9 @@ def targets(
 
 
 def fit(lengths: Sequence[int], counts: Sequence[int], goal: int) -> list[int]:
-    """How many of each length to take so that the words come as near to ``goal`` from below.
+    """How many of each length to take so that the words come as near to ``goal`` as possible.
 
-    Lengths are distinct. With at most ``RESERVE`` documents the answer is the best possible.
+    Lengths are distinct; of two sums equally near the smaller is taken. With at most ``RESERVE`` documents the answer is the best possible.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if goal >= total:
@@ -94,24 +94,38 @@ def fit(lengths: Sequence[int], counts: Sequence[int], goal: int) -> list[int]:
 
 
 def _knapsack(items: list[tuple[int, int, int]], budget: int) -> list[tuple[int, int]]:
-    """Numbers of each (length, count, name) whose sum is the largest not above the budget.
+    """Numbers of each (length, count, name) whose sum is the nearest to the budget.
+
+    The largest sum not above the budget says how far above it a nearer one may lie.
+    """
+    below, taken = _fill(items, budget, budget)
+    if below == budget:
+        return taken
+    above, more = _fill(items, budget, 2 * budget - below - 1)
+    return more if above > budget else taken
+
+
+def _fill(items: list[tuple[int, int, int]], budget: int, limit: int) -> tuple[int, list[tuple[int, int]]]:
+    """The smallest sum from the budget to the limit, or else the largest below, and its parts.
 
     Bit s of ``reach`` says that a sum of s words can be made; counts are split into powers of 2.
     """
-    reach, mask, steps = 1, (1 << (budget + 1)) - 1, []
+    reach, mask, steps = 1, (1 << (limit + 1)) - 1, []
     for length, count, name in items:
-        left, power = min(count, budget // length), 1
+        left, power = min(count, limit // length), 1
         while left > 0 and not reach >> budget & 1:
             k = min(power, left)
             steps.append((reach, length * k, k, name))
             reach |= (reach << (length * k)) & mask
             left, power = left - k, power * 2
-    at, taken = reach.bit_length() - 1, {}
+    over = reach >> budget
+    best = budget + (over & -over).bit_length() - 1 if over else reach.bit_length() - 1
+    at, taken = best, {}
     for before, words_, k, name in reversed(steps):
         if not before >> at & 1:
             at -= words_
             taken[name] = taken.get(name, 0) + k
-    return list(taken.items())
+    return best, list(taken.items())
 
 
 _PICKS = "_source string, size bigint, picks bigint"
