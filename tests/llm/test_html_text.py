@@ -26,6 +26,9 @@ CASES = [
     ("", ""),
     ("no markup  at\nall", "no markup at all"),
     ("<nav>only</nav>", ""),
+    ("<article><p>one<br>two<br class=x>three<br>four<br>five</p></article>", "one two three four five"),
+    ("<article><p><b>a</b> <i>b</i>c</p>\n<p>d</p></article>", "a bc d"),
+    ("<article><table><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table></article>", "1 2 3 4"),
     ("<main><p>a<sup>2</sup></p><ul><li>b<li>c</ul></main>", "a2 b c"),
     ("<article>&#65;&nbsp;&eacute; 1 < 2</article>", "A é 1 < 2"),
     ("<article><style>p{}</style><p>s<script>alert('x')", "s"),

@@ -387,10 +387,10 @@ def main_text(pieces: list[Piece], wrapper: Wrapper) -> str:
             if piece.breaks:
                 blocks.append("".join(block))
                 block = []
+            elif piece.key == "<br" or str(piece.key).startswith("<br."):
+                block.append(" ")
             elif piece.key == wanted and i not in fixed:
                 block.append(html.unescape(piece.text) if "&" in piece.text else piece.text)
-        if item.key == "<br":
-            block.append(" ")
     blocks.append("".join(block))
     return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
