@@ -17,12 +17,12 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, and those whose language stays in doubt."""
-    found = language.identify(docs, language.train(docs))
+    found = language.identify(common.pack(docs, "text"), language.train(docs))
     certain = found.where(
         (F.col("lang_pred") != language.UNDETERMINED)
         & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
     )
-    return certain.select(*[f"`{name}`" for name in docs.columns])
+    return common.unpack(certain, docs.columns, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents a twentieth of whose words, or more, lie in windows of benchmark items."""
     benchmark = common.table(spark, sf_dir, "benchmark")
-    marked = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text")
-    found = decontaminate.find_contamination(marked, benchmark)
-    return found.where(~F.col("contaminated")).select("row.*")
+    found = decontaminate.find_contamination(common.pack(docs, "text"), benchmark)
+    return common.unpack(found.where(~F.col("contaminated")), docs.columns, "text")
 
 
 def clean_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +47,11 @@ def clean_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the mix takes, with how often as ``repeats``."""
-    stored = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    sized = common.stage(stored.select("_row", "doc_id", "source", mixing.words("text").alias("size")))
-    taken = mixing.mix(sized).where("repeats > 0").select("_row", "repeats")
-    kept = common.without(stored, ["repeats"]).join(taken, "_row")
-    return kept.drop("_row")
+    row = common.unused(docs, "_row")
+    stored = common.stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    sized = stored.select(F.col(row).alias("row"), "doc_id", "source", mixing.words("text").alias("size"))
+    taken = mixing.mix(common.stage(sized)).where("repeats > 0").select(F.col("row").alias(row), "repeats")
+    return common.without(stored, ["repeats"]).join(taken, row).drop(row)
 
 
 STAGES = [

@@ -96,3 +96,20 @@ def test_run_is_the_stages_and_takes_odd_rows(spark, steps, tmp_path):
         assert result.columns == ["doc_id", "text", "lang", "source", "n_chars", "repeats"]
         kept = {r.doc_id: r.text for r in result.collect()}
         assert set(kept) <= {1, 5} and bool(kept) == bool(part) and "@" not in kept.get(5, "")
+
+
+def test_clashing_columns_come_back(spark):
+    clash = ["_row", "row", "lang_pred", "lang_score", "n_words", "hits", "items", "base", "added", "terms", "fp", "component", "none", "_key"]
+    text = "write to someone@example.org about the river and the hills of the north " * 3
+    docs = spark.createDataFrame(
+        [(1, text, "en", "a", *clash), (2, "other words altogether in this one", "en", "b", *clash)],
+        "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in clash),
+    )
+    docs = common.stage(docs)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stage(stage(spark, docs, PATH))
+        assert out.columns == docs.columns
+        assert all([r[c] for c in clash] == clash for r in out.collect()) and out.count() == 2
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, PATH)
+    assert last.columns == [*docs.columns, "repeats"]
+    assert all([r[c] for c in clash] == clash for r in last.collect())

@@ -40,6 +40,28 @@ def without(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.select(*[f"`{c}`" for c in frame.columns if c.lower() not in drop])
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame bears it."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def pack(frame: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, and all others in one column ``row``, so that no name can clash."""
+    others = [f"`{c}`" for c in frame.columns if c not in keep]
+    first = F.lit(0).alias(unused(frame, "none"))
+    return frame.select(*keep, F.struct(first, *others).alias("row"))
+
+
+def unpack(frame: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """The columns ``names`` of what was packed."""
+    return frame.select(
+        *[F.col(f"`{c}`") if c in keep else F.col("row").getField(c).alias(c) for c in names]
+    )
+
+
 def with_arrow_columns(
     frame: DataFrame,
     inputs: list[str],

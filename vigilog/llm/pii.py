@@ -320,9 +320,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     ``[WORD]``, removed terms nothing. Null texts stay null. Columns are those of ``docs``.
     """
     names = docs.columns
-    others = [f"`{c}`" for c in names if c != text]
-    packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).alias("text"))
-    found = find_spans(packed)
+    found = find_spans(common.pack(docs.withColumnRenamed(text, "text"), "text"))
 
     def compute(_: object, texts: pa.Array, base: pa.Array, added: pa.Array) -> list[pa.Array]:
         marked = (pa.compute.list_value_length(base).to_numpy(zero_copy_only=False) > 0) | (

@@ -292,11 +292,10 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     Of rows with equal keys one stays; a null key stays only where the group has no other. Rows
     come back as they were.
     """
-    order = F.struct(
-        F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("_row").alias("row")
-    )
-    stored = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    marked = fingerprints(stored.select("_row", order.alias("_key"), F.col(text).alias("text")), "text")
+    row = common.unused(docs, "_row")
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(row).alias("row"))
+    stored = common.stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    marked = fingerprints(stored.select(F.col(row), order.alias("_key"), F.col(text).alias("text")), "text")
     marked = common.stage(marked.drop("text"))
-    kept = components(marked, "_key").where("component = _key").select("_row")
-    return stored.join(kept, "_row", "left_semi").drop("_row")
+    kept = components(marked, "_key").where("component = _key").select(row)
+    return stored.join(kept, row, "left_semi").drop(row)
