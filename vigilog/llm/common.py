@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back, so that lost executors repeat little."""
     path = f"{shared_folder(frame.sparkSession)}/llm-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)  # written once, read a few times
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
