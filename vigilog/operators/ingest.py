@@ -231,14 +231,23 @@ def deduplicate_batches(batches: DataFrame) -> DataFrame:
 
     ``batches`` must have passed :func:`check_envelopes`: a refused batch is not remembered.
     A delivery counts as a replay if it follows a kept one by less than the lifetime, so the
-    kept deliveries form a chain; the chain of one key is followed in arrival order.
+    kept deliveries form a chain. A delivery at least a lifetime after the one before it always
+    begins a chain anew, so a key's arrivals are cut there and only each part is gathered.
     """
     usable = batches.where(F.col("batch_error").isNull())
     keyed = usable.where(F.col("idempotency_key").isNotNull())
-    times = keyed.groupBy("idempotency_key").agg(
-        F.array_sort(F.collect_set("received_at")).alias("arrivals")
-    )
     ttl = V.IDEMPOTENCY_TTL_MINUTES * 60_000_000
+    in_order = Window.partitionBy("idempotency_key").orderBy("received_at")
+    at_ = F.unix_micros("received_at")
+    begins = F.coalesce((at_ - F.lag(at_).over(in_order) >= ttl).cast("int"), F.lit(0))
+    times = (
+        keyed.select("idempotency_key", "received_at")
+        .distinct()
+        .withColumn("_begins", begins)
+        .withColumn("_part", F.sum("_begins").over(in_order))
+        .groupBy("idempotency_key", "_part")
+        .agg(F.array_sort(F.collect_list("received_at")).alias("arrivals"))
+    )
     chain = F.aggregate(
         "arrivals",
         F.array().cast("array<timestamp>"),
