@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -113,3 +114,22 @@ def test_query_matches_articles(spark):
         article = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
         text = " ".join(html.unescape(re.sub("<[^>]*>", " ", article)).split())
         assert found[p.page_id].text == text and found[p.page_id].n_chars == len(text)
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 500])
+def test_long_parts_without_unique_tokens_are_aligned(monkeypatch, bits):
+    rng = random.Random(bits)
+    streams = [([rng.choice("abcd") for _ in range(n)], [rng.choice("abcd") for _ in range(m)]) for n in range(1, 70, 4) for m in (1, 9, 66)]
+    best = [len(html_text._common(a, b)) for a, b in streams]
+    monkeypatch.setattr(html_text, "MOST_CELLS", 0)
+    monkeypatch.setattr(html_text, "MOST_BITS", bits)
+    for (a, b), most in zip(streams, best, strict=True):
+        pairs = html_text._common(a, b)
+        assert len(pairs) == most and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_long_irregular_pages_are_aligned():
+    rng = random.Random(2)
+    pages = [["x", *(rng.choice(["p", "div", "ul", "li", "h2"]) for _ in range(4000)), "y"] for _ in range(2)]
+    assert len(html_text._common(*pages)) > 2000

@@ -15,12 +15,12 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +31,10 @@ from vigilog.llm import common
 
 #: Longest repeated group looked for, in tokens.
 LONGEST_GROUP = 16
-#: Cells of an alignment table; longer streams are cut at tokens that both have once.
+#: Cells of an alignment table; larger ones have a bit for a cell.
 MOST_CELLS = 1 << 20
+#: Bits of such a table; where more were needed, streams are halved and the halves aligned.
+MOST_BITS = 1 << 28
 #: Wrappers up to so many bytes in all are broadcast, more are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: Hosts a task remembers before it sends their wrappers and starts anew.
@@ -191,7 +193,7 @@ def _common(a: list, b: list) -> list[tuple[int, int]]:
     pairs = [(i, i) for i in range(first)]
     x, y = a[first : len(a) - last], b[first : len(b) - last]
     if x and y:
-        inner = _table(x, y) if len(x) * len(y) <= MOST_CELLS else _anchored(x, y)
+        inner = _table(x, y) if len(x) * len(y) <= MOST_CELLS else _bits(x, y)
         pairs += [(first + i, first + j) for i, j in inner]
     return pairs + [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
 
@@ -216,38 +218,46 @@ def _table(a: list, b: list) -> list[tuple[int, int]]:
     return pairs
 
 
-def _anchored(a: list, b: list) -> list[tuple[int, int]]:
-    """Align around the middle of the keys that both streams have once, in the same order."""
-    once = {k for k, n in _counts(a).items() if n == 1} & {k for k, n in _counts(b).items() if n == 1}
-    where = {k: j for j, k in enumerate(b) if k in once}
-    tails: list[tuple[int, int, int]] = []  # (place in b, place in a, index of the previous)
-    chain: list[tuple[int, int, int]] = []
-    for i, k in enumerate(a):
-        if k in once:
-            n = bisect_left(tails, (where[k],))
-            chain.append((where[k], i, tails[n - 1][2] if n else -1))
-            tails[n : n + 1] = [(where[k], i, len(chain) - 1)]
-    at = tails[-1][2] if tails else -1
-    anchors = []
-    while at >= 0:
-        j, i, at = chain[at]
-        anchors.append((i, j))
-    pairs: list[tuple[int, int]] = []
-    x = y = 0
-    for i, j in [*reversed(anchors), (len(a), len(b))]:
-        if (i - x) * (j - y) <= MOST_CELLS:
-            pairs += [(x + p, y + q) for p, q in _table(a[x:i], b[y:j])]
-        if i < len(a) or j < len(b):
+def _rows_of_bits(a: list, b: list) -> Iterator[int]:
+    """For each prefix of ``a`` the row of the table: bit j is 0 where b[j] adds a pair."""
+    where: dict = {}
+    for j, k in enumerate(b):
+        where[k] = where.get(k, 0) | 1 << j
+    every = row = (1 << len(b)) - 1
+    for k in a:
+        if both := row & where.get(k, 0):
+            row = (row + both | row - both) & every
+        yield row
+
+
+def _pairs_before(a: list, b: list) -> np.ndarray:
+    """Most pairs of ``a`` and the first j of ``b``, for each j."""
+    row = 0
+    for row in _rows_of_bits(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - bits[: len(b)].astype(np.int64))))
+
+
+def _bits(a: list, b: list) -> list[tuple[int, int]]:
+    """As ``_table``, by operations on whole rows; halves ``a`` until its table is small."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > MOST_BITS:
+        half = len(a) // 2
+        j = int(np.argmax(_pairs_before(a[:half], b) + _pairs_before(a[half:][::-1], b[::-1])[::-1]))
+        return _bits(a[:half], b[:j]) + [(half + x, j + y) for x, y in _bits(a[half:], b[j:])]
+    rows = [(1 << len(b)) - 1, *_rows_of_bits(a, b)]
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif not rows[i - 1] >> j - 1 & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
             pairs.append((i, j))
-        x, y = i + 1, j + 1
-    return pairs
-
-
-def _counts(keys: list) -> dict:
-    found: dict = {}
-    for k in keys:
-        found[k] = found.get(k, 0) + 1
-    return found
+    return pairs[::-1]
 
 
 @dataclass
