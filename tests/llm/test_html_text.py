@@ -133,3 +133,22 @@ def test_long_irregular_pages_are_aligned():
     rng = random.Random(2)
     pages = [["x", *(rng.choice(["p", "div", "ul", "li", "h2"]) for _ in range(4000)), "y"] for _ in range(2)]
     assert len(html_text._common(*pages)) > 2000
+
+
+def test_texts_of_few_pages_stay_on_plain_pages():
+    pages = [f"<h2>Welcome</h2><div>story {i}</div><ul><li>a{i}</li><li>b{i}</li></ul>" for i in range(4)]
+    pages[1] += "<blockquote>only here</blockquote>"
+    found = wrapper_of(pages)
+    assert html_text.main_text(html_text.read_page(pages[1]), found) == "story 1 a1 b1 only here"
+    assert html_text.main_text(html_text.read_page(pages[0]), found) == "story 0 a0 b0"
+    single = "<h2>Title</h2><p>a</p><p>b</p><pre>block</pre>"
+    assert html_text.main_text(html_text.read_page(single), wrapper_of([single])) == "Title a b block"
+    # A page that is not of the wrapper's hosts has other text in the template's place.
+    assert html_text.main_text(html_text.read_page(pages[0].replace("Welcome", "Own")), found) == "Own story 0 a0 b0"
+
+
+def test_equal_wrappers_of_tasks_count_all_their_pages(spark):
+    rows = [(i, "http://a.example", f"<h2>Shop</h2><div>{i % 2}</div>", 1) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, MAIN_TEXT int").repartition(6, "page_id")
+    wrapper = html_text.Wrapper.load(html_text.infer_wrappers(pages).first()["wrapper"])
+    assert wrapper.pages == 12 and [n.pages for n in wrapper.nodes if n.mark is not None] == [12]

@@ -35,6 +35,8 @@ LONGEST_GROUP = 16
 MOST_CELLS = 1 << 20
 #: Bits of such a table; where more were needed, streams are halved and the halves aligned.
 MOST_BITS = 1 << 28
+#: Pages, and share of a host's pages, that must have a constant text for it to be template text.
+LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: Wrappers up to so many bytes in all are broadcast, more are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: Hosts a task remembers before it sends their wrappers and starts anew.
@@ -264,17 +266,27 @@ def _bits(a: list, b: list) -> list[tuple[int, int]]:
 class Node:
     """A part of a wrapper: key, whether only some pages have it, and a constant text's mark.
 
-    ``mark`` is None for a slot and for what is no text.
+    ``mark`` is None for a slot and for what is no text; ``pages`` counts the pages that have it.
     """
 
     key: str | tuple
     optional: bool = False
     mark: int | None = None
+    pages: int = 1
 
 
 @dataclass
 class Wrapper:
     nodes: list[Node]
+    pages: int = 1
+
+    def constant(self, node: Node) -> bool:
+        """Whether a text is the same on so many pages that it is the template's."""
+        return node.mark is not None and node.pages >= max(LEAST_PAGES, LEAST_SHARE * self.pages)
+
+    def times(self, n: int) -> Wrapper:
+        """The wrapper of ``n`` times as many pages."""
+        return Wrapper([Node(x.key, x.optional, x.mark, x.pages * n) for x in self.nodes], self.pages * n)
 
     @staticmethod
     def of(pieces: list[Piece]) -> Wrapper:
@@ -289,19 +301,21 @@ class Wrapper:
         made: list[Node] = []
         i = j = 0
         for x, y in [*_common([n.key for n in a], [n.key for n in b]), (len(a), len(b))]:
-            made += [Node(n.key, True, n.mark) for n in [*a[i:x], *b[j:y]]]
+            made += [Node(n.key, True, n.mark, n.pages) for n in [*a[i:x], *b[j:y]]]
             if x < len(a):
                 mark = a[x].mark if a[x].mark == b[y].mark else None
-                made.append(Node(a[x].key, a[x].optional or b[y].optional, mark))
+                made.append(Node(a[x].key, a[x].optional or b[y].optional, mark, a[x].pages + b[y].pages))
             i, j = x + 1, y + 1
-        return Wrapper(_regroup(made, set()))
+        return Wrapper(_regroup(made, set()), self.pages + other.pages)
 
     def dump(self) -> str:
-        return json.dumps([[n.key, n.optional, n.mark] for n in self.nodes], ensure_ascii=False)
+        shown = [[n.key, n.optional, n.mark, n.pages] for n in self.nodes]
+        return json.dumps([self.pages, shown], ensure_ascii=False)
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        return Wrapper([Node(_frozen(k), o, m) for k, o, m in json.loads(text)])
+        pages, nodes = json.loads(text)
+        return Wrapper([Node(_frozen(k), o, m, n) for k, o, m, n in nodes], pages)
 
     def expression(self) -> str:
         """The wrapper as a regular expression over tags, ``#`` for a slot."""
@@ -333,9 +347,13 @@ def _regroup(nodes: list[Node], groups: set[tuple]) -> list[Node]:
     while i < len(nodes):
         found = next((g for g in first.get(keys[i], ()) if tuple(keys[i : i + len(g)]) == g), None)
         size = len(found) if found else 1
-        own = Node(("+", *found), all(n.optional for n in nodes[i : i + size])) if found else nodes[i]
+        part = nodes[i : i + size]
+        own = nodes[i]
+        if found:
+            own = Node(("+", *found), all(n.optional for n in part), pages=max(n.pages for n in part))
         if out and isinstance(own.key, tuple) and out[-1].key == own.key:
-            out[-1] = Node(own.key, own.optional and out[-1].optional)  # one group goes on
+            # One group goes on.
+            out[-1] = Node(own.key, own.optional and out[-1].optional, pages=max(own.pages, out[-1].pages))
         else:
             out.append(own)
         i += size
@@ -379,17 +397,17 @@ def main_text(pieces: list[Piece], wrapper: Wrapper) -> str:
     """Texts of the page at the wrapper's content slots, as blocks joined by one space.
 
     If the page names its article, its texts are the content. If not, texts outside menus and the
-    like are, except those that are the same on all pages while other texts differ.
+    like are, except those that are the same on many pages while other texts differ.
     """
     article = has_main(pieces)
     groups = {n.key for n in wrapper.nodes if isinstance(n.key, tuple)}
     items = _regroup_pieces(fold_repeats(pieces), groups) if groups else fold_repeats(pieces)
     nodes = wrapper.nodes
-    varied = any(n.mark is None and _has(n.key, OTHER) for n in nodes)
+    varied = any(not wrapper.constant(n) and _has(n.key, OTHER) for n in nodes)
     fixed = set()
     if varied and not article:
         pairs = _common([p.key for p in items], [n.key for n in nodes])
-        fixed = {i for i, j in pairs if nodes[j].mark is not None}
+        fixed = {i for i, j in pairs if wrapper.constant(nodes[j]) and items[i].mark() == nodes[j].mark}
     wanted = IN_MAIN if article else OTHER
     blocks, block = [], []
     for i, item in enumerate(items):
@@ -437,14 +455,15 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
 
     def merge(rows: pa.Table) -> pa.Table:
         whole: Wrapper | None = None
-        for text in sorted(rows["wrapper"].to_pylist()):
-            own = Wrapper.load(text)
+        for text, n in sorted(zip(rows["wrapper"].to_pylist(), rows["n"].to_pylist(), strict=True)):
+            own = Wrapper.load(text).times(n)
             whole = own if whole is None else whole.align(own)
         return pa.table(
             {"template": rows["template"][:1], "wrapper": [whole.dump()], "expression": [whole.expression()]}
         )
 
-    found = pages.select(url, page).mapInArrow(partial, "template string, wrapper string").distinct()
+    found = pages.select(url, page).mapInArrow(partial, "template string, wrapper string")
+    found = found.groupBy("template", "wrapper").agg(F.count("*").alias("n"))
     return found.groupBy("template").applyInArrow(merge, "template string, wrapper string, expression string")
 
 
