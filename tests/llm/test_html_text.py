@@ -152,3 +152,28 @@ def test_equal_wrappers_of_tasks_count_all_their_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, MAIN_TEXT int").repartition(6, "page_id")
     wrapper = html_text.Wrapper.load(html_text.infer_wrappers(pages).first()["wrapper"])
     assert wrapper.pages == 12 and [n.pages for n in wrapper.nodes if n.mark is not None] == [12]
+
+
+def test_template_texts_inside_articles_are_left_out():
+    pages = [page(f"t{i}", [f"p{i}", f"q{i}"], inside="<div class=kicker>Support us</div>") for i in range(4)]
+    pages.append(page("t9", ["p9", "q9"], inside="<div class=kicker>Support them</div>"))
+    found = wrapper_of(pages[:4])
+    assert html_text.main_text(html_text.read_page(pages[1]), found) == "t1 p1 q1"
+    assert html_text.main_text(html_text.read_page(pages[4]), found) == "t9 p9 q9 Support them"
+    # Copies of one article are not a template, also if another page lacks one of its texts.
+    copies = wrapper_of([pages[0]] * 5 + [page("t5", ["p5", "q5"])])
+    assert html_text.main_text(html_text.read_page(pages[0]), copies) == "t0 p0 q0 Support us"
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [
+        ("<div class='with-sidebar'><article><p>own text</p><div class=ad>x</div></article></div>", "own text"),
+        ("<div class=with-sidebar><nav><article>no</article></nav><p>a</p></div>", ""),
+        ("<div>the real story</div><section id=comments><article>me too</article></section>", "the real story"),
+        ("<article>a</article><div id=comments><article><p>long comment</p></article></div>", "a"),
+        ("<article><p>a</p><div class=comments><article>b</article></div></article>", "a"),
+    ],
+)
+def test_a_word_of_an_ancestor_does_not_empty_an_article(raw, expected):
+    assert html_text.main_text(html_text.read_page(raw), wrapper_of([raw])) == expected

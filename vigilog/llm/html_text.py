@@ -16,7 +16,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from operator import eq
 
@@ -77,6 +77,8 @@ OUTSIDE_MARKS = frozenset(
 )
 
 IN_MAIN, OTHER, DROPPED = "#main", "#other", "#out"
+#: Text of an article below an element whose class, id or role says outside, while a page is read.
+_DOUBTFUL = "#doubtful"
 _TEXTS = frozenset([IN_MAIN, OTHER, DROPPED])
 
 
@@ -103,12 +105,13 @@ def _marks(more: str) -> list[str]:
 def read_page(page: str) -> list[Piece]:
     """Tags and texts of a page; each text knows whether it is in the article or outside."""
     pieces: list[Piece] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, in main
+    # Name, outside, outside by words of class, id or role alone, in main, in a main below such words.
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
     open_: dict[str, int] = {}
 
     def text(raw: str) -> None:
-        _, outside, main = stack[-1] if stack else ("", False, False)
-        kind = DROPPED if outside else IN_MAIN if main else OTHER
+        _, outside, _, main, doubtful = stack[-1] if stack else ("", False, False, False, False)
+        kind = DROPPED if outside else _DOUBTFUL if doubtful else IN_MAIN if main else OTHER
         if raw and pieces and pieces[-1].key == kind:
             pieces[-1].text += raw  # only a comment was between
         elif raw and (not raw.isspace() or kind != DROPPED):
@@ -136,12 +139,20 @@ def read_page(page: str) -> list[Piece]:
         pieces.append(Piece(".".join([f"<{name}", *marks]), breaks=name not in INLINE))
         if name in VOID or more.endswith("/") and name in ("svg", "path"):
             continue
-        _, outside, main = stack[-1] if stack else ("", False, False)
-        outside = outside or name in OUTSIDE or not OUTSIDE_MARKS.isdisjoint(marks) and name not in ("html", "body")
-        main = main or name in MAIN or not MAIN_MARKS.isdisjoint(marks) and name not in ("html", "body")
-        stack.append((name, outside, main))
+        _, outside, by_words, main, doubtful = stack[-1] if stack else ("", False, False, False, False)
+        named = name not in ("html", "body")
+        words = named and not OUTSIDE_MARKS.isdisjoint(marks)
+        by_words = by_words if outside else words and name not in OUTSIDE
+        if named and (name in MAIN or not MAIN_MARKS.isdisjoint(marks)):
+            if by_words and not main and not words:
+                outside, by_words, doubtful = False, False, True
+            main = True
+        outside = outside or name in OUTSIDE or words
+        by_words = by_words and name not in OUTSIDE
+        stack.append((name, outside, by_words, main, doubtful))
         open_[name] = open_.get(name, 0) + 1
     text(page[at:])
+    pieces = _settled(pieces)
     # White space between blocks is no text.
     return [
         p
@@ -154,6 +165,23 @@ def read_page(page: str) -> list[Piece]:
     ]
 
 
+def _settled(pieces: list[Piece]) -> list[Piece]:
+    """Articles below a class word such as ``with-sidebar`` count if the page has no other article
+    and less text elsewhere; if not, they are outside."""
+    size = {IN_MAIN: 0, OTHER: 0, _DOUBTFUL: 0}
+    for p in pieces:
+        if p.key in size:
+            size[p.key] += len(p.text.strip())
+    kind = IN_MAIN if not size[IN_MAIN] and size[_DOUBTFUL] > size[OTHER] else DROPPED
+    out: list[Piece] = []
+    for p in pieces:
+        if p.key != _DOUBTFUL:
+            out.append(p)
+        elif kind != DROPPED or not p.text.isspace():
+            out.append(Piece(kind, p.text))
+    return out
+
+
 def fold_repeats(pieces: list[Piece]) -> list[Piece]:
     """Tandem repeats, the shortest first, as one piece each; its key is the group's keys."""
     for width in range(1, LONGEST_GROUP + 1):
@@ -266,13 +294,15 @@ def _bits(a: list, b: list) -> list[tuple[int, int]]:
 class Node:
     """A part of a wrapper: key, whether only some pages have it, and a constant text's mark.
 
-    ``mark`` is None for a slot and for what is no text; ``pages`` counts the pages that have it.
+    ``mark`` is None for a slot and for what is no text; ``pages`` counts the pages that have it, and
+    ``seen`` names up to ``LEAST_PAGES`` different contents of pages with a constant text.
     """
 
     key: str | tuple
     optional: bool = False
     mark: int | None = None
     pages: int = 1
+    seen: tuple[int, ...] = ()
 
 
 @dataclass
@@ -282,15 +312,16 @@ class Wrapper:
 
     def constant(self, node: Node) -> bool:
         """Whether a text is the same on so many pages that it is the template's."""
-        return node.mark is not None and node.pages >= max(LEAST_PAGES, LEAST_SHARE * self.pages)
+        return node.mark is not None and len(node.seen) >= LEAST_PAGES and node.pages >= LEAST_SHARE * self.pages
 
     def times(self, n: int) -> Wrapper:
         """The wrapper of ``n`` times as many pages."""
-        return Wrapper([Node(x.key, x.optional, x.mark, x.pages * n) for x in self.nodes], self.pages * n)
+        return Wrapper([replace(x, pages=x.pages * n) for x in self.nodes], self.pages * n)
 
     @staticmethod
     def of(pieces: list[Piece]) -> Wrapper:
-        return Wrapper([Node(p.key, mark=p.mark() if p.key in _TEXTS else None) for p in pieces])
+        seen = (_content(pieces),)
+        return Wrapper([Node(p.key, mark=p.mark(), seen=seen) if p.key in _TEXTS else Node(p.key) for p in pieces])
 
     def align(self, other: Wrapper) -> Wrapper:
         """The wrapper that reads what either reads."""
@@ -301,21 +332,22 @@ class Wrapper:
         made: list[Node] = []
         i = j = 0
         for x, y in [*_common([n.key for n in a], [n.key for n in b]), (len(a), len(b))]:
-            made += [Node(n.key, True, n.mark, n.pages) for n in [*a[i:x], *b[j:y]]]
+            made += [replace(n, optional=True) for n in [*a[i:x], *b[j:y]]]
             if x < len(a):
                 mark = a[x].mark if a[x].mark == b[y].mark else None
-                made.append(Node(a[x].key, a[x].optional or b[y].optional, mark, a[x].pages + b[y].pages))
+                seen = () if mark is None else tuple(sorted({*a[x].seen, *b[y].seen})[:LEAST_PAGES])
+                made.append(Node(a[x].key, a[x].optional or b[y].optional, mark, a[x].pages + b[y].pages, seen))
             i, j = x + 1, y + 1
         return Wrapper(_regroup(made, set()), self.pages + other.pages)
 
     def dump(self) -> str:
-        shown = [[n.key, n.optional, n.mark, n.pages] for n in self.nodes]
+        shown = [[n.key, n.optional, n.mark, n.pages, n.seen] for n in self.nodes]
         return json.dumps([self.pages, shown], ensure_ascii=False)
 
     @staticmethod
     def load(text: str) -> Wrapper:
         pages, nodes = json.loads(text)
-        return Wrapper([Node(_frozen(k), o, m, n) for k, o, m, n in nodes], pages)
+        return Wrapper([Node(_frozen(k), o, m, n, tuple(seen)) for k, o, m, n, seen in nodes], pages)
 
     def expression(self) -> str:
         """The wrapper as a regular expression over tags, ``#`` for a slot."""
@@ -383,6 +415,14 @@ def has_main(pieces: list[Piece]) -> bool:
     return any(p.key == IN_MAIN for p in pieces)
 
 
+def _content(pieces: list[Piece]) -> int:
+    """A fingerprint of the texts that may be content; copies of an article share it."""
+    texts = [p for piece in pieces for p in _flat(piece) if p.key in _TEXTS]
+    wanted = IN_MAIN if has_main(texts) else OTHER
+    own = "\0".join(" ".join(p.text.split()) for p in texts if p.key == wanted)
+    return xxhash.xxh64_intdigest(own.encode("utf-8", "replace")) >> 1
+
+
 def host_of(url: str | None) -> str:
     match = _HOST.match(url or "")
     return match[1].lower() if match else ""
@@ -396,19 +436,19 @@ def template_of(url: str | None, pieces: list[Piece]) -> str:
 def main_text(pieces: list[Piece], wrapper: Wrapper) -> str:
     """Texts of the page at the wrapper's content slots, as blocks joined by one space.
 
-    If the page names its article, its texts are the content. If not, texts outside menus and the
-    like are, except those that are the same on many pages while other texts differ.
+    Content are the texts of its article or, if the page names none, those outside menus and the
+    like, except those that are the same on many pages while other texts differ.
     """
     article = has_main(pieces)
     groups = {n.key for n in wrapper.nodes if isinstance(n.key, tuple)}
     items = _regroup_pieces(fold_repeats(pieces), groups) if groups else fold_repeats(pieces)
     nodes = wrapper.nodes
-    varied = any(not wrapper.constant(n) and _has(n.key, OTHER) for n in nodes)
+    wanted = IN_MAIN if article else OTHER
+    varied = any(not wrapper.constant(n) and _has(n.key, wanted) for n in nodes)
     fixed = set()
-    if varied and not article:
+    if varied:
         pairs = _common([p.key for p in items], [n.key for n in nodes])
         fixed = {i for i, j in pairs if wrapper.constant(nodes[j]) and items[i].mark() == nodes[j].mark}
-    wanted = IN_MAIN if article else OTHER
     blocks, block = [], []
     for i, item in enumerate(items):
         for piece in _flat(item):
