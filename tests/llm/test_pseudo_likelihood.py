@@ -115,3 +115,15 @@ def test_query_beats_word_frequencies(spark):
     found = QUERIES["op7_pseudo_likelihood"](spark, path).agg({"log_likelihood": "sum", "n_words": "sum"}).first()
     assert found["sum(n_words)"] == plain["sum(n_words)"]
     assert found["sum(log_likelihood)"] > plain["sum(log_likelihood)"]
+
+
+def test_rounds_train_on_every_word_once(spark, monkeypatch):
+    place = np.arange(5000)
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
+    for parts in (1, 2, 8):
+        found = np.concatenate([lm.in_round(place, hashes, k, parts) for k in range(parts)])
+        assert sorted(found) == list(range(5000))
+    used = []
+    monkeypatch.setattr(lm, "_round", lambda docs, model, k, parts, text: used.append((k, parts)) or model)
+    lm.train(frame(spark, sentences(3)))
+    assert used == [(k, lm.ROUNDS) for k in range(lm.ROUNDS)]

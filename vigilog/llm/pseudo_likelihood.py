@@ -5,8 +5,8 @@ layer, and the word's probability is that of its class times that of the word in
 document's score is the sum of the logarithms over all its words.
 
 The vocabulary holds the most frequent words of all documents; other words share hashed places.
-In each round every task trains, from the common parameters, on masked words of all its
-documents; the results are averaged, weighed by words. Counts and parameters are summed by Spark
+Words fall into eight masks, and the rounds share the masks, so that every word of all documents is
+a target once. In each round every task trains, from the common parameters, on all its documents; the results are averaged, weighed by words. Counts and parameters are summed by Spark
 as whole numbers, so sums do not depend on their order, and what is gathered grows with the input.
 """
 
@@ -30,7 +30,7 @@ SHARED = 32
 DIM, HIDDEN = 8, 16
 #: Offsets of the words that predict.
 CONTEXT = (-2, -1, 1, 2)
-#: One word in so many is masked in a round; another one in the next.
+#: Masks; each round trains on its share of them, all rounds on all.
 MASK_EVERY = 8
 ROUNDS = 2
 BATCH = 1024
@@ -202,11 +202,17 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int =
     counts[VOCABULARY - SHARED :] = (total - counts.sum()) / SHARED
     model = Model(hashes[order], order, start_parameters(counts, seed))
     for k in range(rounds):
-        model = _round(docs, model, k, text)
+        model = _round(docs, model, k, min(rounds, MASK_EVERY), text)
     return model
 
 
-def _round(docs: DataFrame, model: Model, k: int, text: str) -> Model:
+def in_round(place: np.ndarray, hashes: np.ndarray, k: int, parts: int) -> np.ndarray:
+    """Places of the words that round ``k`` trains on, when ``parts`` rounds share the masks."""
+    mask = (place * 5 + (hashes >> np.uint64(60)).astype(np.int64)) % MASK_EVERY
+    return np.flatnonzero(mask % parts == k % parts)
+
+
+def _round(docs: DataFrame, model: Model, k: int, parts: int, text: str) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +226,7 @@ def _round(docs: DataFrame, model: Model, k: int, text: str) -> Model:
                 hashes, firsts = word_hashes(data[bounds[0] : bounds[-1]], bounds - bounds[0])
                 numbers = numbers_of(own, hashes)
                 place = np.arange(len(numbers)) - np.repeat(firsts[:-1], np.diff(firsts))
-                masked = np.flatnonzero((place * 5 + (hashes >> np.uint64(60)).astype(np.int64)) % MASK_EVERY == k)
+                masked = in_round(place, hashes, k, parts)
                 around = contexts(numbers, firsts)[masked]
                 for at in range(0, len(masked), BATCH):
                     part = masked[at : at + BATCH]
