@@ -127,3 +127,30 @@ def test_rounds_train_on_every_word_once(spark, monkeypatch):
     monkeypatch.setattr(lm, "_round", lambda docs, model, k, parts, text: used.append((k, parts)) or model)
     lm.train(frame(spark, sentences(3)))
     assert used == [(k, lm.ROUNDS) for k in range(lm.ROUNDS)]
+
+
+@pytest.mark.parametrize("cached", [1 << 17, 3, 0])
+def test_every_word_has_its_own_probability(spark, monkeypatch, cached):
+    monkeypatch.setattr(lm, "CACHED", cached)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.002)), 3000)}" for _ in range(200)) for _ in range(300)]
+    model = lm.train(frame(spark, texts), rounds=0)
+    counts = {}
+    for w in " ".join(texts).split():
+        counts[w] = counts.get(w, 0) + 1
+    words = sorted(counts)
+    # One word alone in a text: all start from the same context, so probabilities are of one distribution.
+    rows = lm.score(frame(spark, [*words, "neverseen"]), model).orderBy("doc_id").collect()
+    found = {w: r.log_likelihood for w, r in zip(words, rows, strict=False)}
+    unseen = lm.SHARED * np.exp(rows[-1].log_likelihood)
+    assert 0.99 < sum(np.exp(v) for v in found.values()) < 1 and len(words) > lm.VOCABULARY
+    assert unseen < 0.01
+    data, offsets = lm.common.as_bytes(lm.pa.array(words))
+    place = lm.numbers_of(model, lm.word_hashes(data, offsets)[0])
+    rare = [w for w, p in zip(words, place, strict=True) if p == lm.VOCABULARY - 1]
+    for a, b in zip(rare, rare[1:], strict=False):
+        assert found[a] - found[b] == pytest.approx(np.log((counts[a] + 1) / (counts[b] + 1)), abs=1e-5)
+    assert len({counts[w] for w in rare}) > 1
+    two = lm.score(frame(spark, ["", f"{rare[0]} {rare[0]} {rare[1]}", None]), model, keep_text=False)
+    assert two.columns == ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"]
+    assert sorted(r.n_words for r in two.collect()) == [0, 0, 3]

@@ -4,7 +4,10 @@ A network predicts each word from the two words on either side: their vectors pa
 layer, and the word's probability is that of its class times that of the word in its class. A
 document's score is the sum of the logarithms over all its words.
 
-The vocabulary holds the most frequent words of all documents; other words share hashed places.
+Every word of all documents has a probability of its own. The network's places are the most
+frequent words and hashed places that the others share; of a shared place's probability a word has
+the share of its own count. The counts stay a table that documents are joined with, so the
+vocabulary grows with the corpus.
 Words fall into eight masks, and the rounds share the masks, so that every word of all documents is
 a target once. In each round every task trains, from the common parameters, on all its documents; the results are averaged, weighed by words. Counts and parameters are summed by Spark
 as whole numbers, so sums do not depend on their order, and what is gathered grows with the input.
@@ -13,7 +16,7 @@ as whole numbers, so sums do not depend on their order, and what is gathered gro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,10 @@ CONTEXT = (-2, -1, 1, 2)
 #: Masks; each round trains on its share of them, all rounds on all.
 MASK_EVERY = 8
 ROUNDS = 2
+#: So many of the most frequent words of shared places are looked up in tasks, only rarer ones joined.
+CACHED = 1 << 17
+#: Logarithms of counts are summed as whole numbers of this unit's parts.
+_PARTS = 1 << 24
 BATCH = 1024
 RATE = 0.1
 _BLOCK = 1 << 15
@@ -54,11 +61,20 @@ PARAMETERS = sum(int(np.prod(shape)) for shape in _SHAPES.values())
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted hashes of known words with their numbers, and all parameters as one vector."""
+    """Sorted hashes of known words with their numbers, and all parameters as one vector.
+
+    ``sizes`` are the occurrences and different words of each shared place, plus one for words never
+    seen; ``cached`` and ``logs`` the sorted hashes of its frequent words with log(n + 1) in parts;
+    ``words`` the table of all counts, on the driver only.
+    """
 
     hashes: np.ndarray
     numbers: np.ndarray
     parameters: np.ndarray
+    sizes: np.ndarray | None = None
+    cached: np.ndarray | None = None
+    logs: np.ndarray | None = None
+    words: DataFrame | None = None
 
     def parts(self) -> dict[str, np.ndarray]:
         found, at = {}, 0
@@ -193,14 +209,30 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int =
     Without words every word has the same probability.
     """
     words = common.stage(count_words(docs, text))
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHARED).toArrow()
-    hashes = top["word"].to_numpy().view(np.uint64)
+    places = VOCABULARY - SHARED
+    top = words.orderBy(F.desc("n"), "word").limit(places + CACHED).toArrow()
+    every, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    hashes = every[:places]
     order = np.argsort(hashes)
+    shared = F.col("word").bitwiseAND(F.lit(SHARED - 1)).alias("place")
+    held = words.groupBy(shared).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    own = (hashes % np.uint64(SHARED)).astype(np.int64)
+    size, kinds = -np.bincount(own, n[:places], SHARED), -np.bincount(own, minlength=SHARED)
+    size[held["place"].to_numpy()] += held["n"].to_numpy()
+    kinds[held["place"].to_numpy()] += held["words"].to_numpy()
     counts = np.zeros(VOCABULARY)
-    counts[: len(hashes)] = top["n"].to_numpy()
-    total = words.agg(F.sum("n")).first()[0] or 0
-    counts[VOCABULARY - SHARED :] = (total - counts.sum()) / SHARED
-    model = Model(hashes[order], order, start_parameters(counts, seed))
+    counts[: len(hashes)] = n[:places]
+    counts[places:] = size
+    more = np.argsort(every[places:])
+    model = Model(
+        hashes[order],
+        order,
+        start_parameters(counts, seed),
+        size + kinds + 1,
+        every[places:][more],
+        np.round(np.log(n[places:][more] + 1.0) * _PARTS).astype(np.int64),
+        words if len(every) == places + CACHED else None,
+    )
     for k in range(rounds):
         model = _round(docs, model, k, min(rounds, MASK_EVERY), text)
     return model
@@ -213,11 +245,11 @@ def in_round(place: np.ndarray, hashes: np.ndarray, k: int, parts: int) -> np.nd
 
 
 def _round(docs: DataFrame, model: Model, k: int, parts: int, text: str) -> Model:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.hashes, model.numbers, model.parameters))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        own = Model(start.hashes, start.numbers, start.parameters.copy())
+        own = replace(start, parameters=start.parameters.copy())
         seen, words = np.full(PARAMETERS, 1e-4, np.float32), 0
         for batch in batches:
             data, offsets = common.as_bytes(batch.column(0))
@@ -248,35 +280,100 @@ def _round(docs: DataFrame, model: Model, k: int, parts: int, text: str) -> Mode
     if not len(values):
         return model
     mean = values[1:] / (values[0] * _FIXED)
-    return Model(model.hashes, model.numbers, mean.astype(np.float32))
+    return replace(model, parameters=mean.astype(np.float32))
+
+
+def own_shares(
+    model: Model, numbers: np.ndarray, hashes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of shared places: where they are, log(n + 1) in parts less that of the place's size,
+    and whether the count is still to be added, as the word is not cached."""
+    at = np.flatnonzero(numbers >= VOCABULARY - SHARED)
+    logs = -np.round(np.log(model.sizes) * _PARTS).astype(np.int64)[numbers[at] - (VOCABULARY - SHARED)]
+    missing = np.ones(len(at), bool)
+    if len(model.cached):
+        places = np.minimum(np.searchsorted(model.cached, hashes[at]), len(model.cached) - 1)
+        missing = model.cached[places] != hashes[at]
+        logs += np.where(missing, 0, model.logs[places])
+    return at, logs, missing
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Append ``n_words``, ``log_likelihood`` (the sum) and ``mean_log_likelihood``.
 
     A text without words, null or empty, has 0 words, a sum of 0 and a null mean. Columns of the
-    input named like the new ones are replaced.
+    input named like the new ones are replaced; ``keep_text`` false leaves out the text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, words=None))
+    joined = model.words is not None
+    names = [f.name for f in _SCORES]
+    kept = common.without(docs, names)
+    row, rare = common.unused(kept, "_row"), common.unused(kept, "_rare")
 
     def compute(_: object, column: pa.Array) -> list[pa.Array]:
+        own = shared.value
         data, offsets = common.as_bytes(column)
         words, sums = np.zeros(len(column), np.int64), np.zeros(len(column))
+        rare_ends, rare_words, rare_times = [0], [], []
         for first, last in common.chunks(offsets):
             bounds = offsets[first : last + 1]
             hashes, firsts = word_hashes(data[bounds[0] : bounds[-1]], bounds - bounds[0])
-            numbers = numbers_of(shared.value, hashes)
-            logs = log_probabilities(shared.value, numbers, contexts(numbers, firsts))
+            numbers = numbers_of(own, hashes)
+            logs = log_probabilities(own, numbers, contexts(numbers, firsts))
             words[first:last] = np.diff(firsts)
             filled = np.flatnonzero(np.diff(firsts))
             if len(filled):
                 sums[first + filled] = np.add.reduceat(logs, firsts[:-1][filled])
+            if own.sizes is None:
+                continue
+            at, parts, missing = own_shares(own, numbers, hashes)
+            owner = np.searchsorted(firsts, at, side="right") - 1
+            totals = np.concatenate(([0], np.cumsum(parts)))
+            ends = np.searchsorted(owner, np.arange(last - first + 1))
+            sums[first:last] += (totals[ends[1:]] - totals[ends[:-1]]) / _PARTS
+            if joined:
+                # Words of a text once each, with how often.
+                pairs = np.stack((owner[missing], hashes[at][missing].view(np.int64)), axis=1)
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                new = np.ones(len(pairs), bool)
+                new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+                starts = np.flatnonzero(new)
+                rare_words.append(pairs[starts, 1])
+                rare_times.append(np.diff(np.append(starts, len(pairs))))
+                ends = np.searchsorted(pairs[starts, 0], np.arange(1, last - first + 1))
+                rare_ends += (ends + rare_ends[-1]).tolist()
         mean = np.divide(sums, words, out=np.zeros(len(sums)), where=words > 0)
-        return [pa.array(words), pa.array(sums), pa.array(mean, mask=words == 0)]
-
-    fields = [
-        T.StructField("n_words", T.LongType(), False),
-        T.StructField("log_likelihood", T.DoubleType(), False),
-        T.StructField("mean_log_likelihood", T.DoubleType(), True),
-    ]
-    return common.with_arrow_columns(docs, [text], fields, compute)
+        made = [pa.array(words), pa.array(sums), pa.array(mean, mask=words == 0)]
+        if joined:
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rare_words, rare_times)]
+            entries = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in flat], ["word", "times"])
+            made.append(pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), entries))
+        return made
+
+    if not joined:
+        found = common.with_arrow_columns(docs, [text], _SCORES, compute)
+        return found if keep_text else found.drop(text)
+    fields = [*_SCORES, T.StructField(rare, _RARE, False)]
+    marked = common.with_arrow_columns(kept.withColumn(row, F.monotonically_increasing_id()), [text], fields, compute)
+    stored = common.stage(marked if keep_text else marked.drop(text))
+    each = stored.select(row, F.explode(rare).alias("r")).select(row, "r.word", "r.times")
+    counted = model.words.select("word", F.round(F.log(F.col("n") + 1.0) * _PARTS).cast("long").alias("log"))
+    added = each.join(counted, "word").groupBy(row).agg(F.sum(F.col("times") * F.col("log")).alias("_added"))
+    # Only texts with rare words are shuffled.
+    apart = F.size(rare) == 0
+    part = common.pack(stored.where(~apart).drop(rare), row)
+    part = part.join(added, row, "left")
+    total = F.col("row").getField("log_likelihood") + F.coalesce("_added", F.lit(0)) / F.lit(float(_PARTS))
+    mean = total / F.col("row").getField("n_words")
+    new = {"log_likelihood": total, "mean_log_likelihood": mean}
+    columns = [c for c in stored.columns if c not in (row, rare)]
+    part = part.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+    return stored.where(apart).select(*[f"`{c}`" for c in columns]).unionByName(part)
+
+
+_SCORES = [
+    T.StructField("n_words", T.LongType(), False),
+    T.StructField("log_likelihood", T.DoubleType(), False),
+    T.StructField("mean_log_likelihood", T.DoubleType(), True),
+]
+_RARE = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("times", T.LongType())]))

@@ -105,7 +105,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum and mean of the log probabilities of every document's words."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    found = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs), keep_text=False)
     return found.select("doc_id", "n_words", "log_likelihood", "mean_log_likelihood")
 
 
