@@ -136,3 +136,25 @@ def test_query(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [
             sum(k == kind for k, _, _ in base) for kind in PATTERNS
         ]
+
+
+def test_terms_are_found_in_all_texts(spark):
+    texts = [*CORPUS, "é Zebra zebra; zebras a@b.org zebra@x.org", None, "one falcon " * 3]
+    near = brute_added(texts[:-2] + [""] + texts[-1:])
+    action = {}
+    for text, spans in zip(texts, near, strict=True):
+        for kind, a, b in spans:
+            word = text[a:b].lower()
+            action[word] = max(action.get(word, ""), kind)
+    expected = []
+    for text in texts:
+        own = [] if text is None else [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", text)]
+        base = brute(text or "")
+        free = [w for w in own if not any(a < w[2] and w[1] < b for _, a, b in base)]
+        expected.append(sorted((action[w], a, b) for w, a, b in free if w in action))
+    assert sum(map(len, expected)) > sum(map(len, near))
+    for keep in (True, False):
+        found = pii.find_spans(rows(spark, texts), keep_text=keep, everywhere=True).orderBy("doc_id").collect()
+        assert [sorted((s["kind"], s.start, s.end) for s in r.added) for r in found] == expected
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows(spark, CORPUS), everywhere=True).collect()}
+    assert "zebra" not in clean[4] and len(clean) == len(CORPUS)

@@ -13,12 +13,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ GENERALISE_FROM = 0.75
 REMOVE_FROM = 0.95
 #: Slots of the bitmap that tells candidate terms from other words; its size is fixed.
 _SLOTS = 1 << 22
+#: Slots of the bitmap over numbers of rows.
+_ROW_SLOTS = 1 << 19
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -198,16 +202,39 @@ def _category(word: bytes) -> str:
     return "NAME" if word.decode()[0].isupper() else "WORD"
 
 
+def _bitmap(candidates: DataFrame) -> Broadcast:
+    """The slots of ``candidates``, packed, for all tasks."""
+    slots = candidates.select("slot").distinct().toArrow()["slot"].to_numpy()
+    bitmap = np.zeros(_SLOTS, bool)
+    bitmap[slots] = True
+    return candidates.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+
+def _wanted_words(
+    data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of some texts, and of the words whose slot is wanted the starts, ends
+    and texts, counted from 0."""
+    own = common.LOWER[data[offsets[0] : offsets[-1]]]
+    bounds = offsets - offsets[0]
+    inside = _IS_TERM[own]
+    # Words never span two texts: cut at the first byte of each.
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    cuts = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(own))]
+    cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]]) if len(cuts) else cuts
+    starts = np.sort(np.concatenate((np.flatnonzero(edges == 1), cuts)))
+    ends = np.sort(np.concatenate((np.flatnonzero(edges == -1), cuts)))
+    hits = np.flatnonzero(wanted[_slots(own, starts, ends)])
+    return own, starts[hits], ends[hits], np.searchsorted(bounds, starts[hits], side="right") - 1
+
+
 def _documents_with(docs: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
     """For each candidate ``term``, the number ``n_t`` of documents with that word.
 
     A bitmap of fixed size first drops words that are no candidate; the join on the words
     themselves then is exact.
     """
-    slots = candidates.select("slot").distinct().toArrow()["slot"].to_numpy()
-    bitmap = np.zeros(_SLOTS, bool)
-    bitmap[slots] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    packed = _bitmap(candidates)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(packed.value).view(bool)
@@ -215,20 +242,10 @@ def _documents_with(docs: DataFrame, candidates: DataFrame, text: str) -> DataFr
             data, offsets = common.as_bytes(batch.column(0))
             counts: dict[bytes, int] = {}
             for first, last in common.chunks(offsets):
-                own = common.LOWER[data[offsets[first] : offsets[last]]]
-                bounds = offsets[first : last + 1] - offsets[first]
-                inside = _IS_TERM[own]
-                # Words never span two texts: cut at the first byte of each.
-                edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
-                cuts = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(own))]
-                cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]]) if len(cuts) else cuts
-                starts = np.sort(np.concatenate((np.flatnonzero(edges == 1), cuts)))
-                ends = np.sort(np.concatenate((np.flatnonzero(edges == -1), cuts)))
-                hits = np.flatnonzero(wanted[_slots(own, starts, ends)])
+                own, starts, ends, owner = _wanted_words(data, offsets[first : last + 1], wanted)
                 raw = own.tobytes()
                 seen = set()
-                owner = np.searchsorted(bounds, starts[hits], side="right").tolist()
-                for a, b, i in zip(starts[hits].tolist(), ends[hits].tolist(), owner, strict=True):
+                for a, b, i in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
                     if (i, word := raw[a:b]) not in seen:
                         seen.add((i, word))
                         counts[word] = counts.get(word, 0) + 1
@@ -269,37 +286,115 @@ def disclosing_terms(
     counted = counted.withColumn("share", F.when(bits > 0, pmi / bits).otherwise(0.0))
     action = F.when(F.col("share") >= remove, REMOVED).otherwise(GENERALISED)
     return counted.where(F.col("share") >= generalise).select(
-        "entity", "term", "share", action.alias("action")
+        "entity", "term", "slot", "share", action.alias("action")
     )
 
 
-def find_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, reach: int = NEAR_WORDS) -> DataFrame:
+def _occurrences(docs: DataFrame, flagged: DataFrame, text: str) -> DataFrame:
+    """(``_row``, ``term``, ``p``) of each word of ``docs`` whose slot is a flagged term's and that
+    lies outside base spans, in code points."""
+    packed = _bitmap(flagged)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(packed.value).view(bool)
+        for batch in batches:
+            data, offsets = common.as_bytes(batch.column(1))
+            for first, last in common.chunks(offsets):
+                bounds = offsets[first : last + 1]
+                own, starts, ends, owner = _wanted_words(data, bounds, wanted)
+                lower, raw = own.tobytes(), data[bounds[0] : bounds[-1]].tobytes()
+                rows, terms, kinds, froms, tos = [], [], [], [], []
+                text_, begin, points, spans = -1, 0, None, []
+                for a, b, i in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
+                    if i != text_:
+                        text_, begin = i, int(bounds[i] - bounds[0])
+                        whole = raw[begin : int(bounds[i + 1] - bounds[0])]
+                        points, row = _points(whole), batch.column(0)[first + i].as_py()
+                        spans = sorted((x, y) for _, x, y in base_spans(whole))
+                        reach = list(accumulate((y for _, y in spans), max))
+                    x, y = a - begin, b - begin
+                    k = bisect_left(spans, (y, 0))
+                    if k and reach[k - 1] > x:
+                        continue
+                    rows.append(row)
+                    terms.append(lower[a:b].decode())
+                    kinds.append(_category(raw[a:b]))
+                    froms.append(x if points is None else int(points[x]))
+                    tos.append(y if points is None else int(points[y]))
+                place = pa.StructArray.from_arrays(
+                    [pa.array(kinds, pa.string()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64())],
+                    ["kind", "start", "end"],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.int64()), pa.array(terms, pa.string()), place], names=["_row", "term", "p"]
+                )
+
+    fields = [
+        T.StructField("_row", T.LongType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("p", _SPAN),
+    ]
+    return docs.select("_row", text).mapInArrow(scan, T.StructType(fields))
+
+
+def find_spans(
+    docs: DataFrame,
+    text: str = "text",
+    keep_text: bool = True,
+    reach: int = NEAR_WORDS,
+    everywhere: bool = False,
+) -> DataFrame:
     """Append ``base`` (spans of the patterns) and ``added`` (spans of disclosing terms).
 
     Spans are (kind, start, end) in code points, end exclusive; ``added`` kinds are
     ``generalised`` and ``removed``, with the term's ``category``. A null or empty text has none.
-    Terms near several entities take the strongest action. Repeated rows count as documents of
-    their own. Columns of the input named like the new ones are replaced; ``keep_text`` false
-    leaves out the text, which is then not written anew.
+    Terms near several entities take the strongest action. With ``everywhere`` all occurrences of
+    a term in all texts are spans, without it those near its entity. Repeated rows count as
+    documents of their own. Columns of the input named like the new ones are replaced;
+    ``keep_text`` false leaves out the text, which is then not written anew.
     """
     docs = common.without(docs, ["base", "added", "terms", "_row"])
-    marked = detect(docs.withColumn("_row", F.monotonically_increasing_id()), text, reach)
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    if everywhere and not keep_text:
+        # The texts are scanned again, so rows must keep their numbers.
+        numbered = common.stage(numbered)
+    marked = detect(numbered, text, reach)
     stored = common.stage(marked if keep_text else marked.drop(text))
-    flagged = disclosing_terms(stored, stored if keep_text else docs, text)
-    near = stored.select("_row", F.explode("terms").alias("t")).select("_row", "t.*")
-    hits = near.join(flagged.select("entity", "term", "action"), ["entity", "term"])
-    hits = hits.select("_row", "action", F.explode("places").alias("p"))
+    texts = stored if keep_text else numbered
+    flagged = disclosing_terms(stored, texts, text)
+    if everywhere:
+        flagged = common.stage(flagged.groupBy("term", "slot").agg(F.max("action").alias("action")))
+        hits = _occurrences(texts, flagged, text).join(flagged.select("term", "action"), "term")
+    else:
+        near = stored.select("_row", F.explode("terms").alias("t")).select("_row", "t.*")
+        hits = near.join(flagged.select("entity", "term", "action"), ["entity", "term"])
+        hits = hits.select("_row", "action", F.explode("places").alias("p"))
     hits = hits.groupBy("_row", "p").agg(F.max("action").alias("kind"))  # "removed" is the greater
     span = F.struct("kind", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.kind").alias("category"))
     spans = hits.groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("added"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,category:string>>")
-    # Only rows with an entity can get spans, so the other texts are not shuffled.
-    apart = F.size("terms") == 0
+    if everywhere:
+        spans = common.stage(spans)
+        apart = ~_maybe_in(spans)
+    else:
+        apart = F.size("terms") == 0
+    # Only rows that can get spans are shuffled, not the other texts.
     plain = stored.where(apart).drop("terms", "_row").withColumn("added", none)
     joined = stored.where(~apart).drop("terms").join(spans, "_row", "left").drop("_row")
     return plain.unionByName(joined.withColumn("added", F.coalesce("added", none)))
 
 
+def _maybe_in(spans: DataFrame) -> Column:
+    """False only for rows without ``spans``, by a bitmap of fixed size over ``_row``."""
+    slot = lambda: F.pmod(F.xxhash64("_row"), F.lit(_ROW_SLOTS))
+    slots = spans.select(slot().alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bitmap = np.zeros(_ROW_SLOTS, bool)
+    bitmap[slots] = True
+    shown = F.lit(bytearray(np.packbits(bitmap).tobytes()))
+    byte = F.conv(F.hex(F.substring(shown, (F.floor(slot() / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (F.lit(7) - slot() % 8).cast("int")) == 1
+
+
 def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each (start, end, replacement) put in; of overlapping spans the first counts.
 
@@ -313,14 +408,14 @@ def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", everywhere: bool = False) -> DataFrame:
     """Rows with personal data and disclosing terms replaced in the text; other texts unchanged.
 
     Base spans become their kind in brackets, generalised terms ``[NAME]``, ``[NUMBER]`` or
     ``[WORD]``, removed terms nothing. Null texts stay null. Columns are those of ``docs``.
     """
     names = docs.columns
-    found = find_spans(common.pack(docs.withColumnRenamed(text, "text"), "text"))
+    found = find_spans(common.pack(docs.withColumnRenamed(text, "text"), "text"), everywhere=everywhere)
 
     def compute(_: object, texts: pa.Array, base: pa.Array, added: pa.Array) -> list[pa.Array]:
         marked = (pa.compute.list_value_length(base).to_numpy(zero_copy_only=False) > 0) | (
