@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.llm import (
+    centroids,
     common,
     decontaminate,
     html_text,
     language,
+    lines,
     mixing,
     neighbours,
     pii,
@@ -17,6 +19,7 @@ from vigilog.llm import (
     simhash,
     tokens,
     toxicity,
+    whitening,
 )
 
 #: Pieces that words are cut into.
@@ -175,6 +178,98 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(index, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the first principal components, whitened."""
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.whiten(vectors, whitening.fit(vectors))
+    # Sums of squares beyond a long (from some 10^9 rows on) are null here, exact in the operator.
+    deviation = F.col("deviation").try_cast("bigint").alias("deviation")
+    return found.select("vec_id", "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds."""
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    sums = [F.col(c).try_cast("bigint").alias(c) for c in ("distance", "cluster_inertia", "inertia")]
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return centroids.cluster(vectors).select("vec_id", "cluster", *sums, digest)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the lines that another one had first."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.drop_shared_lines(docs)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _op12_sql() -> str:
+    """The rounds written out one after the other; whole numbers below 2**53 are exact as doubles."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64
+)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY mark, x) - 1 AS cluster, x AS c
+  FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS mark, x FROM kept ORDER BY 1, 2 LIMIT 8)
+)""",
+    ]
+    for turn in range(centroids.ROUNDS + 1):
+        parts.append(
+            f"""a{turn} AS MATERIALIZED (
+  SELECT rid, min(p) AS best FROM (
+    SELECT rid, struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster := cluster) AS p
+    FROM kept, c{turn})
+  GROUP BY rid
+)"""
+        )
+        if turn == centroids.ROUNDS:
+            break
+        parts.append(
+            f"""c{turn + 1} AS MATERIALIZED (
+  SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{turn} o LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY i) AS c FROM (
+      SELECT cluster, i, floor(sum(v) / count(*)) AS mean FROM (
+        SELECT a.best.cluster AS cluster, unnest(k.x) AS v, generate_subscripts(k.x, 1) AS i
+        FROM kept k JOIN a{turn} a USING (rid))
+      GROUP BY cluster, i)
+    GROUP BY cluster) m USING (cluster)
+)"""
+        )
+    last = centroids.ROUNDS
+    return (
+        "WITH "
+        + ", ".join(parts)
+        + f"""
+SELECT k.vec_id, CAST(a.best.cluster AS INTEGER) AS cluster, CAST(a.best.d AS BIGINT) AS distance,
+       CAST(sum(a.best.d) OVER (PARTITION BY a.best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(f.c, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM kept k JOIN a{last} a USING (rid) JOIN c{last} f ON f.cluster = a.best.cluster
+"""
+    )
+
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), worded AS (
+  SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM split
+), keyed AS MATERIALIZED (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM worded
+), shared AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT k.rid, k.doc_id, k.line, k.place, s.key IS NOT NULL AND k.doc_id <> s.first AS gone
+      FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+GROUP BY rid, doc_id
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -186,5 +281,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
+    "op13_line_dedup": op13_line_dedup,
 }
-ORACLES = {"op8_decontamination": OP8_SQL}
+ORACLES = {"op8_decontamination": OP8_SQL, "op12_centroids": _op12_sql(), "op13_line_dedup": OP13_SQL}
