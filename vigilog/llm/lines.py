@@ -211,7 +211,7 @@ def probe(lines: DataFrame, index: DataFrame, shards: int, slice_lines: int = SL
     counts = dealt.groupBy("shard").agg(F.ceil(F.count("*") / slice_lines).cast("int").alias("slices"))
     counts = common.stage(counts)
     copies = index.join(counts, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    sliced = dealt.join(counts, "shard").withColumn("slice", F.pmod(F.xxhash64("unit", "place"), "slices").cast("int"))
+    sliced = dealt.join(counts, "shard").withColumn("slice", F.pmod(F.xxhash64("doc", "unit", "place"), "slices").cast("int"))
     both = copies.drop("slices").unionByName(sliced.drop("slices"), allowMissingColumns=True)
     ordered = both.repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.asc_nulls_first("place"))
     return ordered.mapInArrow(_probe, "doc bigint, unit bigint, place int")
