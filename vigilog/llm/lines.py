@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,17 +34,10 @@ SHARD_KEYS = 1 << 17
 SLICE_LINES = 1 << 17
 #: Bits of a level for each key that is left.
 BITS_PER_KEY = 2
-_BLANKS = " \t\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a missing document key: such rows are one document, after all others.
 _LAST_DOCUMENT = (1 << 63) - 1
 
 
-def line_key(line: str | Column) -> Column:
-    """The line without blanks at its ends and with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(_BLANKS)), _UPPER, _UPPER.lower())
-
-
 def _document(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(_LAST_DOCUMENT))
 
@@ -52,20 +46,52 @@ def _text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def line_hashes(data: np.ndarray, offsets: np.ndarray, least_chars: int) -> tuple[np.ndarray, ...]:
+    """Row, place, and two hashes of the key of each line whose key is long enough.
+
+    ``data`` are the texts' UTF-8 bytes. A key is the line without blanks at its ends and with A-Z in
+    lower case.
+    """
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
+    ends = np.sort(np.concatenate((breaks, offsets[1:])))
+    counts = 1 + np.diff(np.searchsorted(breaks, offsets))
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    shown = np.flatnonzero(~common.BLANK[data])
+    first, past = np.searchsorted(shown, starts), np.searchsorted(shown, ends)
+    some = np.flatnonzero(past > first)
+    starts, ends = shown[first[some]], shown[past[some] - 1] + 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    long = points[ends] - points[starts] >= least_chars
+    row, place = row[some[long]], place[some[long]]
+    raw, digest = memoryview(common.LOWER[data].tobytes()), xxhash.xxh3_128_digest
+    spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+    hashes = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in spans]), np.int64).reshape(-1, 2)
+    return row, place, hashes[:, 0], hashes[:, 1]
+
+
 def hashed_lines(docs: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
     """A row for each line whose key is long enough: doc, unit, place, h1, h2.
 
     ``unit`` tells texts of one document key apart.
     """
-    single = docs.select(
-        _document(key).alias("doc"),
-        F.xxhash64(_text(text)).alias("unit"),
-        F.posexplode(F.split(_text(text), "\n")).alias("place", "line"),
-    )
-    keyed = single.withColumn("line", line_key("line")).where(F.char_length("line") >= least_chars)
-    return keyed.select(
-        "doc", "unit", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, unit = batch.column("doc").to_numpy(), batch.column("unit").to_numpy()
+            data, offsets = common.as_bytes(batch.column("text"))
+            for first, last in common.chunks(offsets):
+                part = offsets[first : last + 1]
+                row, place, h1, h2 = line_hashes(data[part[0] : part[-1]], part - part[0], least_chars)
+                row = row + first
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[row]), pa.array(unit[row]), pa.array(place.astype(np.int32)), pa.array(h1), pa.array(h2)],
+                    names=["doc", "unit", "place", "h1", "h2"],
+                )
+
+    texts = docs.select(_document(key).alias("doc"), F.xxhash64(_text(text)).alias("unit"), _text(text).alias("text"))
+    return texts.mapInArrow(run, "doc bigint, unit bigint, place int, h1 bigint, h2 bigint")
 
 
 def shared_keys(lines: DataFrame) -> DataFrame:
