@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, lines, rollup_rows
+from vigilog import fixed_values as V
 from vigilog.config import DetectionConfig
+from vigilog.functions import times
 from vigilog.operators import detect, frames, incidents, rollup, signatures
-from vigilog.schemas import ANOMALY, FIRING
+from vigilog.schemas import ANOMALY, FIRING, TRIGGER
 
 CONFIG = DetectionConfig()
 
@@ -161,6 +163,49 @@ def test_islands_equal_the_sequential_merge(spark):
     assert sorted(got) == sorted(expected)
 
 
+def test_actions_and_chunks_equal_one_firing_at_a_time(spark):
+    rng = random.Random(5)
+    names = list(V.TRIGGER_WEIGHTS)
+    rows, expected = [], []
+    for n in range(12):
+        service, end = f"s{n}", 5
+        known, last, number = set(), None, 0
+        for _ in range(rng.randint(1, 60)):
+            # Some steps are longer than a chunk, some incidents last for many chunks.
+            end += rng.choice([1, 3, 9, 14, 15, 16, 17, 400] if n % 3 else [1, 14])
+            kinds = rng.sample(names, rng.randint(1, 2))
+            opens = last is None or last < end - 5 - 10
+            known, number = (set() if opens else known), number + opens
+            rows.append((service, end - 5, end, kinds))
+            expected.append((service, number, end, "created" if opens else "extended", sorted(set(kinds) - known)))
+            known |= set(kinds)
+            last = end
+    small = replace(CONFIG, baseline_buckets=4, window_buckets=1)
+    assert frames.chunk_seconds(small) == 24 * 60
+    for config in (small, CONFIG):
+        out = incidents.firing_actions(firing_frame(spark, rows), config).collect()
+        got = [(r.service, r.incident_no, (r.window_end.astimezone(at(0).tzinfo) - at(0)).total_seconds() / 60, r.action, r.added_kinds) for r in out]
+        assert sorted(got) == sorted(expected)
+
+
+def test_a_hot_service_is_spread_over_chunks(spark):
+    n = 1_000_000
+    minute = F.col("id") + 30 * F.floor(F.col("id") / 1000)  # a pause of half an hour after each thousand
+    end = times.shift(F.lit(at(0)), minute * 60)
+    kind = F.when(F.col("id") % 1000 == 500, V.ERROR_RATE_SPIKE).otherwise(V.LATENCY_JUMP)
+    trigger = F.struct(*[(kind if f.name == "kind" else F.lit(None)).cast(f.dataType).alias(f.name) for f in TRIGGER])
+    firings = spark.range(n).select(
+        F.lit("hot").alias("service"), times.shift(end, -300).alias("window_start"), end.alias("window_end"), F.array(trigger).alias("triggers")
+    )
+    local = incidents._in_chunks(firings, CONFIG)
+    assert local.groupBy("service", "_chunk").count().agg(F.max("count")).first()[0] <= frames.chunk_seconds(CONFIG) // 60
+    # What is ordered by service alone is one row a chunk.
+    assert incidents._scan_chunks(local, CONFIG).count() < n // 200
+    merged = incidents.merge_incidents(firings, CONFIG)
+    row = merged.agg(F.count("*"), F.min("firing_count"), F.max("firing_count"), F.min(F.size("triggers")), F.max(F.size("triggers"))).first()
+    assert tuple(row) == (n // 1000, 1000, 1000, 2, 2)
+
+
 def anomaly(service, start, end, kinds, status):
     empty = [None] * 14
     return (f"id-{service}", at(end), at(start), at(end), service, [(k, service, *empty) for k in kinds], None, None, None, None, None, None, status)

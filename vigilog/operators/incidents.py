@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,11 @@ from vigilog import fixed_values as V
 from vigilog.config import DetectionConfig
 from vigilog.functions import times
 from vigilog.functions.triggers import added_kinds, has_trigger, kinds, merge_triggers
+from vigilog.operators.frames import chunk_seconds
 from vigilog.schemas import ANOMALY
+from vigilog.sources.staging import staged
+
+_KINDS = list(V.TRIGGER_WEIGHTS)
 
 
 def anomaly_id(service: Column, window_start: Column) -> Column:
@@ -23,21 +29,88 @@ def _order() -> list[Column]:
     return [F.col("window_end"), silent_last, F.col("window_start")]
 
 
+def _kind_bits(triggers: Column) -> Column:
+    """The kinds of an array of triggers as bits of an integer."""
+    held = [F.when(has_trigger(triggers, kind), 1 << i).otherwise(0) for i, kind in enumerate(_KINDS)]
+    return reduce(Column.__add__, held).cast("int")
+
+
+def _in_chunks(firings: DataFrame, config: DetectionConfig) -> DataFrame:
+    """Number the firings inside (service, time chunk), as if each chunk were a history of its own.
+
+    ``_run`` counts the chunk's firings from 1; ``_part`` counts the incidents that begin in it, not
+    with its first firing, whose incident may have begun before.
+    """
+    inside = Window.partitionBy("service", "_chunk").orderBy(*_order())
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # In run order the latest end so far is that of the firing before.
+    begins = F.lag("window_end").over(inside) < times.shift(F.col("window_start"), -config.merge_gap_minutes * 60)
+    return (
+        firings.withColumn("_chunk", F.floor(F.unix_seconds("window_end") / chunk_seconds(config)))
+        .withColumn("_run", F.row_number().over(inside))
+        .withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int"))
+        .withColumn("_part", F.sum("_begins").over(upto))
+        .withColumn("_bits", _kind_bits(F.col("triggers")))
+    )
+
+
+def _scan_chunks(local: DataFrame, config: DetectionConfig) -> DataFrame:
+    """One row a chunk: what the chunks before it leave to it.
+
+    ``_opens`` says that its first firing begins an incident, ``_runs`` and ``_incidents`` count what
+    was before (``_incidents`` with the one its first firing belongs to), ``_carried`` has the kinds
+    that the incident still open at its start has had so far.
+    """
+    summary = (
+        local.groupBy("service", "_chunk", "_part")
+        .agg(
+            F.count("*").alias("n"), F.bit_or("_bits").alias("bits"), F.min("_run").alias("run"),
+            F.min_by("window_start", "_run").alias("start"), F.max("window_end").alias("end"),
+        )
+        .groupBy("service", "_chunk")
+        .agg(
+            F.sum("n").alias("_n"), F.max("_part").alias("_begun"), F.max_by("bits", "_part").alias("_tail"),
+            F.min_by("start", "run").alias("_start"), F.max("end").alias("_end"),
+        )
+    )
+    in_order = Window.partitionBy("service").orderBy("_chunk")
+    before, upto = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.lag("_end").over(in_order)
+    opens = ended.isNull() | (ended < times.shift(F.col("_start"), -config.merge_gap_minutes * 60))
+    same = Window.partitionBy("service", "_island").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        summary.withColumn("_opens", opens.cast("int"))
+        .withColumn("_runs", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_incidents", F.coalesce(F.sum(F.col("_begun") + F.col("_opens")).over(before), F.lit(0)) + F.col("_opens"))
+        # Chunks through which one incident goes on; the last part of the first of them belongs to it.
+        .withColumn("_island", F.sum(F.when(F.col("_begun") + F.col("_opens") > 0, 1).otherwise(0)).over(upto))
+        .withColumn("_held", F.bit_or("_tail").over(same))
+        .withColumn("_carried", F.when(F.col("_opens") == 0, F.lag("_held").over(in_order)).otherwise(0))
+        .select("service", "_chunk", "_opens", "_runs", "_incidents", "_carried")
+    )
+
+
+def _numbered(firings: DataFrame, config: DetectionConfig) -> DataFrame:
+    """Firings with run and incident numbers, by a segmented scan over time chunks.
+
+    A task orders the firings of one service and chunk; only one summary row a chunk is ordered by
+    service. So a service with a long history is spread over tasks.
+    """
+    local = staged(_in_chunks(firings, config))
+    return (
+        local.join(_scan_chunks(local, config), ["service", "_chunk"])
+        .withColumn("run_no", F.col("_runs") + F.col("_run"))
+        .withColumn("incident_no", F.col("_incidents") + F.col("_part"))
+    )
+
+
 def assign_incidents(firings: DataFrame, config: DetectionConfig) -> DataFrame:
-    """Add ``window_first`` (start of the incident), ``incident_no`` and the run order ``run_no``.
+    """Add ``incident_no`` and the run order ``run_no``.
 
     A firing joins the incident before it unless it starts more than the merge gap after
-    everything seen so far. Only firings are grouped here, at most one per service and
-    bucket, so the group of one service is bounded by the length of the history.
+    everything seen so far.
     """
-    by_run = Window.partitionBy("service").orderBy(*_order())
-    before = by_run.rowsBetween(Window.unboundedPreceding, -1)
-    gap = config.merge_gap_minutes * 60
-    seen_until = F.max("window_end").over(before)
-    opens = seen_until.isNull() | (seen_until < times.shift(F.col("window_start"), -gap))
-    flagged = firings.withColumn("run_no", F.row_number().over(by_run)).withColumn("_opens", opens.cast("int"))
-    upto = Window.partitionBy("service").orderBy("run_no").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("incident_no", F.sum("_opens").over(upto)).drop("_opens")
+    return _numbered(firings, config).select(*firings.columns, "run_no", "incident_no")
 
 
 def merge_incidents(firings: DataFrame, config: DetectionConfig) -> DataFrame:
@@ -49,7 +122,7 @@ def merge_incidents(firings: DataFrame, config: DetectionConfig) -> DataFrame:
     single = assign_incidents(firings, config).select(
         "service", "incident_no", "run_no", "window_start", "window_end", F.posexplode("triggers").alias("pos", "trigger")
     )
-    # Grouped by keys that begin with the service, like the windows before: no more shuffles.
+    # Every aggregate is combined in the tasks first, so an incident that never ends is no hot group.
     per_kind = single.groupBy("service", "incident_no", F.col("trigger.kind").alias("kind")).agg(
         F.min(F.struct("run_no", "pos")).alias("first"),
         F.max_by("trigger", "run_no").alias("trigger"),
@@ -74,17 +147,21 @@ def merge_incidents(firings: DataFrame, config: DetectionConfig) -> DataFrame:
 
 def firing_actions(firings: DataFrame, config: DetectionConfig) -> DataFrame:
     """Per firing: whether it created or extended an incident, and which kinds it added."""
-    incident = Window.partitionBy("service", "incident_no")
-    single = (
-        assign_incidents(firings, config)
-        .withColumn("kind", F.explode(kinds(F.col("triggers"))))
-        .withColumn("_opening", F.min("run_no").over(incident))
-        .withColumn("_first", F.min("run_no").over(Window.partitionBy("service", "incident_no", "kind")))
+    earlier = (
+        Window.partitionBy("service", "_chunk", "_part").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = F.when(F.col("_part") == 0, F.col("_carried")).otherwise(0)
+    known = F.coalesce(F.bit_or("_bits").over(earlier), F.lit(0)).bitwiseOR(carried)
+    created = (F.col("_begins") == 1) | ((F.col("_run") == 1) & (F.col("_opens") == 1))
+    fresh = [
+        F.when(F.col("_bits").bitwiseAND(F.bitwise_not("_known")).bitwiseAND(F.lit(1 << i)) != 0, F.lit(kind))
+        for i, kind in enumerate(_KINDS)
+    ]
+    return _numbered(firings, config).withColumn("_known", known).select(
+        "service", "incident_no", "window_start", "window_end",
+        F.when(created, "created").otherwise("extended").alias("action"),
+        F.array_sort(F.array_compact(F.array(*fresh))).alias("added_kinds"),
     )
-    return single.groupBy("service", "incident_no", "run_no", "window_start", "window_end").agg(
-        F.when(F.max("_opening") == F.col("run_no"), "created").otherwise("extended").alias("action"),
-        F.array_sort(F.collect_list(F.when(F.col("_first") == F.col("run_no"), F.col("kind")))).alias("added_kinds"),
-    ).drop("run_no")
 
 
 def as_anomalies(incidents: DataFrame) -> DataFrame:
