@@ -3,6 +3,7 @@ import random
 from dataclasses import replace
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,48 @@ def test_rollup_percentiles(spark):
     assert exact.p == pytest.approx(8.95)
 
 
+PS = {"low": 0.0, "m": 0.5, "p95": 0.95, "p99": 0.99, "top": 1.0}
+
+
+def test_a_hot_key_is_searched_by_cells(spark):
+    n = 1_000_000
+    mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(1e6)
+    values = spark.range(n).select(F.lit("hot").alias("k"), F.when(F.col("id") % 3 > 0, mixed).otherwise(mixed / 1e9 - 3).alias("v"))
+    exact = np.sort([r.v for r in values.collect()])
+    assert len(np.unique(exact)) > 0.99 * n
+    found = rollup.grouped_percentiles(values, ["k"], "v", PS, most_values=1000).collect()
+    assert len(found) == 1
+    for name, p in PS.items():
+        assert getattr(found[0], name) == pytest.approx(np.percentile(exact, 100 * p), rel=1e-12)
+    plan = rollup.order_statistics(values, ["k"], "v", {"m": F.lit(n // 2)})._jdf.queryExecution().toString()
+    assert "Sort [_value" not in plan and "collect_list" not in plan
+    assert rollup.order_statistics(values, ["k"], "v", {"m": F.lit(n // 2)}).first().m == exact[n // 2]
+
+
+def test_searched_and_sorted_percentiles_are_equal(spark):
+    rng = random.Random(9)
+    inf, nan = float("inf"), float("nan")
+    pools = [[1.0], [1, 2, 3, 10], [-5.0, -1e-300, 0.0, 1e-300, 7], [inf, 1.0, -inf, 2], [nan, 1.0, inf], [1e300, 1.0, 2.0, 3.0], [100 + i / 1e9 for i in range(50)]]
+    rows = [(f"k{i}", float(v)) for i, pool in enumerate(pools) for v in pool for _ in range(rng.randint(1, 4))]
+    rows += [("k0", None), ("none", None), (None, 4.0), (None, 6.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    plain, searched = (
+        sorted(str(tuple(r)) for r in rollup.grouped_percentiles(frame, ["k"], "v", PS, most_values=most).collect())
+        for most in (1 << 18, 0)
+    )
+    assert plain == searched and len(plain) == len(pools) + 2
+    mixed = sorted(str(tuple(r)) for r in rollup.grouped_percentiles(frame, ["k"], "v", PS, most_values=8).collect())
+    assert mixed == plain
+
+
+def test_rollup_of_a_hot_bucket_equals_the_plain_one(spark):
+    rng = random.Random(2)
+    data = [(rng.choice([0.1, 0.2, 1.5, 3.5]), rng.choice(["a", "b"]), rng.choice(["info", "error"]), "m", rng.uniform(1, 900)) for _ in range(400)]
+    frame = lines(spark, data)
+    plain, searched = (sorted(map(tuple, rollup.rollup(frame, most_values=most).collect())) for most in (1 << 18, 60))
+    assert plain == searched
+
+
 def test_rollup_does_not_depend_on_partitioning(spark):
     rng = random.Random(1)
     log = lines(spark, [(rng.random() * 30, rng.choice("ab"), rng.choice(["info", "error"]), "m", rng.randint(1, 999)) for _ in range(2000)])
