@@ -54,10 +54,10 @@ for _plain in _POSSESSIVE:
 def squeeze(text: Column) -> Column:
     """Collapse runs of whitespace to one blank and trim.
 
-    A single blank, by far the most frequent run, is left alone rather than replaced.
+    Characters are replaced one by one first, so that the pattern only meets runs of blanks.
     """
-    other = V.WHITESPACE.replace(r"\r \x", r"\r\x")
-    return F.trim(F.regexp_replace(text, f"{V.WHITESPACE}{{2,}}+|{other}", " "))
+    blanks = F.translate(text, V.WHITESPACE_CHARS, " " * len(V.WHITESPACE_CHARS))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def trim_space(text: Column) -> Column:
