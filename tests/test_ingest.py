@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,45 @@ def test_replays_within_the_lifetime_are_dropped(spark):
     assert sorted(r.batch_id for r in kept.collect()) == ["b0", "b2", "b4", "b5", "b6", "b7"]
 
 
+def kept_one_by_one(arrivals):
+    kept = []
+    for key, second in sorted(arrivals):
+        if not kept or kept[-1][0] != key or second - kept[-1][1] >= 600:
+            kept.append((key, second))
+    return kept
+
+
+def delivered(spark, arrivals):
+    made = spark.createDataFrame([(k, float(s)) for k, s in arrivals], "idempotency_key string, second double")
+    return made.withColumn("received_at", F.timestamp_micros((F.col("second") * 1e6).cast("long"))).withColumn("batch_error", F.lit(None).cast("string"))
+
+
+@pytest.mark.parametrize("most", [0, 20, 1000])
+def test_chains_over_blocks_equal_one_delivery_at_a_time(spark, most):
+    rng = random.Random(4)
+    arrivals = []
+    for k in range(6):
+        second = rng.uniform(-50_000, 50_000)
+        for _ in range(rng.choice([1, 15, 400])):
+            second += rng.choice([0.5, 37, 299, 300, 599.5, 600, 601, 5000, 40_000] if k % 2 else [1, 250])
+            arrivals += [(f"key-{k}", second)] * rng.choice([1, 1, 2])
+    kept = ingest.deduplicate_batches(delivered(spark, arrivals), most).collect()
+    assert sorted((r.idempotency_key, r.second) for r in kept) == kept_one_by_one(arrivals)
+
+
+def test_a_key_that_posts_every_second_for_a_week(spark):
+    seconds = 7 * 86_400
+    posted = spark.range(seconds).select(
+        F.lit("steady").alias("idempotency_key"), F.timestamp_seconds(F.col("id")).alias("received_at"),
+        F.lit(None).cast("string").alias("batch_error"), "id",
+    )
+    kept = sorted(r.id for r in ingest.deduplicate_batches(posted).collect())
+    assert kept == list(range(0, seconds, 600))
+    times = posted.select(F.col("idempotency_key").alias("key"), F.unix_micros("received_at").alias("at"))
+    block = F.floor(F.col("at") / (ingest.BLOCK_LIFETIMES * 600_000_000))
+    assert times.groupBy("key", block).count().agg(F.max("count")).first()[0] <= ingest.BLOCK_LIFETIMES * 600
+
+
 def test_ingest_order_is_unique_for_batches_that_arrive_together(spark):
     rows = [(f"b{b}", i, at(0)) for b in range(5) for i in range(50)] + [("c", i, at(1)) for i in range(50)]
     entry_ = json.dumps(BASE)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as V
 from vigilog.functions import answers as A
 from vigilog.functions import text
+from vigilog.sources.staging import staged
 
 REASON_TIMESTAMP_INVALID = "timestamp: neither an ISO-8601 date nor a number of milliseconds"
 REASON_TIMESTAMP_OLD = (
@@ -226,39 +231,119 @@ def envelope_report(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate_batches(batches: DataFrame) -> DataFrame:
+#: Arrivals of a key up to which they are chained as one array.
+MOST_ARRIVALS = 1000
+#: Length of a time block of a busier key, in lifetimes.
+BLOCK_LIFETIMES = 32
+
+
+def deduplicate_batches(batches: DataFrame, most_arrivals: int = MOST_ARRIVALS) -> DataFrame:
     """Keep the first delivery of an idempotency key within its lifetime; others pass.
 
     ``batches`` must have passed :func:`check_envelopes`: a refused batch is not remembered.
     A delivery counts as a replay if it follows a kept one by less than the lifetime, so the
-    kept deliveries form a chain. A delivery at least a lifetime after the one before it always
-    begins a chain anew, so a key's arrivals are cut there and only each part is gathered.
+    kept deliveries form a chain. Keys with few arrivals are chained as arrays of bounded size,
+    busy ones in time blocks, see :func:`kept_in_blocks`.
     """
     usable = batches.where(F.col("batch_error").isNull())
     keyed = usable.where(F.col("idempotency_key").isNotNull())
-    ttl = V.IDEMPOTENCY_TTL_MINUTES * 60_000_000
-    in_order = Window.partitionBy("idempotency_key").orderBy("received_at")
-    at_ = F.unix_micros("received_at")
-    begins = F.coalesce((at_ - F.lag(at_).over(in_order) >= ttl).cast("int"), F.lit(0))
-    times = (
-        keyed.select("idempotency_key", "received_at")
-        .distinct()
-        .withColumn("_begins", begins)
-        .withColumn("_part", F.sum("_begins").over(in_order))
-        .groupBy("idempotency_key", "_part")
-        .agg(F.array_sort(F.collect_list("received_at")).alias("arrivals"))
+    times = staged(
+        keyed.select(F.col("idempotency_key").alias("key"), F.unix_micros("received_at").alias("at")).distinct()
+    )
+    busy = times.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_arrivals).select("key")
+    if busy.isEmpty():
+        firsts = _kept_in_arrays(times)
+    else:
+        busy = staged(busy)
+        few, many = times.join(busy, "key", "left_anti"), times.join(busy, "key", "left_semi")
+        firsts = _kept_in_arrays(few).unionByName(kept_in_blocks(many))
+    firsts = firsts.select(F.col("key").alias("idempotency_key"), F.timestamp_micros("at").alias("received_at"))
+    kept = keyed.join(firsts, ["idempotency_key", "received_at"], "left_semi").dropDuplicates(
+        ["idempotency_key", "received_at"]
     )
+    return kept.select(*usable.columns).unionByName(usable.where(F.col("idempotency_key").isNull()))
+
+
+_LIFETIME = V.IDEMPOTENCY_TTL_MINUTES * 60_000_000
+
+
+def _kept_in_arrays(times: DataFrame) -> DataFrame:
     chain = F.aggregate(
-        "arrivals",
-        F.array().cast("array<timestamp>"),
+        F.array_sort(F.collect_list("at")),
+        F.array().cast("array<bigint>"),
         lambda kept, at: F.when(
-            (F.size(kept) == 0)
-            | (F.unix_micros(at) - F.unix_micros(F.try_element_at(kept, F.lit(-1))) >= ttl),
-            F.concat(kept, F.array(at)),
+            (F.size(kept) == 0) | (at - F.try_element_at(kept, F.lit(-1)) >= _LIFETIME), F.concat(kept, F.array(at))
         ).otherwise(kept),
     )
-    firsts = times.select("idempotency_key", F.explode(chain).alias("received_at"))
-    kept = keyed.join(firsts, ["idempotency_key", "received_at"], "left_semi").dropDuplicates(
-        ["idempotency_key", "received_at"]
+    return times.groupBy("key").agg(chain.alias("kept")).select("key", F.explode("kept").alias("at"))
+
+
+def _next_kept(at: np.ndarray) -> np.ndarray:
+    """For each of the sorted arrivals the place of the first one a lifetime later, or their number."""
+    return np.searchsorted(at, at + _LIFETIME)
+
+
+def _block_function(key: tuple, rows: pa.Table) -> pa.Table:
+    """What a block does to the last kept time: where it may begin to keep, and what it keeps last.
+
+    The last kept time lies before the block, so the first arrival it keeps is one of those within
+    a lifetime of its start, or the one after them.
+    """
+    name, block = key
+    at = np.sort(rows["at"].to_numpy())
+    follow = _next_kept(at)
+    last = np.where(follow < len(at), follow, np.arange(len(at)))
+    while (last[last] != last).any():  # pointers double: as many steps as the block's lifetimes have bits
+        last = last[last]
+    start = block.as_py() * BLOCK_LIFETIMES * _LIFETIME
+    entries = min(int(np.searchsorted(at, start + _LIFETIME)) + 1, len(at))
+    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (at[:entries], at[last[:entries]])]
+    return pa.table([pa.array([name.as_py()]), pa.array([block.as_py()], pa.int64()), *lists], names=["key", "block", "entries", "exits"])
+
+
+def _chain_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks by key and time: the first arrival that each keeps. Only the last kept time is held."""
+    name, kept = None, None
+    for batch in batches:
+        rows = []
+        for key, block, entries, exits in zip(*[batch.column(c) for c in ("key", "block", "entries", "exits")], strict=True):
+            if key.as_py() != name:
+                name, kept = key.as_py(), None
+            entries = entries.values.to_numpy()
+            place = 0 if kept is None else int(np.searchsorted(entries, kept + _LIFETIME))
+            if place < len(entries):
+                rows.append((name, block.as_py(), int(entries[place])))
+                kept = int(exits.values[place].as_py())
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)],
+            names=["key", "block", "first"],
+        )
+
+
+def _kept_of_block(key: tuple, rows: pa.Table) -> pa.Table:
+    at = np.sort(rows["at"].to_numpy())
+    follow = _next_kept(at)
+    place, kept = int(np.searchsorted(at, rows["first"][0].as_py())), []
+    while place < len(at):
+        kept.append(int(at[place]))
+        place = int(follow[place])
+    return pa.table([pa.array([key[0].as_py()] * len(kept), pa.string()), pa.array(kept, pa.int64())], names=["key", "at"])
+
+
+def kept_in_blocks(times: DataFrame) -> DataFrame:
+    """The kept arrivals of distinct (key, at), by composing functions over time blocks.
+
+    Each block of a key's arrivals becomes a function from the last kept time before it to its
+    own last one. Blocks, not arrivals, are then chained in the order of time, and each block
+    follows its own chain from the arrival found. No task holds more than a block of a key.
+    """
+    length = BLOCK_LIFETIMES * _LIFETIME
+    dealt = times.withColumn("block", F.floor(F.col("at") / length))
+    functions = dealt.groupBy("key", "block").applyInArrow(
+        _block_function, "key string, block bigint, entries array<bigint>, exits array<bigint>"
     )
-    return kept.select(*usable.columns).unionByName(usable.where(F.col("idempotency_key").isNull()))
+    firsts = (
+        functions.repartition("key").sortWithinPartitions("key", "block").mapInArrow(_chain_blocks, "key string, block bigint, first bigint")
+    )
+    return dealt.join(firsts, ["key", "block"]).groupBy("key", "block").applyInArrow(_kept_of_block, "key string, at bigint")
