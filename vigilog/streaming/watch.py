@@ -2,8 +2,9 @@
 
 The anomaly table is append-only: every run adds the rows it created or changed under its
 epoch, and so do verdicts, correlations, hypotheses and injection scans under a step of the
-epoch they followed. The current state is the newest row per id. A run reads only epochs before
-its own and overwrites its own, so repeating it changes nothing.
+epoch they followed. The current state is the newest row per id, read from a snapshot and the
+epochs after it (:mod:`vigilog.sources.events`). A run reads only epochs before its own and
+overwrites its own, so repeating it changes nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from vigilog.functions import times
 from vigilog.operators.alerts import due_alerts
 from vigilog.operators.detect import detect_latest, firings
 from vigilog.operators.incidents import persist_run
+from vigilog.sources.events import EventLog
 from vigilog.sources.logs import project_lines, read_logs, scan_logs
 from vigilog.sources.rollups import read_rollup
 from vigilog.sources.staging import staged, stages
@@ -48,9 +50,17 @@ class Watch:
     # The wall clock of a run, with time zone, for silence; without it that detector does not run.
     clock: Callable[[], datetime] | None = None
 
+    @property
+    def anomalies(self) -> EventLog:
+        return EventLog(self.anomalies_path, _EVENTS, "anomaly_id")
+
+    def now(self) -> Column:
+        return times.instant(self.clock()) if self.clock else F.current_timestamp()
+
 
 def anomaly_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_EVENTS).parquet(path)
+    """Every change of every anomaly."""
+    return EventLog(path, _EVENTS, "anomaly_id").history(spark)
 
 
 def current_anomalies(events: DataFrame) -> DataFrame:
@@ -58,13 +68,6 @@ def current_anomalies(events: DataFrame) -> DataFrame:
     return newest.select(*[f.name for f in schemas.ANOMALY])
 
 
-def _events_before(spark: SparkSession, path: str, epoch: int) -> DataFrame:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], _EVENTS)
-    return anomaly_events(spark, path).where(F.col("epoch") < epoch)
-
-
 def newest_bucket(rollup_rows: DataFrame) -> datetime | None:
     """One value: where the newest bucket starts."""
     seconds = rollup_rows.agg(F.max(F.unix_seconds("bucket_start"))).first()[0]
@@ -88,18 +91,11 @@ def run_detection(spark: SparkSession, watch: Watch, epoch: int) -> None:
     lines = scan_logs(project_lines(read_logs(spark, watch.logs_path)), start=reach)
     now: Column | None = times.instant(moment) if moment is not None else None
     seen_at = now if now is not None else times.instant(newest + timedelta(seconds=config.bucket_seconds))
-    before = current_anomalies(_events_before(spark, watch.anomalies_path, epoch))
+    before = watch.anomalies.state_before(spark, epoch).select(*[f.name for f in schemas.ANOMALY])
     with stages(spark):
         # A few rows per service: written once, then joined to the anomaly table.
         fired = staged(firings(detect_latest(lines, rows, config, now)))
-        _write(persist_run(before, fired, seen_at, config), watch, epoch, "detected")
-
-
-def _write(changed: DataFrame, watch: Watch, epoch: int, step: str) -> None:
-    numbered = changed.withColumns({"epoch": F.lit(epoch).cast("long"), "step": F.lit(STEPS[step])})
-    numbered.write.partitionBy("epoch", "step").mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(watch.anomalies_path)
+        watch.anomalies.append(persist_run(before, fired, seen_at, config), epoch, STEPS["detected"])
 
 
 def record(anomalies: DataFrame, watch: Watch, epoch: int, step: str) -> None:
@@ -112,7 +108,7 @@ def record(anomalies: DataFrame, watch: Watch, epoch: int, step: str) -> None:
     rows = anomalies.select(*[f.name for f in schemas.ANOMALY]).withColumns(
         {"action": F.lit(step), "added_kinds": F.array().cast("array<string>")}
     )
-    _write(rows, watch, epoch, step)
+    watch.anomalies.append(rows, epoch, STEPS[step])
 
 
 def detection_step(
@@ -135,5 +131,4 @@ def pending_alerts(
     spark: SparkSession, watch: Watch, attempts: DataFrame, channels: list[str], policy: AlertPolicy = AlertPolicy()
 ) -> DataFrame:
     """Alerts due on the current anomalies, for whatever delivers them."""
-    now = times.instant(watch.clock()) if watch.clock else F.current_timestamp()
-    return due_alerts(current_anomalies(anomaly_events(spark, watch.anomalies_path)), attempts, channels, now, policy)
+    return due_alerts(watch.anomalies.state(spark), attempts, channels, watch.now(), policy)
