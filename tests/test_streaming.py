@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from helpers import at, millis
 from vigilog.config import DetectionConfig
-from vigilog.operators import rollup
+from vigilog.operators import detect, rollup
 from vigilog.sources import logs as log_source
-from vigilog.sources.rollups import read_rollup
+from vigilog.sources.rollups import read_rollup, read_signatures
 from vigilog.streaming import ingest, watch
 from vigilog.streaming import rollup as stream_rollup
 
@@ -158,3 +158,36 @@ def test_dismissed_incident_is_extended_but_a_new_trigger_opens_one(spark, tmp_p
     reopened = run("b3", 18, slow)
     assert {r.anomaly_id: r.status for r in reopened}[spike[0].anomaly_id] == "dismissed"
     assert sorted(r.status for r in reopened) == ["dismissed", "open"]
+
+
+def test_stored_signatures_replace_the_scan_of_the_baseline(spark, tmp_path):
+    base = str(tmp_path)
+    config = DetectionConfig(baseline_buckets=10, min_baseline_buckets=5, window_buckets=2)
+    scanning = watch.Watch(f"{base}/logs", f"{base}/rollup", f"{base}/anomalies", config)
+    stored = watch.Watch(f"{base}/logs", f"{base}/rollup", f"{base}/anomalies-2", config, signatures_path=f"{base}/signatures")
+
+    def both(batch, epoch):
+        watch.run_detection(spark, scanning, epoch)
+        watch.run_detection(spark, stored, epoch)
+
+    logs = spark.readStream.schema(log_source.schemas.LOGS)
+    parts = [
+        [entry(m + i / 10, "error" if i == 0 else "info", f"known {m}") for m in range(14) for i in range(3)],
+        [entry(14 + i / 50, "error", f"known {i}" if i % 3 else f"boom at row {i}") for i in range(20)],
+        [entry(12.5 + i / 50, "error", f"boom at row {i}") for i in range(3)] + [entry(15.5, "error", "rare once")],  # late lines
+    ]
+    for n, entries in enumerate(parts):
+        post(f"{base}/in", f"b{n}", 16 + n, entries)
+        ingest_all(spark, base)
+        stream_rollup.start_rollup(
+            logs.parquet(f"{base}/logs"), f"{base}/logs", f"{base}/rollup", f"{base}/ck-rollup", then=both,
+            signatures_path=f"{base}/signatures", **ONCE,
+        ).awaitTermination()
+    events = [sorted(map(str, watch.anomaly_events(spark, w.anomalies_path).collect())) for w in (scanning, stored)]
+    assert events[0] == events[1] and "new_error_signature" in events[0][0]
+    full = stream_rollup.stored_buckets(log_source.project_lines(log_source.read_logs(spark, f"{base}/logs")), 60)
+    table = read_signatures(spark, f"{base}/signatures").drop("dt")
+    assert sorted(map(str, table.collect())) == sorted(map(str, full.select(*table.columns).collect()))
+    lines = log_source.project_lines(log_source.read_logs(spark, f"{base}/logs"))
+    frame = detect.detect_latest(lines, read_rollup(spark, f"{base}/rollup"), config, None, read_signatures(spark, f"{base}/signatures"))
+    assert not any("/logs/" in name for name in frame.inputFiles())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from vigilog.functions import times
 from vigilog.functions.numbers import safe_z
 from vigilog.functions.triggers import make_trigger
 from vigilog.operators.frames import latest_frames, sliding_frames
-from vigilog.operators.signatures import new_signatures, new_signatures_at
+from vigilog.operators.signatures import new_signatures, new_signatures_at, new_signatures_stored
 
 TEXT_SILENT_SERVICE = "silent: covered by the service_silent check"
 
@@ -150,16 +152,30 @@ def backtest(lines: DataFrame, rollup_rows: DataFrame, config: DetectionConfig)
     return _run_detectors(sliding_frames(rollup_rows, config), new_signatures(lines, config), config)
 
 
+def reach_of(newest: datetime, config: DetectionConfig) -> datetime:
+    """Nothing at the end point of the bucket that begins at ``newest`` looks further back."""
+    return newest - timedelta(seconds=config.reach_seconds)
+
+
 def detect_latest(
-    lines: DataFrame, rollup_rows: DataFrame, config: DetectionConfig, now: Column | None = None
+    lines: DataFrame,
+    rollup_rows: DataFrame,
+    config: DetectionConfig,
+    now: Column | None = None,
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """One detection run at the newest bucket.
 
     With ``now`` the silence detector runs first; a silent service is not judged by its
     stale window. Its silence is reported as a row of its own with status ``silent``.
+    With ``buckets``, the stored signatures by bucket, no line is read but for silence.
     """
     frames = latest_frames(rollup_rows, config)
-    judged = _run_detectors(frames, new_signatures_at(lines, frames, config), config)
+    if buckets is None:
+        fresh = new_signatures_at(lines, frames, config)
+    else:
+        fresh = new_signatures_stored(buckets, frames, config)
+    judged = _run_detectors(frames, fresh, config)
     if now is None:
         return judged
     silent = silence_firings(lines, now, config)

@@ -190,11 +190,10 @@ def rollup(lines: DataFrame, bucket_seconds: int = 60, most_values: int = MOST_V
     )
 
 
-def rollup_dirty(lines: DataFrame, dirty: DataFrame, bucket_seconds: int = 60) -> DataFrame:
-    """Recompute the dirty (service, bucket) keys from all of their lines.
+def lines_of_dirty(lines: DataFrame, dirty: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+    """All lines of the dirty (service, bucket) keys.
 
-    Lateness is unbounded, so late lines are never dropped: they make their bucket dirty. The
-    days of a table by day are put in as literals, so that only they are scanned.
+    The days of a table by day are put in as literals, so that only they are scanned.
     """
     keys = dirty.select("service", "bucket_start").distinct()
     bucketed = with_bucket(lines, bucket_seconds)
@@ -205,7 +204,15 @@ def rollup_dirty(lines: DataFrame, dirty: DataFrame, bucket_seconds: int = 60) -
         )
     else:
         bucketed = bucketed.join(keys, ["service", "bucket_start"], "left_semi")
-    return rollup(bucketed.drop("bucket_start"), bucket_seconds)
+    return bucketed.drop("bucket_start")
+
+
+def rollup_dirty(lines: DataFrame, dirty: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+    """Recompute the dirty (service, bucket) keys from all of their lines.
+
+    Lateness is unbounded, so late lines are never dropped: they make their bucket dirty.
+    """
+    return rollup(lines_of_dirty(lines, dirty, bucket_seconds), bucket_seconds)
 
 
 def on_days(dirty: DataFrame) -> Column:

@@ -93,19 +93,51 @@ def new_signatures(lines: DataFrame, config: DetectionConfig) -> DataFrame:
     return _most_frequent(judged)
 
 
-def new_signatures_at(lines: DataFrame, frames: DataFrame, config: DetectionConfig) -> DataFrame:
-    """The same at one end point per service, by an anti join with its baseline."""
-    ends = frames.select("service", "window_start", "window_end")
+def _ranges(frames: DataFrame, config: DetectionConfig) -> DataFrame:
+    """Window and baseline of each service; few rows."""
     baseline_end = times.shift(F.col("window_start"), -config.baseline_offset_seconds)
-    baseline_start = times.shift(baseline_end, -config.baseline_seconds)
-    joined = lines.where(F.col("error_signature").isNotNull()).join(ends, "service")
-    moment = F.col("timestamp")
-    window = joined.where((moment >= F.col("window_start")) & (moment < F.col("window_end")))
-    known = joined.where((moment >= baseline_start) & (moment < baseline_end))
-    counted = window.groupBy("service", "window_end", "error_signature").agg(
-        F.count(F.lit(1)).alias("occurrences"), first_message().alias("_first")
+    return frames.select(
+        "service", "window_start", "window_end",
+        times.shift(baseline_end, -config.baseline_seconds).alias("_from"), baseline_end.alias("_until"),
     )
-    fresh = counted.where(F.col("occurrences") >= config.min_occurrences).join(
-        baseline_signatures(known), ["service", "error_signature"], "left_anti"
+
+
+def _fresh(joined: DataFrame, at: str, count: Column, first: Column, config: DetectionConfig) -> DataFrame:
+    """One pass over window and baseline: how often in the one, whether at all in the other."""
+    moment = F.col(at)
+    in_window = (moment >= F.col("window_start")) & (moment < F.col("window_end"))
+    in_baseline = (moment >= F.col("_from")) & (moment < F.col("_until"))
+    judged = (
+        joined.where(in_window | in_baseline)
+        .groupBy("service", "window_end", "error_signature")
+        .agg(
+            F.sum(F.when(in_window, count)).alias("occurrences"),
+            F.min(F.when(in_window, first)).alias("_first"),
+            F.max(in_baseline).alias("_known"),
+        )
+    )
+    return _most_frequent(judged.where(~F.col("_known") & (F.col("occurrences") >= config.min_occurrences)))
+
+
+def new_signatures_at(lines: DataFrame, frames: DataFrame, config: DetectionConfig) -> DataFrame:
+    """The same at one end point per service, from lines.
+
+    Bound the lines by literals to what the frames can see, so that the rest is not read.
+    """
+    joined = lines.where(F.col("error_signature").isNotNull()).join(_ranges(frames, config), "service")
+    first = F.struct(F.col("timestamp").alias("at"), F.col("ingest_seq").alias("seq"), F.col("message").alias("message"))
+    return _fresh(joined, "timestamp", F.lit(1), first, config)
+
+
+def new_signatures_stored(buckets: DataFrame, frames: DataFrame, config: DetectionConfig) -> DataFrame:
+    """The same from the stored :func:`signature_buckets`; windows and baselines are whole buckets."""
+    return _fresh(buckets.join(_ranges(frames, config), "service"), "bucket_start", F.col("n"), F.col("first"), config)
+
+
+def stored_buckets(lines: DataFrame, bucket_seconds: int) -> DataFrame:
+    """Rows of the table of signatures by bucket, see ``schemas.SIGNATURES``."""
+    return (
+        with_bucket(lines.where(F.col("error_signature").isNotNull()), bucket_seconds)
+        .groupBy("bucket_start", "service", "error_signature")
+        .agg(F.count(F.lit(1)).alias("n"), first_message().alias("first"))
     )
-    return _most_frequent(fresh)

@@ -7,7 +7,7 @@ timestamps without zone.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from vigilog.functions import answers as A
 from vigilog.functions import numbers, text, times
 from vigilog.functions import triggers as T
 from vigilog.operators import (
-    alerts, candidates, detect, evals, evidence, incidents, ingest, reports, rollup, sampling, signatures, verdicts,
+    alerts, candidates, detect, evals, evidence, frames, incidents, ingest, reports, rollup, sampling, signatures, verdicts,
 )
 from vigilog.plans import packets
 from vigilog.plans.derived import ALERT_POLICY, BUCKET, NOW, Derived, now, variant_of
@@ -32,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LATE_NOW = "2024-01-30 23:59:59"
+NOW_AT = datetime.fromisoformat(NOW).replace(tzinfo=timezone.utc)
 
 
 def registered(build: Callable[[Derived], DataFrame]) -> Callable[[Derived], DataFrame]:
@@ -430,14 +431,30 @@ def detector_status(d: Derived) -> DataFrame:
     return flat_status(d.statuses)
 
 
+def in_reach(d: Derived, silence: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What a run at the newest bucket can see: lines from a literal moment on, and their rollup."""
+    newest = frames.newest_bucket(d.lines.select(times.floor_to_bucket(F.col("timestamp"), BUCKET).alias("bucket_start")))
+    if newest is None:
+        return d.lines, d.rollup
+    reach = detect.reach_of(newest, EVENTS_CONFIG)
+    lines = log_source.scan_logs(d.lines, start=reach)
+    rows = rollup.rollup(lines, BUCKET)
+    if silence:
+        since = EVENTS_CONFIG.silence_lookback_minutes + EVENTS_CONFIG.silence_baseline_minutes
+        lines = log_source.scan_logs(d.lines, start=min(reach, NOW_AT - timedelta(minutes=since)))
+    return lines, rows
+
+
 @registered
 def latest_detection(d: Derived) -> DataFrame:
-    return flat_status(detect.detect_latest(d.lines, d.rollup, EVENTS_CONFIG))
+    lines, rows = in_reach(d)
+    return flat_status(detect.detect_latest(lines, rows, EVENTS_CONFIG))
 
 
 @registered
 def latest_detection_silent(d: Derived) -> DataFrame:
-    return flat_status(detect.detect_latest(d.lines, d.rollup, EVENTS_CONFIG, now()))
+    lines, rows = in_reach(d, silence=True)
+    return flat_status(detect.detect_latest(lines, rows, EVENTS_CONFIG, now()))
 
 
 @registered

@@ -37,6 +37,12 @@ ROLLUP = _struct(
     ("p50_ms", _L, False), ("p95_ms", _L, False), ("p99_ms", _L, False),
 )
 
+# How often a signature occurred in a bucket, and the first message with it.
+SIGNATURES = _struct(
+    ("bucket_start", _TS, False), ("service", _S, False), ("error_signature", _S, False), ("n", _L, False),
+    ("first", _struct(("at", _TS, True), ("seq", _L, True), ("message", _S, True)), False),
+)
+
 # One shape for all four trigger kinds; fields of other kinds stay NULL.
 TRIGGER = _struct(
     ("kind", _S, False), ("service", _S, False),

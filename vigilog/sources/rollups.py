@@ -1,4 +1,4 @@
-"""The rollup table, partitioned by day and rewritten only where buckets changed."""
+"""The tables by bucket, partitioned by day and rewritten only where buckets changed."""
 
 from __future__ import annotations
 
@@ -6,45 +6,58 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilog.functions import times
 from vigilog import schemas
 from vigilog.operators.rollup import on_days
+from vigilog.sources import files
 
 KEYS = ["service", "endpoint", "bucket_start"]
 
 
+def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType(schema.fields + [T.StructField("dt", T.DateType())])).parquet(path)
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    schema = schemas.T.StructType(schemas.ROLLUP.fields + [schemas.T.StructField("dt", schemas.T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return _read(spark, schemas.ROLLUP, path)
+
+
+def read_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """Signatures by bucket: which occurred, how often, and the first message."""
+    return _read(spark, schemas.SIGNATURES, path)
 
 
 def upsert_rollup(spark: SparkSession, fresh: DataFrame, dirty: DataFrame, path: str) -> None:
-    """Replace all rows of the dirty (service, bucket) keys by freshly computed ones.
+    """Replace all rows of the dirty (service, bucket) keys by freshly computed ones."""
+    _upsert(spark, fresh, dirty, path, schemas.ROLLUP)
+
+
+def upsert_signatures(spark: SparkSession, fresh: DataFrame, dirty: DataFrame, path: str) -> None:
+    """The same for the table of signatures by bucket."""
+    _upsert(spark, fresh, dirty, path, schemas.SIGNATURES)
+
+
+def _upsert(spark: SparkSession, fresh: DataFrame, dirty: DataFrame, path: str, schema: T.StructType) -> None:
+    """Days with no dirty bucket are not touched. Buckets whose logs are gone lose their rows.
 
-    Days with no dirty bucket are not touched. Buckets whose logs are gone lose their rows.
     Repeating the call with the same input gives the same table, so a retried batch is safe.
     """
     days = dirty.select(F.to_date("bucket_start").alias("dt")).distinct()
-    rows = fresh.select(*[f.name for f in schemas.ROLLUP], F.to_date("bucket_start").alias("dt"))
-    if _exists(spark, path):
+    rows = fresh.select(*schema.names, F.to_date("bucket_start").alias("dt"))
+    if files.exists(spark, path):
         kept = (
-            read_rollup(spark, path)
+            _read(spark, schema, path)
             .where(on_days(dirty))
             .join(days, "dt", "left_semi")
             .join(dirty.select("service", "bucket_start").distinct(), ["service", "bucket_start"], "left_anti")
         )
         rows = kept.select(*rows.columns).unionByName(rows)
-    rows = rows.repartition("dt", "service").sortWithinPartitions("dt", *KEYS)
+    rows = rows.repartition("dt", "service").sortWithinPartitions("dt", *schema.names[:3])
     rows.write.partitionBy("dt").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(target)
-
-
 def series(rollup: DataFrame, service: str, start: datetime, end: datetime) -> DataFrame:
     """Service-wide rows of a half-open range in time order."""
     return (

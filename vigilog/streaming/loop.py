@@ -84,7 +84,8 @@ def _overwrite_epoch(rows: DataFrame, epoch: int, path: str) -> None:
 
 def _rollup(loop: Loop, batch: DataFrame, epoch: int) -> None:
     watch = loop.watch
-    recompute_dirty(watch.config.bucket_seconds, watch.logs_path, watch.rollup_path)(batch, epoch)
+    step = recompute_dirty(watch.config.bucket_seconds, watch.logs_path, watch.rollup_path, watch.signatures_path)
+    step(batch, epoch)
 
 
 def _detect(loop: Loop, batch: DataFrame, epoch: int) -> None:

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigilog.functions import text
 from vigilog.functions.numbers import round_half_up
-from vigilog.operators.rollup import dirty_buckets, rollup_dirty
+from vigilog.operators.rollup import dirty_buckets, lines_of_dirty, rollup_dirty
+from vigilog.operators.signatures import stored_buckets
 from vigilog.sources.logs import project_lines, read_logs
-from vigilog.sources.rollups import upsert_rollup
+from vigilog.sources.rollups import upsert_rollup, upsert_signatures
 
 
 def closed_buckets(lines: DataFrame, bucket_seconds: int = 60, lateness: str = "5 minutes") -> DataFrame:
@@ -42,11 +43,14 @@ def closed_buckets(lines: DataFrame, bucket_seconds: int = 60, lateness: str = "
     )
 
 
-def recompute_dirty(bucket_seconds: int, logs_path: str, rollup_path: str) -> Callable[[DataFrame, int], None]:
+def recompute_dirty(
+    bucket_seconds: int, logs_path: str, rollup_path: str, signatures_path: str | None = None
+) -> Callable[[DataFrame, int], None]:
     """Micro-batch step: recompute every bucket that new lines fell into from all its lines.
 
     Lateness is unbounded and nothing is kept in memory between batches. A repeated batch
-    recomputes the same buckets from the same table.
+    recomputes the same buckets from the same table. With ``signatures_path`` the signatures of
+    these buckets are stored too.
     """
 
     def step(new_logs: DataFrame, epoch: int) -> None:
@@ -54,19 +58,22 @@ def recompute_dirty(bucket_seconds: int, logs_path: str, rollup_path: str) -> Ca
         dirty = dirty_buckets(new_logs, bucket_seconds)
         lines = project_lines(read_logs(spark, logs_path))
         upsert_rollup(spark, rollup_dirty(lines, dirty, bucket_seconds), dirty, rollup_path)
+        if signatures_path is not None:
+            fresh = stored_buckets(lines_of_dirty(lines, dirty, bucket_seconds), bucket_seconds)
+            upsert_signatures(spark, fresh, dirty, signatures_path)
 
     return step
 
 
 def start_rollup(
     logs: DataFrame, logs_path: str, rollup_path: str, checkpoint: str, bucket_seconds: int = 60,
-    then: Callable[[DataFrame, int], None] | None = None, **trigger,
+    then: Callable[[DataFrame, int], None] | None = None, signatures_path: str | None = None, **trigger,
 ) -> StreamingQuery:
     """Keep the rollup table up to date with a stream of stored log rows.
 
     ``then`` runs after the rollup of each micro-batch, see :mod:`vigilog.streaming.watch`.
     """
-    recompute = recompute_dirty(bucket_seconds, logs_path, rollup_path)
+    recompute = recompute_dirty(bucket_seconds, logs_path, rollup_path, signatures_path)
 
     def step(batch: DataFrame, epoch: int) -> None:
         recompute(batch, epoch)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +21,12 @@ from vigilog import schemas
 from vigilog.config import AlertPolicy, DetectionConfig
 from vigilog.functions import times
 from vigilog.operators.alerts import due_alerts
-from vigilog.operators.detect import detect_latest, firings
+from vigilog.operators.detect import detect_latest, firings, reach_of
+from vigilog.operators.frames import newest_bucket
 from vigilog.operators.incidents import persist_run
 from vigilog.sources.events import EventLog
 from vigilog.sources.logs import project_lines, read_logs, scan_logs
-from vigilog.sources.rollups import read_rollup
+from vigilog.sources.rollups import read_rollup, read_signatures
 from vigilog.sources.staging import staged, stages
 from vigilog.sources.tables import latest_per
 
@@ -47,6 +48,8 @@ class Watch:
     rollup_path: str
     anomalies_path: str
     config: DetectionConfig = field(default_factory=DetectionConfig)
+    # Where the rollup step stores signatures by bucket; without it a run reads the lines in reach.
+    signatures_path: str | None = None
     # The wall clock of a run, with time zone, for silence; without it that detector does not run.
     clock: Callable[[], datetime] | None = None
 
@@ -68,12 +71,6 @@ def current_anomalies(events: DataFrame) -> DataFrame:
     return newest.select(*[f.name for f in schemas.ANOMALY])
 
 
-def newest_bucket(rollup_rows: DataFrame) -> datetime | None:
-    """One value: where the newest bucket starts."""
-    seconds = rollup_rows.agg(F.max(F.unix_seconds("bucket_start"))).first()[0]
-    return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc)
-
-
 def run_detection(spark: SparkSession, watch: Watch, epoch: int) -> None:
     """One run at the newest bucket, folded into the anomaly table."""
     config = watch.config
@@ -83,18 +80,22 @@ def run_detection(spark: SparkSession, watch: Watch, epoch: int) -> None:
         return
     # Nothing looks further back than this, so only these days of either table are read.
     moment = watch.clock() if watch.clock else None
-    reach = newest - timedelta(seconds=config.reach_seconds)
+    reach = reach_of(newest, config)
     if moment is not None:
         silence = config.silence_lookback_minutes + config.silence_baseline_minutes
         reach = min(reach, moment - timedelta(minutes=silence))
-    rows = rows.where((F.col("dt") >= F.lit(reach.date())) & (F.col("bucket_start") >= times.instant(reach)))
+    in_reach = (F.col("dt") >= F.lit(reach.date())) & (F.col("bucket_start") >= times.instant(reach))
+    rows = rows.where(in_reach)
+    buckets = None
+    if watch.signatures_path is not None:
+        buckets = read_signatures(spark, watch.signatures_path).where(in_reach)
     lines = scan_logs(project_lines(read_logs(spark, watch.logs_path)), start=reach)
     now: Column | None = times.instant(moment) if moment is not None else None
     seen_at = now if now is not None else times.instant(newest + timedelta(seconds=config.bucket_seconds))
     before = watch.anomalies.state_before(spark, epoch).select(*[f.name for f in schemas.ANOMALY])
     with stages(spark):
         # A few rows per service: written once, then joined to the anomaly table.
-        fired = staged(firings(detect_latest(lines, rows, config, now)))
+        fired = staged(firings(detect_latest(lines, rows, config, now, buckets)))
         watch.anomalies.append(persist_run(before, fired, seen_at, config), epoch, STEPS["detected"])
 
 
