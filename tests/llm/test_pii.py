@@ -62,7 +62,7 @@ def rows(spark, texts):
     return spark.createDataFrame(data, "doc_id long, text string, base string, extra int")
 
 
-def brute_added(texts, reach=5):
+def brute_added(texts, reach=5, generalise=0.75):
     """Spans of disclosing terms, counted document by document."""
     words = [[(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", t)] for t in texts]
     near, held = [], []
@@ -83,7 +83,7 @@ def brute_added(texts, reach=5):
             n_et, n_e = sum((e, t) in x for x in near), sum(e in h for h in held)
             n_t = sum(any(w == t for w, _, _ in own) for own in words)
             share = math.log2(n_et * n / (n_e * n_t)) / math.log2(n / n_e) if n > n_e else 0
-            if n_et >= 2 and share >= 0.75:
+            if share >= generalise:
                 for p in places:
                     mine[p] = max(mine.get(p, ""), "removed" if share >= 0.95 else "generalised")
         found.append(sorted((kind, *p) for p, kind in mine.items()))
@@ -105,6 +105,15 @@ def test_disclosing_terms_match_brute_force(spark):
     assert [[tuple(s) for s in r.base] for r in found] == [brute(t) for t in CORPUS]
 
 
+def test_an_entity_of_one_document_and_other_thresholds(spark):
+    texts = [*CORPUS, "ask the heron at heron@z.net about the weather", "another heron", "team lynx +1 212 555 0100 the day"]
+    for generalise in (0.5, 0.75, 0.9):
+        found = pii.find_spans(rows(spark, texts), generalise=generalise).orderBy("doc_id").collect()
+        assert [[(s["kind"], s.start, s.end) for s in r.added] for r in found] == brute_added(texts, generalise=generalise)
+    flagged = {r.term: r.action for r in pii.disclosing_terms(pii.detect(rows(spark, texts)), rows(spark, texts)).collect()}
+    assert flagged["lynx"] == "removed" and flagged["heron"] == "generalised"
+
+
 def test_sanitise(spark):
     docs = rows(spark, [*CORPUS, None, "", "clean é", "mail ü@x.de a@b.de " + "word " * 200_000])
     clean = pii.sanitise(docs)
@@ -114,7 +123,8 @@ def test_sanitise(spark):
     assert "[PHONE]" in texts[2] and "[NAME]" in texts[2] and texts[4] == CORPUS[4]
     n = len(CORPUS)
     assert (texts[n], texts[n + 1], texts[n + 2]) == (None, "", "clean é")
-    assert texts[n + 3].startswith("mail ü@x.de [EMAIL] word")
+    # "mail", "ü" and "de" lie in no other document, so they give this one away.
+    assert texts[n + 3].startswith(" @x. [EMAIL] ") and "a@b.de" not in texts[n + 3]
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 

@@ -30,10 +30,12 @@ KINDS = ("email", "ip", "card", "phone")
 GENERALISED, REMOVED = "generalised", "removed"
 #: Words on either side of an entity that are looked at.
 NEAR_WORDS = 5
-#: Documents in which a term must be near an entity to count as evidence.
-LEAST_DOCUMENTS = 2
+#: Shares of an entity from which a term is generalised or removed. An entity of one document among
+#: n has terms above a share s that lie in at most n ** (1 - s) documents.
 GENERALISE_FROM = 0.75
 REMOVE_FROM = 0.95
+#: For a large corpus, where n ** 0.25 documents would make many rare words of others go.
+GENERALISE_FROM_LARGE = 0.9
 #: Slots of the bitmap that tells candidate terms from other words; its size is fixed.
 _SLOTS = 1 << 22
 #: Slots of the bitmap over numbers of rows.
@@ -266,7 +268,6 @@ def disclosing_terms(
     detected: DataFrame,
     docs: DataFrame,
     text: str = "text",
-    least: int = LEAST_DOCUMENTS,
     generalise: float = GENERALISE_FROM,
     remove: float = REMOVE_FROM,
 ) -> DataFrame:
@@ -276,7 +277,7 @@ def disclosing_terms(
     """
     near = detected.select(F.explode("terms").alias("t")).select("t.entity", "t.term", "t.slot")
     pairs = near.groupBy("entity", "term", "slot").agg(F.count("*").alias("n_et"))
-    candidates = common.stage(pairs.where(F.col("n_et") >= least))
+    candidates = common.stage(pairs)
     held = detected.select(F.array_distinct(F.transform("terms", lambda t: t["entity"])).alias("e"))
     held = held.select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     counted = candidates.join(_documents_with(docs, candidates, text), "term").join(held, "entity")
@@ -343,12 +344,15 @@ def find_spans(
     keep_text: bool = True,
     reach: int = NEAR_WORDS,
     everywhere: bool = False,
+    generalise: float = GENERALISE_FROM,
+    remove: float = REMOVE_FROM,
 ) -> DataFrame:
     """Append ``base`` (spans of the patterns) and ``added`` (spans of disclosing terms).
 
     Spans are (kind, start, end) in code points, end exclusive; ``added`` kinds are
     ``generalised`` and ``removed``, with the term's ``category``. A null or empty text has none.
-    Terms near several entities take the strongest action. With ``everywhere`` all occurrences of
+    Terms near several entities take the strongest action; every pair of entity and term counts,
+    also of an entity in one document. With ``everywhere`` all occurrences of
     a term in all texts are spans, without it those near its entity. Repeated rows count as
     documents of their own. Columns of the input named like the new ones are replaced;
     ``keep_text`` false leaves out the text, which is then not written anew.
@@ -361,7 +365,7 @@ def find_spans(
     marked = detect(numbered, text, reach)
     stored = common.stage(marked if keep_text else marked.drop(text))
     texts = stored if keep_text else numbered
-    flagged = disclosing_terms(stored, texts, text)
+    flagged = disclosing_terms(stored, texts, text, generalise, remove)
     if everywhere:
         flagged = common.stage(flagged.groupBy("term", "slot").agg(F.max("action").alias("action")))
         hits = _occurrences(texts, flagged, text).join(flagged.select("term", "action"), "term")
@@ -408,14 +412,20 @@ def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text", everywhere: bool = False) -> DataFrame:
+def sanitise(
+    docs: DataFrame,
+    text: str = "text",
+    everywhere: bool = False,
+    generalise: float = GENERALISE_FROM,
+    remove: float = REMOVE_FROM,
+) -> DataFrame:
     """Rows with personal data and disclosing terms replaced in the text; other texts unchanged.
 
     Base spans become their kind in brackets, generalised terms ``[NAME]``, ``[NUMBER]`` or
     ``[WORD]``, removed terms nothing. Null texts stay null. Columns are those of ``docs``.
     """
     names = docs.columns
-    found = find_spans(common.pack(docs.withColumnRenamed(text, "text"), "text"), everywhere=everywhere)
+    found = find_spans(common.pack(docs.withColumnRenamed(text, "text"), "text"), "text", True, NEAR_WORDS, everywhere, generalise, remove)
 
     def compute(_: object, texts: pa.Array, base: pa.Array, added: pa.Array) -> list[pa.Array]:
         marked = (pa.compute.list_value_length(base).to_numpy(zero_copy_only=False) > 0) | (

@@ -62,7 +62,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data and of disclosing terms in every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find_spans(docs, keep_text=False, everywhere=True)
+    found = pii.find_spans(docs, keep_text=False, everywhere=True, generalise=pii.GENERALISE_FROM_LARGE)
 
     def joined(spans: str) -> Column:
         shown = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
