@@ -39,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def clean_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and terms that disclose it; ``n_chars`` follows the new text."""
-    clean = pii.sanitise(docs, everywhere=True)
+    clean = pii.sanitise(docs, everywhere=True, generalise=pii.GENERALISE_FROM_LARGE)
     if "n_chars" not in docs.columns:
         return clean
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
