@@ -36,6 +36,8 @@ GENERALISE_FROM = 0.75
 REMOVE_FROM = 0.95
 #: For a large corpus, where n ** 0.25 documents would make many rare words of others go.
 GENERALISE_FROM_LARGE = 0.9
+#: Ends of the slices of documents in which terms are counted, in parts of the last.
+SLICES = (1, 6, 32)
 #: Slots of the bitmap that tells candidate terms from other words; its size is fixed.
 _SLOTS = 1 << 22
 #: Slots of the bitmap over numbers of rows.
@@ -231,10 +233,9 @@ def _wanted_words(
 
 
 def _documents_with(docs: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
-    """For each candidate ``term``, the number ``n_t`` of documents with that word.
+    """(``term``, ``n``): the number of documents with each word, at least for the candidates.
 
-    A bitmap of fixed size first drops words that are no candidate; the join on the words
-    themselves then is exact.
+    A bitmap of fixed size drops most words that are no candidate.
     """
     packed = _bitmap(candidates)
 
@@ -260,8 +261,24 @@ def _documents_with(docs: DataFrame, candidates: DataFrame, text: str) -> DataFr
             )
 
     found = docs.select(text).mapInArrow(words, "term string, n bigint")
-    found = found.groupBy("term").agg(F.sum("n").alias("n_t"))
-    return candidates.select("term").distinct().join(found, "term")
+    return found.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _document_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """(``term``, ``n_t``) of the terms that lie in at most ``most`` documents; ``terms`` has
+    ``term``, ``slot``, ``most`` and ``least``, a number of documents known to hold it.
+
+    Slices of the documents, each a few times larger than those before, are counted in turn. A term
+    that has too many already is not looked for any more, as it can't come back under its limit, so
+    what is counted stays in proportion to the input. Every slice is counted for the terms that are left.
+    """
+    part = F.pmod(F.xxhash64(text), F.lit(SLICES[-1]))
+    left = common.stage(terms.where(F.col("least") <= F.col("most")).withColumn("n_t", F.lit(0).cast("long")))
+    for first, end in zip((0, *SLICES[:-1]), SLICES, strict=True):
+        found = _documents_with(docs.where((part >= first) & (part < end)), left, text)
+        counted = left.join(found, "term", "left").withColumn("n_t", F.col("n_t") + F.coalesce("n", F.lit(0)))
+        left = common.stage(counted.drop("n").where(F.col("n_t") <= F.col("most")))
+    return left.select("term", "n_t")
 
 
 def disclosing_terms(
@@ -276,12 +293,17 @@ def disclosing_terms(
     ``detected`` has the rows of ``detect``; ``docs`` the texts of the same documents.
     """
     near = detected.select(F.explode("terms").alias("t")).select("t.entity", "t.term", "t.slot")
-    pairs = near.groupBy("entity", "term", "slot").agg(F.count("*").alias("n_et"))
-    candidates = common.stage(pairs)
+    pairs = common.stage(near.groupBy("entity", "term", "slot").agg(F.count("*").alias("n_et")))
     held = detected.select(F.array_distinct(F.transform("terms", lambda t: t["entity"])).alias("e"))
-    held = held.select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    counted = candidates.join(_documents_with(docs, candidates, text), "term").join(held, "entity")
+    held = common.stage(held.select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")))
+    own = detected.select(F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    known = own.groupBy("term").agg(F.count("*").alias("least"))
     n = F.lit(float(detected.count()))
+    # share >= generalise if and only if n_t is at most this; a little more, for rounding.
+    most = F.col("n_et") * F.pow(n / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    limits = pairs.join(held, "entity").groupBy("term", "slot").agg(F.max(most).alias("most"))
+    counts = _document_counts(docs, limits.join(known, "term"), text)
+    counted = pairs.join(counts, "term").join(held, "entity")
     bits = F.log2(n / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
     counted = counted.withColumn("share", F.when(bits > 0, pmi / bits).otherwise(0.0))
