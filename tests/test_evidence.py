@@ -77,10 +77,10 @@ def test_packet_sections(spark):
     sections = packet.split("\n\n")
     assert sections[0].startswith("Service: svc\nWindow: 2026-11-02T10:00:00.000Z to 2026-11-02T10:05:00.000Z (5 min)\nTriggers fired: latency_jump")
     assert "  requests 91 | errors 1 (1.1%)\n  latency p50 102ms | p95 102ms" in sections[2]
-    assert sections[3].startswith("Per-minute detail (5 minutes):\n  10:00     18 req      0 err  p95   100ms")
+    assert sections[3].startswith("Course of the window, one row for each minute:\n  10:00     18 req      0 err  p95   100ms")
     assert not any(s.startswith("Latency by endpoint") for s in sections)
     assert "Error signatures (1):\n  1x  boom <num>\n        example: boom 7" in packet
-    assert sections[-1].startswith("Log sample (9 lines, evenly spaced, drawn from 91 in the window):")
+    assert sections[-1].startswith("Lines picked from the window: 9 of 91.")
     assert "10:02:00 ERROR /x 200 — boom 7" in packet and "not mine" not in packet and "too late" not in packet
 
 

@@ -163,3 +163,15 @@ def test_ingest_order_is_unique_for_batches_that_arrive_together(spark):
     stored = ingest.accepted_logs(ingest.validate_entries(entries, F.col("received_at")))
     orders = [r.ingest_seq for r in stored.collect()]
     assert len(set(orders)) == len(rows)
+
+
+def test_more_lines_of_one_arrival_than_the_order_has_room_for(spark):
+    entries = spark.range(20_000).select(
+        F.concat(F.lit("b"), F.floor(F.col("id") / 1000).cast("string")).alias("batch_id"), (F.col("id") % 1000).cast("int").alias("index"),
+        F.lit(at(0)).alias("received_at"), F.parse_json(F.lit(json.dumps(BASE))).alias("entry"),
+    )
+    validated = ingest.validate_entries(entries, F.col("received_at"))
+    with pytest.raises(Exception, match="over 16384 lines arrived"):
+        ingest.accepted_logs(validated).select("ingest_seq").collect()
+    fits = validated.where("index < 800")
+    assert ingest.accepted_logs(fits).select("ingest_seq").distinct().count() == 16_000

@@ -181,14 +181,17 @@ def accepted_logs(validated: DataFrame) -> DataFrame:
     """Rows for the log table. Arrival time, batch and position give the ingest order.
 
     Lines that arrive in the same microsecond, of one batch or several, are numbered; there is
-    room for 16384 of them, so the order is unique up to 2037. A stream cannot number across its
-    batches: there the hash of the batch's id chooses one of 16 ranges of the microsecond, so two
-    batches tie only if they share the microsecond and the range.
+    room for 16384 of them, so the order is unique up to 2037, and more raise an error: a load of
+    many lines needs arrival times of its own. A stream cannot number across its batches: there the
+    hash of the batch's id chooses one of 16 ranges of the microsecond, so two batches tie only if
+    they share the microsecond and the range.
     """
     if validated.isStreaming:
         own = F.pmod(F.xxhash64("batch_id"), F.lit(ORDER_SLOTS // 1024)) * 1024 + F.col("index")
     else:
         own = F.row_number().over(Window.partitionBy("received_at").orderBy("batch_id", "index")) - 1
+        too_many = F.raise_error(F.concat(F.lit("over 16384 lines arrived at "), F.col("received_at").cast("string")))
+        own = F.when(own < ORDER_SLOTS, own).otherwise(too_many.cast("int"))
     order = (F.unix_micros("received_at") - F.lit(ORDER_EPOCH_MICROS)) * F.lit(ORDER_SLOTS) + own
     rows = validated.where(F.col("reason").isNull()).select(
         order.cast("long").alias("ingest_seq"),

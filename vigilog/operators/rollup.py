@@ -46,18 +46,17 @@ def hot_keys(values: DataFrame, keys: list[str], value: str, most_values: int) -
     return None if counts.isEmpty() else staged(counts)
 
 
+def percentile_of(values: Column, p: float) -> Column:
+    """Percentile of a sorted array without nulls; null if it is empty."""
+    rank = _rank(F.size(values), p)
+    low, high = (F.get(values, place.cast("int")) for place in (F.floor(rank), F.ceil(rank)))
+    return _interpolated(low, high, F.size(values), p)
+
+
 def _by_arrays(values: DataFrame, keys: list[str], value: str, percentiles: dict[str, float], sums: list[Column]) -> DataFrame:
     """Percentiles from one sorted array a key."""
     held = values.groupBy(*keys).agg(*sums, F.sort_array(F.collect_list(value)).alias("_v"))
-    n = F.size("_v")
-
-    def at(place: Column) -> Column:
-        return F.get("_v", place.cast("int"))
-
-    found = [
-        _interpolated(at(F.floor(_rank(n, p))), at(F.ceil(_rank(n, p))), n, p).alias(name)
-        for name, p in percentiles.items()
-    ]
+    found = [percentile_of(F.col("_v"), p).alias(name) for name, p in percentiles.items()]
     return held.select("*", *found).drop("_v")
 
 

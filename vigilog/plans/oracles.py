@@ -519,8 +519,8 @@ rendered AS (
     'Totals of the window:' || {NL} || '  requests ' || t.request_count || ' | errors ' || t.error_count || ' ('
       || CASE WHEN t.request_count > 0 THEN {S.fixed('(CAST(t.error_count AS DOUBLE) / t.request_count * 100)', 1)} ELSE '0.0' END
       || '%)' || {NL} || '  latency p50 ' || t.p50_ms || 'ms | p95 ' || t.p95_ms || 'ms | p99 ' || t.p99_ms || 'ms' AS s3,
-    (SELECT CASE WHEN any_value(n_all) > count(*) THEN 'Per-minute detail (last ' || count(*) || ' of ' || any_value(n_all) || ' minutes):'
-        ELSE 'Per-minute detail (' || count(*) || ' minutes):' END || {NL}
+    (SELECT CASE WHEN any_value(n_all) > count(*) THEN 'Course of the window, one row for each 3 hours (newest ' || count(*) || ', before them ' || (any_value(n_all) - count(*)) || ' more):'
+        ELSE 'Course of the window, one row for each 3 hours:' END || {NL}
         || string_agg('  ' || strftime(bucket_start, '%H:%M') || '  ' || lpad(CAST(m.request_count AS VARCHAR), 5, ' ') || ' req  '
           || lpad(CAST(m.error_count AS VARCHAR), 5, ' ') || ' err  p95 ' || lpad(CAST(m.p95_ms AS VARCHAR), 5, ' ') || 'ms', {NL} ORDER BY bucket_start)
       FROM minutes m WHERE m.anomaly_id = i.anomaly_id AND rn <= 20 GROUP BY m.anomaly_id) AS s4,
@@ -532,7 +532,7 @@ rendered AS (
         ELSE 'Error signatures (' || count(*) || '):' END || {NL}
         || string_agg('  ' || g.occurrences || 'x  ' || g.error_signature || {NL} || '        example: ' || g.sample_message, {NL} ORDER BY rn)
       FROM sigs g WHERE g.anomaly_id = i.anomaly_id AND rn <= 8 GROUP BY g.anomaly_id) AS s6,
-    (SELECT 'Log sample (' || count(*) || ' lines, evenly spaced, drawn from ' || any_value(t2.request_count) || ' in the window):' || {NL}
+    (SELECT 'Lines picked from the window: ' || count(*) || ' of ' || any_value(t2.request_count) || '.' || {NL}
         || string_agg('  ' || strftime("timestamp", '%H:%M:%S') || ' ' || upper(level) || ' ' || endpoint || ' ' || status_code || ' — ' || message,
           {NL} ORDER BY "timestamp", ingest_seq)
       FROM picked p JOIN totals t2 ON t2.anomaly_id = p.anomaly_id WHERE p.anomaly_id = i.anomaly_id GROUP BY p.anomaly_id) AS s7
@@ -1122,3 +1122,34 @@ SELECT count(*) FILTER (WHERE answered) AS total, count(*) FILTER (WHERE answere
   avg(confidence) FILTER (WHERE answered AND claimed <> expected) AS confidence_when_wrong, {_COSTS} FROM scored""",
     DIAGNOSIS_CASES,
 )
+
+# --- tables written and read back -----------------------------------------------------
+
+ORACLES["reread_batches"] = ORACLES["deduplicated_batches"]
+ORACLES["stored_lines"] = ORACLES["accepted_lines"]
+ORACLES["upserted_rollup"] = ORACLES["rollup_service_endpoint"]
+add("pruned_rollup", "SELECT * FROM rollup WHERE bucket_start >= TIMESTAMP '2024-01-15 12:00:00'", S.ROLLUP)
+add(
+    "stored_signatures",
+    "SELECT bucket_start, service, error_signature, n, first_message AS message FROM sig_buckets",
+    S.SIGNATURES,
+)
+add(
+    "stored_incidents",
+    "SELECT anomaly_id, window_start, window_end, CASE WHEN firing_count > 1 THEN 'resolved' ELSE 'open' END AS status FROM incidents",
+    S.INCIDENTS,
+)
+add(
+    "watch_run",
+    f"SELECT service, window_start, window_end, kinds, 'created' AS action FROM ({ORACLES['latest_detection_silent']}) WHERE kinds <> ''",
+)
+add(
+    "closed_buckets",
+    f"SELECT * FROM rollup WHERE bucket_start + {S.STEP} <= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTES",
+    S.ROLLUP,
+)
+add(
+    "alert_log",
+    "SELECT anomaly_id, reason, channel, succeeded, error, created_at FROM attempts WHERE anomaly_id = (SELECT min(anomaly_id) FROM attempts)",
+    ALERTS,
+)

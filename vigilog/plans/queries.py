@@ -281,7 +281,10 @@ def validate_events(d: Derived) -> DataFrame:
 
 @registered
 def accepted_lines(d: Derived) -> DataFrame:
-    logs = ingest.accepted_logs(validated_entries(d))
+    return accepted_columns(ingest.accepted_logs(validated_entries(d)))
+
+
+def accepted_columns(logs: DataFrame) -> DataFrame:
     return logs.select(
         "ingest_seq", "timestamp", "service", "level", "message", "error_signature", F.col("metadata.endpoint").alias("endpoint"),
         F.col("metadata.statusCode").cast("long").alias("status_code"), F.col("metadata.latencyMs").alias("latency_ms"),
@@ -1023,3 +1026,7 @@ def diagnosis_scores(d: Derived) -> DataFrame:
 @registered
 def diagnosis_scoring(d: Derived) -> DataFrame:
     return evals.summarise_diagnosis(evals.diagnosis_scores(diagnosis_cases(d), diagnosis_answers(d)))
+
+
+# They register themselves here.
+from vigilog.plans import stored_queries  # noqa: E402, F401

@@ -110,7 +110,7 @@ def _packets(loop: Loop, batch: DataFrame, epoch: int) -> None:
     rows = read_rollup(spark, watch.rollup_path).where(F.col("dt").between(F.lit(start.date()), F.lit(end.date())))
     with stages(spark):
         found = classification_evidence(anomalies, lines, rows, watch.config.bucket_seconds, loop.budget)
-        packets = render_classification_packet(found, loop.budget).select("anomaly_id", "packet")
+        packets = render_classification_packet(found, loop.budget, watch.config.bucket_seconds).select("anomaly_id", "packet")
         _overwrite_epoch(packets, epoch, loop.packets_path)
 
 

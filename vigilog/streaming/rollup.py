@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigilog.functions import text
 from vigilog.functions.numbers import round_half_up
-from vigilog.operators.rollup import dirty_buckets, lines_of_dirty, rollup_dirty
+from vigilog.operators.rollup import PERCENTILES, dirty_buckets, lines_of_dirty, percentile_of, rollup_dirty
 from vigilog.operators.signatures import stored_buckets
 from vigilog.sources.logs import project_lines, read_logs
 from vigilog.sources.rollups import upsert_rollup, upsert_signatures
@@ -31,12 +31,12 @@ def closed_buckets(lines: DataFrame, bucket_seconds: int = 60, lateness: str = "
         .agg(
             F.count(F.lit(1)).alias("request_count"),
             F.count_if(text.is_error_level(F.col("level"))).alias("error_count"),
-            F.percentile("latency_ms", [0.5, 0.95, 0.99]).alias("_p"),
+            F.sort_array(F.collect_list("latency_ms")).alias("_v"),
         )
     )
     percentiles = [
-        F.coalesce(round_half_up(F.col("_p")[i]), F.lit(0)).cast("long").alias(f"{name}_ms")
-        for i, name in enumerate(("p50", "p95", "p99"))
+        F.coalesce(round_half_up(percentile_of(F.col("_v"), p)), F.lit(0)).cast("long").alias(f"{name}_ms")
+        for name, p in PERCENTILES.items()
     ]
     return grouped.select(
         F.col("window.start").alias("bucket_start"), "service", "endpoint", "request_count", "error_count", *percentiles
