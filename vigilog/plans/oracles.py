@@ -1126,6 +1126,7 @@ SELECT count(*) FILTER (WHERE answered) AS total, count(*) FILTER (WHERE answere
 # --- tables written and read back -----------------------------------------------------
 
 ORACLES["reread_batches"] = ORACLES["deduplicated_batches"]
+ORACLES["reread_commits"] = ORACLES["parsed_commits"]
 ORACLES["stored_lines"] = ORACLES["accepted_lines"]
 ORACLES["upserted_rollup"] = ORACLES["rollup_service_endpoint"]
 add("pruned_rollup", "SELECT * FROM rollup WHERE bucket_start >= TIMESTAMP '2024-01-15 12:00:00'", S.ROLLUP)

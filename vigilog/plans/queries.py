@@ -564,7 +564,11 @@ def git_export(d: Derived) -> DataFrame:
 
 @registered
 def parsed_commits(d: Derived) -> DataFrame:
-    return commit_source.parse_git_log(git_export(d)).select(
+    return commit_columns(commit_source.parse_git_log(git_export(d)))
+
+
+def commit_columns(commits: DataFrame) -> DataFrame:
+    return commits.select(
         "sha", "committed_at", "author", "subject", "body",
         joined(F.transform("files", lambda f: F.concat(f["path"], F.lit(" "), text.describe_change(f["added"], f["deleted"])))).alias("files"),
         F.md5("diff").alias("diff_md5"),

@@ -15,7 +15,8 @@ from vigilog import schemas
 from vigilog.functions import triggers as T
 from vigilog.operators import ingest, reports, rollup, signatures
 from vigilog.plans.derived import BUCKET, Derived
-from vigilog.plans.queries import NOW_AT, accepted_columns, joined, posted_batches, registered, validated_entries
+from vigilog.plans.queries import NOW_AT, accepted_columns, commit_columns, git_export, joined, posted_batches, registered, validated_entries
+from vigilog.sources import commits as commit_source
 from vigilog.sources import logs as log_source
 from vigilog.sources import retention, rollups
 from vigilog.sources.adapters import EVENTS_CONFIG
@@ -50,6 +51,14 @@ def reread_batches(d: Derived) -> DataFrame:
     return kept.groupBy("idempotency_key", "received_at").agg(F.count(F.lit(1)).alias("n"))
 
 
+@registered
+def reread_commits(d: Derived) -> DataFrame:
+    """Exports written as text files and read in splits."""
+    path = folder(d)
+    git_export(d).select("value").write.text(path)
+    return commit_columns(commit_source.read_commits(d.spark, path))
+
+
 @registered
 def stored_lines(d: Derived) -> DataFrame:
     """Accepted lines as the log table gives them back."""
