@@ -30,3 +30,24 @@ def mark(spark: SparkSession, path: str) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     target, files = _at(spark, path)
     files.delete(target, True)
+
+
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """A small text file that appears whole: it is written aside and renamed."""
+    target, files = _at(spark, path)
+    aside, _ = _at(spark, f"{path}.aside")
+    out = files.create(aside, True)
+    out.write(bytearray("".join(f"{line}\n" for line in lines).encode()))
+    out.close()
+    files.delete(target, False)
+    if not files.rename(aside, target):
+        raise OSError(f"could not write {path}")
+
+
+def read_lines(spark: SparkSession, path: str) -> list[str]:
+    target, files = _at(spark, path)
+    stream = files.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode().splitlines()
+    finally:
+        stream.close()

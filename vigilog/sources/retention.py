@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions import times
 from vigilog.config import RetentionPolicy
+from vigilog.sources import files, versions
 
 
 def cutoff(now: datetime, days: float) -> datetime | None:
@@ -54,20 +55,31 @@ def prune_preview(lines: DataFrame, rollup: DataFrame, now: datetime, policy: Re
 
 
 def prune(spark: SparkSession, path: str, moment: str, limit: datetime | None) -> None:
-    """Delete rows older than the limit from a table partitioned by ``dt``.
+    """Delete rows older than the limit from a table by ``dt``.
 
-    Whole days are dropped as directories; only the day the limit falls in is rewritten.
+    Whole days are dropped; only the day the limit falls in is rewritten. A table with manifests
+    (:mod:`vigilog.sources.versions`) changes in one step for its readers.
     """
     if limit is None:
         return
+    boundary = limit.date().isoformat()
+    if files.exists(spark, f"{path}/_manifests"):
+        _, days = versions.newest(spark, path)
+        old = [day for day in days if day < boundary]
+        if not old and boundary not in days:
+            return
+        own = days.get(boundary)
+        if own is None:
+            rows, touched = None, []
+        else:
+            stored = spark.read.option("basePath", path).parquet(f"{path}/dt={boundary}/v={own}").drop("v")
+            rows, touched = stored.where(F.col(moment) >= times.instant(limit)), [limit.date()]
+        versions.replace_days(spark, path, rows, touched, old)
+        return
     table = spark.read.parquet(path)
-    boundary = F.to_date(times.instant(limit))
-    kept = table.where((F.col("dt") == boundary) & (F.col(moment) >= times.instant(limit)))
+    kept = table.where((F.col("dt") == F.to_date(times.instant(limit))) & (F.col(moment) >= times.instant(limit)))
     kept.write.partitionBy("dt").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     # A directory listing: one entry per day kept, however large the days are.
-    for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("dt=") and name[3:] < limit.date().isoformat():
-            files.delete(entry.getPath(), True)
+    for name in files.names(spark, path):
+        if name.startswith("dt=") and name[3:] < boundary:
+            files.delete(spark, f"{path}/{name}")

@@ -1,4 +1,7 @@
-"""The tables by bucket, partitioned by day and rewritten only where buckets changed."""
+"""The tables by bucket, by day and rewritten only where buckets changed.
+
+Changes are published whole, see :mod:`vigilog.sources.versions`.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +14,18 @@ from pyspark.sql import types as T
 from vigilog.functions import times
 from vigilog import schemas
 from vigilog.operators.rollup import on_days
-from vigilog.sources import files
+from vigilog.sources import versions
 
 KEYS = ["service", "endpoint", "bucket_start"]
 
 
-def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType(schema.fields + [T.StructField("dt", T.DateType())])).parquet(path)
-
-
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, schemas.ROLLUP, path)
+    return versions.read(spark, path, schemas.ROLLUP)
 
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     """Signatures by bucket: which occurred, how often, and the first message."""
-    return _read(spark, schemas.SIGNATURES, path)
+    return versions.read(spark, path, schemas.SIGNATURES)
 
 
 def upsert_rollup(spark: SparkSession, fresh: DataFrame, dirty: DataFrame, path: str) -> None:
@@ -44,18 +43,19 @@ def _upsert(spark: SparkSession, fresh: DataFrame, dirty: DataFrame, path: str,
 
     Repeating the call with the same input gives the same table, so a retried batch is safe.
     """
-    days = dirty.select(F.to_date("bucket_start").alias("dt")).distinct()
+    days = [row.dt for row in dirty.select(F.to_date("bucket_start").alias("dt")).where("dt IS NOT NULL").distinct().collect()]
+    if not days:
+        return
+    kept = (
+        versions.read(spark, path, schema)
+        .where(on_days(dirty))
+        .join(dirty.select(F.to_date("bucket_start").alias("dt")).distinct(), "dt", "left_semi")
+        .join(dirty.select("service", "bucket_start").distinct(), ["service", "bucket_start"], "left_anti")
+    )
     rows = fresh.select(*schema.names, F.to_date("bucket_start").alias("dt"))
-    if files.exists(spark, path):
-        kept = (
-            _read(spark, schema, path)
-            .where(on_days(dirty))
-            .join(days, "dt", "left_semi")
-            .join(dirty.select("service", "bucket_start").distinct(), ["service", "bucket_start"], "left_anti")
-        )
-        rows = kept.select(*rows.columns).unionByName(rows)
+    rows = kept.select(*rows.columns).unionByName(rows)
     rows = rows.repartition("dt", "service").sortWithinPartitions("dt", *schema.names[:3])
-    rows.write.partitionBy("dt").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    versions.replace_days(spark, path, rows, days)
 
 
 def series(rollup: DataFrame, service: str, start: datetime, end: datetime) -> DataFrame:
