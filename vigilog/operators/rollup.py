@@ -231,11 +231,6 @@ def dirty_buckets(new_lines: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     return with_bucket(new_lines, bucket_seconds).select("service", "bucket_start").distinct()
 
 
-def resume_seq(stored: int | None, newest: int) -> int:
-    """Where an incremental rollup resumes; a mark beyond the table means the table is new."""
-    return 0 if stored is None or stored > newest else stored
-
-
 def coalesce_runs(dirty: DataFrame, before: Column | None = None, bucket_seconds: int = 60) -> DataFrame:
     """Distinct dirty buckets as contiguous half-open runs per service."""
     buckets = dirty.select("service", "bucket_start").distinct()

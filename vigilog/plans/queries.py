@@ -507,14 +507,14 @@ def capped_lines(d: Derived) -> DataFrame:
 
 @registered
 def sample_even(d: Derived) -> DataFrame:
-    rows = d.table("events").withColumn("day", F.to_date("ts"))
-    return sampling.sample_evenly(rows, ["event_type"], [F.col("ts"), F.col("event_id")], 37, "day").select("event_type", "event_id")
+    rows = d.table("events").withColumn("minute", F.date_trunc("minute", "ts"))
+    return sampling.sample_evenly(rows, ["event_type"], [F.col("ts"), F.col("event_id")], 37, "minute").select("event_type", "event_id")
 
 
 @registered
 def sample_diverse(d: Derived) -> DataFrame:
-    rows = d.lines.withColumn("shape", F.coalesce("error_signature", "endpoint")).withColumn("day", F.to_date("timestamp"))
-    picked = sampling.sample_diverse(rows, ["service"], [F.col("timestamp"), F.col("ingest_seq")], "shape", 40, "day")
+    rows = d.lines.withColumn("shape", F.coalesce("error_signature", "endpoint")).withColumn("minute", F.date_trunc("minute", "timestamp"))
+    picked = sampling.sample_diverse(rows, ["service"], [F.col("timestamp"), F.col("ingest_seq")], "shape", 40, "minute")
     return picked.select("service", "shape", "ingest_seq")
 
 
