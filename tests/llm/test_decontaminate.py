@@ -83,6 +83,32 @@ def test_jumps_skip_most_places():
     assert group.least > 60 and (group.shift == group.least - 7).mean() > 0.99
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_windows_with_one_hash_stay_apart(spark, monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(decontaminate, "_hashes", lambda data, start, end: decontaminate.np.zeros(len(start), "uint64"))
+    shared = " ".join(f"word{i}" for i in range(20))
+    items = [(f"i{k}", f"own{k} " + shared + f" end{k}") for k in range(30)]
+    docs = [(k, f"x {items[k][1]} y", None, k) for k in range(5)] + [(9, shared, None, 9), (8, "word1 word2", None, 8)]
+    d, b = frames(spark, docs, items)
+    check(decontaminate.find_contamination(d, b).collect(), docs, items)
+
+
+def test_memory_of_a_pass():
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    rows = [(f"i{k}", " ".join(rng.choice(words) for _ in range(60))) for k in range(3000)]
+    size = sum(len(text) for _, text in rows)
+    tracemalloc.start()
+    patterns = decontaminate.Patterns.of(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * size and len(pickle.dumps(patterns, 5)) < 25 * size
+
+
 def test_query_matches_sql(spark):
     import duckdb
 

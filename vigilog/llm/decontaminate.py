@@ -4,15 +4,16 @@ Test strings are windows of 13 consecutive words of a benchmark item (a shorter
 window), written as bytes with a blank around each word; a text is written the same way, so a
 window occurs in the text where its bytes do. For a set of windows with at least m bytes, a shift
 table over blocks of B bytes tells how far the search may jump, blocks that end some window's
-first m bytes lead to the windows by a hash of that suffix, and the bytes are compared directly.
-Many places of a batch of texts are advanced at once with numpy, each by its own jumps.
+first m bytes lead to the windows by a hash of that suffix and of the first block, and the bytes are
+compared directly. Many places of a batch of texts are advanced at once with numpy, each by its own
+jumps. Windows are places in one buffer of the items' bytes, and all tables are flat arrays.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from vigilog.llm import common
 
 WORDS = 13
 #: Benchmark text searched for by one pass of a task. More text makes more passes, each bounded.
-PASS_BYTES = 16 << 20
-_TABLE_BITS = 20
+PASS_BYTES = 8 << 20
+#: Slots of a shift table: four for each byte of the windows, within these powers of two.
+_TABLE_BITS = (16, 24)
 #: Windows are searched in groups by length in bytes, so that a short one shortens no other's jumps.
 _LENGTHS = (1, 8, 16, 32)
 _LANE = 512
@@ -60,14 +62,16 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, starts
 
 
-def windows(text: str | None, words: int = WORDS) -> list[bytes]:
-    """The windows of an item, each with a blank around every word."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    found = spaced(raw, np.array([0, len(raw)]))[0].tobytes().split()
-    if not found:
-        return []
-    n = max(1, len(found) - words + 1)
-    return [b" " + b" ".join(found[i : i + words]) + b" " for i in range(n)]
+def _windows(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, number of words and text of all windows of spaced texts, blanks around them included."""
+    blanks = np.flatnonzero(data == 32)
+    first = np.searchsorted(blanks, starts[:-1])
+    n_words = np.searchsorted(blanks, starts[1:]) - first - 1
+    many = np.where(n_words > 0, np.maximum(1, n_words - words + 1), 0)
+    text = np.repeat(np.arange(len(many)), many)
+    lead = np.repeat(first, many) + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    size = np.minimum(n_words, words)[text]
+    return blanks[lead], blanks[lead + size] + 1, size, text
 
 
 def _blocks(data: np.ndarray, width: int) -> np.ndarray:
@@ -78,8 +82,47 @@ def _blocks(data: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _slots(blocks: np.ndarray) -> np.ndarray:
-    return (blocks * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(blocks: np.ndarray, bits: int) -> np.ndarray:
+    return (blocks * _ODD) >> np.uint64(64 - bits)
+
+
+def _suffix_keys(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of the last and the first block of a window's head."""
+    mixed = (last * _ODD) ^ (first * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each range of the buffer, modulo 2^64."""
+    base = 0xD6E8FEB86659FD93
+    values = np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64)[data]
+
+    def powers(b: int) -> np.ndarray:
+        steps = np.full(len(data), b, np.uint64)
+        steps[:1] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
+    values *= powers(base)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    found = sums[end] - sums[start]
+    del values, sums
+    return found * powers(pow(base, -1, 1 << 64))[start]
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each window the number of the first one with the same bytes."""
+    hashes = _hashes(data, start, end)
+    _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    same = first[code]
+    raw = data.tobytes()
+    for i in np.flatnonzero(same != np.arange(len(same))).tolist():
+        j = same[i]
+        if raw[start[i] : end[i]] != raw[start[j] : end[j]]:
+            same[i] = i  # the hash alone was equal; the window stands for itself
+    return same
 
 
 @dataclass
@@ -88,53 +131,65 @@ class Group:
 
     least: int
     width: int
+    bits: int
     shift: np.ndarray
-    suffixes: np.ndarray  # sorted blocks that end the first ``least`` bytes of a window
-    members: list[list[int]] = field(default_factory=list)
+    suffixes: np.ndarray  # sorted keys of the first and last block of the first ``least`` bytes
+    bounds: np.ndarray  # where each key's windows begin in ``members``
+    members: np.ndarray
 
 
 @dataclass
 class Patterns:
-    """Distinct windows, the items that have them, and how to search for them."""
-
-    texts: list[bytes]
-    words: list[int]
-    items: list[list[str]]
+    """Distinct windows as places in a buffer, the items that have them, and how to search for them."""
+
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    names: list[str]
+    owner_bounds: np.ndarray  # where each window's items begin in ``owners``
+    owners: np.ndarray
     groups: list[Group]
 
     @staticmethod
     def of(rows: list[tuple[str, str | None]], words: int = WORDS) -> Patterns:
         """From (item id, text); windows of a null or wordless text do not exist."""
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in rows:
-            for window in windows(text, words):
-                owners[window].add(item)
-        texts = sorted(owners)
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for i, text in enumerate(texts):
-            by_length[max(n for n in _LENGTHS if n <= len(text))].append(i)
+        raw = [(text or "").encode() for _, text in rows]
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) for t in raw], dtype=np.int64)))
+        data, starts = spaced(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        names = sorted({item for item, _ in rows})
+        number = {name: i for i, name in enumerate(names)}
+        start, end, size, text = _windows(data, starts, words)
+        kept, code = np.unique(_distinct(data, start, end), return_inverse=True)
+        pairs = np.unique(code * len(names) + np.array([number[item] for item, _ in rows], np.int64)[text])
+        start, end, size = start[kept], end[kept], size[kept]
+        length = np.searchsorted(_LENGTHS, end - start, side="right")
+        groups = [Patterns._group(data, start, np.flatnonzero(length == k), end - start) for k in np.unique(length)]
         return Patterns(
-            texts,
-            [text.count(b" ") - 1 for text in texts],
-            [sorted(owners[text]) for text in texts],
-            [Patterns._group(texts, members) for _, members in sorted(by_length.items())],
+            data.tobytes(), start.astype(np.int32), end.astype(np.int32), size.astype(np.int32), names,
+            np.searchsorted(pairs, np.arange(len(kept) + 1) * max(len(names), 1)).astype(np.int32),
+            (pairs % max(len(names), 1)).astype(np.int32), groups,
         )
 
     @staticmethod
-    def _group(texts: list[bytes], members: list[int]) -> Group:
-        least = min(len(texts[i]) for i in members)
+    def _group(data: np.ndarray, start: np.ndarray, members: np.ndarray, length: np.ndarray) -> Group:
+        least = int(length[members].min())
         width = min(8, least)
-        heads = np.frombuffer(b"".join(texts[i][:least] for i in members), np.uint8)
-        shift = np.full(1 << _TABLE_BITS, least - width + 1, np.uint8 if least < 256 else np.int32)
-        blocks = _blocks(heads, width).reshape(len(members), least)
-        for place in range(width - 1, least):
-            slots = _slots(blocks[:, place])
-            np.minimum.at(shift, slots, least - 1 - place)
-        suffixes, codes = np.unique(blocks[:, -1], return_inverse=True)
-        buckets: list[list[int]] = [[] for _ in suffixes]
-        for i, code in zip(members, codes.tolist(), strict=True):
-            buckets[code].append(i)
-        return Group(least, width, shift, suffixes, buckets)
+        bits = int(np.clip(np.ceil(np.log2(4 * min(len(members) * least, len(data)))), *_TABLE_BITS))
+        shift = np.full(1 << bits, least - width + 1, np.uint8 if least < 256 else np.int32)
+        blocks, at = _blocks(data, width), start[members]
+        for place in range(width - 1, least):  # each place allows a smaller jump than those before it
+            shift[_slots(blocks[at + place], bits)] = least - 1 - place
+        keys = _suffix_keys(blocks[at + least - 1], blocks[at + width - 1])
+        order = np.argsort(keys, kind="stable")
+        suffixes, bounds = np.unique(keys[order], return_index=True)
+        return Group(
+            least, width, bits, shift, suffixes,
+            np.append(bounds, len(members)).astype(np.int32), members[order].astype(np.int32),
+        )
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.owners[self.owner_bounds[window] : self.owner_bounds[window + 1]].tolist()]
 
     def occurrences(self, data: np.ndarray) -> tuple[list[int], list[int]]:
         """Places in ``data`` where a window starts, and which window."""
@@ -150,8 +205,8 @@ class Patterns:
             blocks = by_width[group.width]
             for end, code in zip(*self._candidates(group, blocks), strict=True):
                 start = end - group.least + 1
-                for i in group.members[code]:
-                    if raw.startswith(self.texts[i], start):
+                for i in group.members[group.bounds[code] : group.bounds[code + 1]].tolist():
+                    if raw.startswith(self.data[self.start[i] : self.end[i]], start):
                         places.append(start)
                         found.append(i)
         return places, found
@@ -167,12 +222,13 @@ class Patterns:
         ends, codes = [], []
         while len(at):
             here = blocks[at]
-            jump = group.shift[_slots(here)]
+            jump = group.shift[_slots(here, group.bits)]
             maybe = np.flatnonzero(jump == 0)
             if len(maybe):
-                code = np.searchsorted(group.suffixes, here[maybe])
+                keys = _suffix_keys(here[maybe], blocks[at[maybe] - group.least + group.width])
+                code = np.searchsorted(group.suffixes, keys)
                 code[code == len(group.suffixes)] = 0
-                real = group.suffixes[code] == here[maybe]
+                real = group.suffixes[code] == keys
                 ends += at[maybe][real].tolist()
                 codes += code[real].tolist()
             at = at + np.maximum(jump, 1)
@@ -222,8 +278,8 @@ def _search(docs: DataFrame, patterns: Broadcast[Patterns], text: str, again: bo
             rank = np.searchsorted(starts, places, side="right") - 1
             for place, i, r in zip(places, found, rank.tolist(), strict=True):
                 word = int(blanks[place] - lead[r])
-                hits[first + r].append((word, word + search.words[i]))
-                items[first + r].update(search.items[i])
+                hits[first + r].append((word, word + int(search.words[i])))
+                items[first + r].update(search.items(i))
         if earlier:
             for r, (old_hits, old_items) in enumerate(zip(*(x.to_pylist() for x in earlier), strict=True)):
                 hits[r] += [(x["first"], x["last"]) for x in old_hits]
