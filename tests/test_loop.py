@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.errors import StreamingQueryException
 
@@ -102,3 +104,27 @@ def test_pruning_runs_once_an_hour(spark, tmp_path):
     ingest_all(spark, base)
     run(spark, base, later)
     assert len(files.names(spark, f"{loop.ledger_path}/pruned")) == 1
+
+
+def test_a_loop_that_keeps_counts_ends_with_the_same_tables(spark, tmp_path):
+    """Also if it dies between adding the counts of an epoch and entering the stage."""
+    plain, counted = str(tmp_path / "plain"), str(tmp_path / "counted")
+    lines = make(plain)
+    counts = make(counted, retention=RetentionPolicy(14, 14))
+    counts = replace(counts, watch=replace(counts.watch, counts_path=f"{counted}/counts"))
+    died = []
+
+    def kill_once(stage, epoch):
+        if (stage, epoch) == ("rollup", 1) and not died:
+            died.append(epoch)
+            raise RuntimeError("killed")
+
+    for part in range(2):
+        feed(spark, plain, part)
+        run(spark, plain, lines)
+        feed(spark, counted, part)
+        if part == 1:
+            with pytest.raises(StreamingQueryException):
+                run(spark, counted, counts, kill_once)
+        run(spark, counted, counts)
+    assert died and tables(spark, lines) == tables(spark, counts)

@@ -233,3 +233,15 @@ def test_null_sha_is_an_answer_and_absent_is_not(spark):
     assert [r.anomaly_id for r in verdicts.valid_answers(parsed, "correlator").collect()] == [0]
     errors = {r.anomaly_id: r.error for r in verdicts.failed_answers(parsed).collect()}
     assert errors == {1: "suspectedCommitSha: Invalid input: expected string, received undefined", 2: "(root): no JSON object in the response"}
+
+
+def test_pages_follow_each_other(spark):
+    rows = [(f"a{i % 3}{i}", at(i // 4)) for i in range(25)]
+    table = spark.createDataFrame(rows, "anomaly_id string, detected_at timestamp")
+    expected = [i for i, t in sorted(rows, key=lambda r: (-r[1].timestamp(), r[0]))]
+    seen, after, moments = [], None, dict(rows)
+    while page := [r.anomaly_id for r in reports.newest_anomalies(table, 7, after).collect()]:
+        seen += page
+        after = moments[page[-1]], page[-1]
+        table = table.unionByName(spark.createDataFrame([(f"new{len(seen)}", at(99))], table.schema))
+    assert seen == expected

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,15 @@ def filter_anomalies(anomalies: DataFrame, filters: AnomalyFilters, now: Column)
     return out
 
 
-def newest_anomalies(anomalies: DataFrame, limit: int = 100) -> DataFrame:
+def newest_anomalies(anomalies: DataFrame, limit: int = 100, after: tuple[datetime, str] | None = None) -> DataFrame:
+    """A page of anomalies, newest first; ``after`` is the (detected_at, anomaly_id) that the page before ended with.
+
+    Pages stay apart and complete while new anomalies come in, as a place is named and not counted.
+    """
+    if after is not None:
+        moment, anomaly_id = times.instant(after[0]), after[1]
+        later = (F.col("detected_at") == moment) & (F.col("anomaly_id") > anomaly_id)
+        anomalies = anomalies.where((F.col("detected_at") < moment) | later)
     return anomalies.orderBy(F.col("detected_at").desc(), F.col("anomaly_id")).limit(limit)
 
 
@@ -279,13 +288,13 @@ def timeline_ranges(anomalies: DataFrame, bucket_seconds: int = 60) -> DataFrame
 
 def timeline_page(
     anomalies: DataFrame, rollup_rows: DataFrame, filters: AnomalyFilters, now: Column,
-    limit: int = 100, bucket_seconds: int = 60,
+    limit: int = 100, bucket_seconds: int = 60, after: tuple[datetime, str] | None = None,
 ) -> DataFrame:
-    """The newest matching anomalies, each with the sparkline around its window.
+    """A page of matching anomalies (see :func:`newest_anomalies`), each with the sparkline around its window.
 
     A sparkline has a fixed greatest length, so the collected lists are small.
     """
-    rows = newest_anomalies(filter_anomalies(anomalies, filters, now), limit)
+    rows = newest_anomalies(filter_anomalies(anomalies, filters, now), limit, after)
     grid = bucket_grid(timeline_ranges(rows, bucket_seconds), rollup_rows, bucket_seconds)
     lines = grid.groupBy("anomaly_id").agg(
         F.array_sort(F.collect_list(F.struct("bucket_start", "requests", "errors", "p95"))).alias("sparkline")

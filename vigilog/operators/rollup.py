@@ -24,18 +24,18 @@ MOST_VALUES = 1 << 18
 CELLS = 4096
 
 
-def _interpolated(low: Column, high: Column, n: Column, p: float) -> Column:
+def interpolated(low: Column, high: Column, n: Column, p: float) -> Column:
     """Linear interpolation between the values below and above the position of a percentile."""
-    rank = _rank(n, p)
+    rank = rank_of(n, p)
     return low + (high - low) * (rank - F.floor(rank))
 
 
-def _rank(n: Column, p: float) -> Column:
+def rank_of(n: Column, p: float) -> Column:
     """Fractional position of a percentile among ``n`` sorted values, from 0."""
     return (n - 1) * F.lit(min(max(p, 0.0), 1.0))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Equal keys; null is a key like others."""
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
 
@@ -48,9 +48,9 @@ def hot_keys(values: DataFrame, keys: list[str], value: str, most_values: int) -
 
 def percentile_of(values: Column, p: float) -> Column:
     """Percentile of a sorted array without nulls; null if it is empty."""
-    rank = _rank(F.size(values), p)
+    rank = rank_of(F.size(values), p)
     low, high = (F.get(values, place.cast("int")) for place in (F.floor(rank), F.ceil(rank)))
-    return _interpolated(low, high, F.size(values), p)
+    return interpolated(low, high, F.size(values), p)
 
 
 def _by_arrays(values: DataFrame, keys: list[str], value: str, percentiles: dict[str, float], sums: list[Column]) -> DataFrame:
@@ -77,15 +77,19 @@ def _cell(value: Column, low: Column, high: Column, first: bool) -> Column:
     )
 
 
-def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(
+    values: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], many: str | None = None
+) -> DataFrame:
     """The values at given positions (from 0, in terms of ``_n``, the key's count) by selection.
 
+    A row stands for as many values as the column ``many`` says, without it for one.
+
     Equal values are counted. Then the range that holds a wanted position is cut into cells, the
     cells are counted, and only the one with the position is cut again, until it holds one value.
     A step orders at most ``CELLS`` counts of a key, never its values, and its counting combines in
     the tasks, so one key may hold all rows. Each step narrows a range at least 4096-fold.
     """
-    counted = staged(values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_many")))
+    counted = staged(values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg((F.count("*") if many is None else F.sum(many)).alias("_many")))
     finite = F.when(~F.isnan("_value") & (F.abs("_value") != float("inf")), F.col("_value"))
     spans = counted.groupBy(*keys).agg(
         F.sum("_many").alias("_n"), F.min(finite).alias("_low"), F.max(finite).alias("_high")
@@ -128,12 +132,12 @@ def _by_cells(values: DataFrame, keys: list[str], value: str, percentiles: dict[
     """Percentiles of hot keys, which have at least one value."""
     ranks: dict[str, Column] = {}
     for name, p in percentiles.items():
-        rank = _rank(F.col("_n"), p)
+        rank = rank_of(F.col("_n"), p)
         ranks |= {f"_low_{name}": F.floor(rank), f"_high_{name}": F.ceil(rank)}
     found = order_statistics(values, keys, value, ranks)
     picked = found.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[_interpolated(F.col(f"_low_{n}"), F.col(f"_high_{n}"), F.col("_n"), p).alias(n) for n, p in percentiles.items()],
+        *[interpolated(F.col(f"_low_{n}"), F.col(f"_high_{n}"), F.col("_n"), p).alias(n) for n, p in percentiles.items()],
     )
     if not sums:
         return picked.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *percentiles)
@@ -153,8 +157,8 @@ def percentiles_with(
     hot = hot_keys(values, keys, value, most_values)
     if hot is None:
         return _by_arrays(values, keys, value, percentiles, sums)
-    few = values.join(hot, _same(values, hot, keys), "left_anti")
-    many = values.join(hot, _same(values, hot, keys), "left_semi")
+    few = values.join(hot, same_keys(values, hot, keys), "left_anti")
+    many = values.join(hot, same_keys(values, hot, keys), "left_semi")
     rest = _by_arrays(few, keys, value, percentiles, sums)
     return rest.unionByName(_by_cells(many, keys, value, percentiles, sums))
 

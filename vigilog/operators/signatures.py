@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilog import schemas
 from vigilog.config import DetectionConfig
 from vigilog.functions import times
 from vigilog.operators.frames import spread_over_chunks
+from vigilog.sources.increments import Increments
 from vigilog.sources.logs import with_bucket
 
 
@@ -141,3 +143,17 @@ def stored_buckets(lines: DataFrame, bucket_seconds: int) -> DataFrame:
         .groupBy("bucket_start", "service", "error_signature")
         .agg(F.count(F.lit(1)).alias("n"), first_message().alias("first"))
     )
+
+
+def merge_buckets(buckets: DataFrame) -> DataFrame:
+    """One row for all rows of a (service, signature, bucket)."""
+    return (
+        buckets.groupBy("bucket_start", "service", "error_signature")
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        .select(*schemas.SIGNATURES.names)
+    )
+
+
+def signature_increments(path: str, every: int = 32) -> Increments:
+    """Signatures by bucket as a table that new lines are added to."""
+    return Increments(path, schemas.SIGNATURES, merge_buckets, every)

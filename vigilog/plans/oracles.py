@@ -965,6 +965,11 @@ SELECT anomaly_id, service, detected_at FROM anomalies WHERE NOT is_real_inciden
 ORDER BY detected_at DESC, anomaly_id LIMIT 100""",
     S.ANOMALIES,
 )
+add(
+    "timeline_second_page",
+    "SELECT anomaly_id, service, detected_at FROM anomalies ORDER BY detected_at DESC, anomaly_id LIMIT 10 OFFSET 10",
+    S.ANOMALIES,
+)
 add(
     "timeline_silent",
     f"""
@@ -1128,13 +1133,14 @@ SELECT count(*) FILTER (WHERE answered) AS total, count(*) FILTER (WHERE answere
 ORACLES["reread_batches"] = ORACLES["deduplicated_batches"]
 ORACLES["reread_commits"] = ORACLES["parsed_commits"]
 ORACLES["stored_lines"] = ORACLES["accepted_lines"]
-ORACLES["upserted_rollup"] = ORACLES["rollup_service_endpoint"]
+ORACLES["upserted_rollup"] = ORACLES["counted_rollup"] = ORACLES["rollup_service_endpoint"]
 add("pruned_rollup", "SELECT * FROM rollup WHERE bucket_start >= TIMESTAMP '2024-01-15 12:00:00'", S.ROLLUP)
 add(
     "stored_signatures",
     "SELECT bucket_start, service, error_signature, n, first_message AS message FROM sig_buckets",
     S.SIGNATURES,
 )
+ORACLES["counted_signatures"] = ORACLES["stored_signatures"]
 add(
     "stored_incidents",
     "SELECT anomaly_id, window_start, window_end, CASE WHEN firing_count > 1 THEN 'resolved' ELSE 'open' END AS status FROM incidents",

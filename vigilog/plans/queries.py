@@ -882,6 +882,18 @@ def timeline_silent(d: Derived) -> DataFrame:
     return reports.newest_anomalies(reports.filter_anomalies(d.anomalies, filters, now())).select("anomaly_id", "service")
 
 
+@registered
+def timeline_second_page(d: Derived) -> DataFrame:
+    """The ten anomalies that follow the ten newest."""
+    page = reports.newest_anomalies(d.anomalies, 10).select(F.unix_micros("detected_at").alias("at"), "anomaly_id").collect()
+    if page:
+        last = datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=page[-1]["at"]), page[-1]["anomaly_id"]
+        rows = reports.newest_anomalies(d.anomalies, 10, last)
+    else:
+        rows = d.anomalies
+    return rows.select("anomaly_id", "service", "detected_at")
+
+
 @registered
 def timeline_page(d: Derived) -> DataFrame:
     page = reports.timeline_page(d.anomalies, d.rollup, reports.AnomalyFilters(), now(), bucket_seconds=BUCKET)

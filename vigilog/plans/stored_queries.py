@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vigilog import schemas
 from vigilog.functions import triggers as T
 from vigilog.operators import ingest, reports, rollup, signatures
+from vigilog.operators.latency_counts import count_latencies, latency_table, rollup_of_counts
 from vigilog.plans.derived import BUCKET, Derived
 from vigilog.plans.queries import NOW_AT, accepted_columns, commit_columns, git_export, joined, posted_batches, registered, validated_entries
 from vigilog.sources import commits as commit_source
@@ -78,6 +79,30 @@ def upserted_rollup(d: Derived) -> DataFrame:
     return rollups.read_rollup(d.spark, path).drop("dt")
 
 
+def counted_parts(d: Derived) -> list[DataFrame]:
+    """The lines in three parts, each of which reaches into the buckets of the others."""
+    return [d.lines.where(F.col("ingest_seq") % 3 == part) for part in range(3)]
+
+
+@registered
+def counted_rollup(d: Derived) -> DataFrame:
+    """The rollup from stored counts: three epochs, one of them merged into days, one tried twice."""
+    table = latency_table(folder(d), every=1)
+    for epoch, lines in enumerate(counted_parts(d)):
+        for _ in range(1 + (epoch == 2)):
+            table.add(d.spark, count_latencies(lines, BUCKET), epoch)
+    return rollup_of_counts(table.rows_of(d.spark, rollup.dirty_buckets(d.lines, BUCKET)))
+
+
+@registered
+def counted_signatures(d: Derived) -> DataFrame:
+    """Signatures by bucket, kept in the same way."""
+    table = signatures.signature_increments(folder(d), every=1)
+    for epoch, lines in enumerate(counted_parts(d)):
+        table.add(d.spark, signatures.stored_buckets(lines, BUCKET), epoch)
+    return table.read(d.spark).select("bucket_start", "service", "error_signature", "n", F.col("first.message").alias("message"))
+
+
 @registered
 def pruned_rollup(d: Derived) -> DataFrame:
     """What retention leaves of a stored rollup."""

@@ -37,6 +37,12 @@ ROLLUP = _struct(
     ("p50_ms", _L, False), ("p95_ms", _L, False), ("p99_ms", _L, False),
 )
 
+# How many lines, and how many errors, of an endpoint had a latency in a bucket.
+LATENCIES = _struct(
+    ("bucket_start", _TS, False), ("service", _S, False), ("endpoint", _S, False),
+    ("latency_ms", _D, True), ("requests", _L, False), ("errors", _L, False),
+)
+
 # How often a signature occurred in a bucket, and the first message with it.
 SIGNATURES = _struct(
     ("bucket_start", _TS, False), ("service", _S, False), ("error_signature", _S, False), ("n", _L, False),

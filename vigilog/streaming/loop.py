@@ -27,7 +27,7 @@ from vigilog.sources.logs import project_lines, read_logs, scan_logs
 from vigilog.sources.retention import prune, retention_cutoffs
 from vigilog.sources.rollups import read_rollup
 from vigilog.sources.staging import stages
-from vigilog.streaming.rollup import recompute_dirty
+from vigilog.streaming.rollup import add_to_counts, prune_counts, recompute_dirty
 from vigilog.streaming.watch import STEPS, Watch, record, run_detection
 
 
@@ -84,7 +84,11 @@ def _overwrite_epoch(rows: DataFrame, epoch: int, path: str) -> None:
 
 def _rollup(loop: Loop, batch: DataFrame, epoch: int) -> None:
     watch = loop.watch
-    step = recompute_dirty(watch.config.bucket_seconds, watch.logs_path, watch.rollup_path, watch.signatures_path)
+    seconds = watch.config.bucket_seconds
+    if watch.counts_path is not None:
+        step = add_to_counts(seconds, watch.counts_path, watch.rollup_path, watch.signatures_path)
+    else:
+        step = recompute_dirty(seconds, watch.logs_path, watch.rollup_path, watch.signatures_path)
     step(batch, epoch)
 
 
@@ -152,6 +156,8 @@ def _prune(loop: Loop, batch: DataFrame, epoch: int) -> None:
     if not files.exists(spark, f"{watch.logs_path}/_spark_metadata"):
         prune(spark, watch.logs_path, "timestamp", limits["logs"])
     prune(spark, watch.rollup_path, "bucket_start", limits["rollups"])
+    if watch.counts_path is not None and None not in limits.values():
+        prune_counts(spark, watch.counts_path, min(limits.values()), epoch)
     before = files.names(spark, folder)
     files.mark(spark, f"{folder}/{hour}")
     for name in before:

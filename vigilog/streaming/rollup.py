@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilog.functions import text
 from vigilog.functions.numbers import round_half_up
+from vigilog.operators.latency_counts import count_latencies, latency_table, rollup_of_counts
 from vigilog.operators.rollup import PERCENTILES, dirty_buckets, lines_of_dirty, percentile_of, rollup_dirty
-from vigilog.operators.signatures import stored_buckets
+from vigilog.operators.signatures import signature_increments, stored_buckets
 from vigilog.sources.logs import project_lines, read_logs
 from vigilog.sources.rollups import upsert_rollup, upsert_signatures
 
@@ -65,15 +67,52 @@ def recompute_dirty(
     return step
 
 
+def add_to_counts(
+    bucket_seconds: int, counts_path: str, rollup_path: str, signatures_path: str | None = None, every: int = 32
+) -> Callable[[DataFrame, int], None]:
+    """Micro-batch step with the results of :func:`recompute_dirty` that reads no line but the new ones.
+
+    Counts of latencies, and of signatures, are kept by bucket in tables under ``counts_path``. The
+    new lines are counted and added under their epoch; dirty buckets are then computed from the
+    counts of these buckets. A repeated epoch replaces what it had added. The stream must begin with
+    the first line of the log table.
+    """
+    latencies = latency_table(f"{counts_path}/latencies", every)
+    stored = signature_increments(f"{counts_path}/signatures", every)
+
+    def step(new_logs: DataFrame, epoch: int) -> None:
+        spark = new_logs.sparkSession
+        dirty = dirty_buckets(new_logs, bucket_seconds)
+        lines = project_lines(new_logs)
+        latencies.add(spark, count_latencies(lines, bucket_seconds), epoch)
+        upsert_rollup(spark, rollup_of_counts(latencies.rows_of(spark, dirty, epoch)), dirty, rollup_path)
+        if signatures_path is not None:
+            stored.add(spark, stored_buckets(lines, bucket_seconds), epoch)
+            upsert_signatures(spark, stored.rows_of(spark, dirty, epoch), dirty, signatures_path)
+
+    return step
+
+
+def prune_counts(spark: SparkSession, counts_path: str, before: datetime, epoch: int) -> None:
+    """Drop the days of the counts that end before an instant, in the step of an epoch."""
+    for table in (latency_table(f"{counts_path}/latencies"), signature_increments(f"{counts_path}/signatures")):
+        table.fold(spark, epoch - 1, before.date())
+
+
 def start_rollup(
     logs: DataFrame, logs_path: str, rollup_path: str, checkpoint: str, bucket_seconds: int = 60,
-    then: Callable[[DataFrame, int], None] | None = None, signatures_path: str | None = None, **trigger,
+    then: Callable[[DataFrame, int], None] | None = None, signatures_path: str | None = None,
+    counts_path: str | None = None, **trigger,
 ) -> StreamingQuery:
     """Keep the rollup table up to date with a stream of stored log rows.
 
+    With ``counts_path`` dirty buckets come from stored counts and not from their lines.
     ``then`` runs after the rollup of each micro-batch, see :mod:`vigilog.streaming.watch`.
     """
-    recompute = recompute_dirty(bucket_seconds, logs_path, rollup_path, signatures_path)
+    if counts_path is not None:
+        recompute = add_to_counts(bucket_seconds, counts_path, rollup_path, signatures_path)
+    else:
+        recompute = recompute_dirty(bucket_seconds, logs_path, rollup_path, signatures_path)
 
     def step(batch: DataFrame, epoch: int) -> None:
         recompute(batch, epoch)

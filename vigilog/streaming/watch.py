@@ -50,6 +50,8 @@ class Watch:
     config: DetectionConfig = field(default_factory=DetectionConfig)
     # Where the rollup step stores signatures by bucket; without it a run reads the lines in reach.
     signatures_path: str | None = None
+    # Where the rollup step keeps counts, so that late lines reread no earlier ones.
+    counts_path: str | None = None
     # The wall clock of a run, with time zone, for silence; without it that detector does not run.
     clock: Callable[[], datetime] | None = None
 
