@@ -112,6 +112,72 @@ def test_best_threshold():
     assert toxicity.best_threshold(s, y * 0, w) is None
 
 
+def test_long_texts_are_learnt_from(spark):
+    long = "a" * 140_000
+    docs = [(i, f"zorblax {long}" if i % 3 == 0 else f"calm {long}", "en") for i in range(30)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic"))
+    found = toxicity.score(docs.selectExpr("doc_id", "left(text, 7) as text", "lang"), model).collect()
+    assert all((r.toxic_score >= 0.5) == (r.doc_id % 3 == 0) for r in found)
+
+
+def test_every_labelled_row_is_in_one_shard(spark):
+    docs, labels = frames(spark, 300)
+    twice = docs.union(docs.selectExpr("doc_id", "concat('~', text)", "lang", "toxic_flag"))
+    labelled = twice.selectExpr("doc_id as _key", "coalesce(text, '') as text", "lang").join(
+        labels.where("toxic is not null").selectExpr("doc_id as _key", "toxic as _label").dropDuplicates(["_key"]), "_key"
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = toxicity._known(labelled, 4, 7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r._shard for r in rows} == {0, 1, 2, 3} and sum(r._held for r in rows) > 20
+
+    def stored(text):
+        return toxicity.word_rows(*spans([text]))[0].tobytes()
+
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 300").collect()}
+    want = [stored(texts[r.doc_id]) for r in labels.where("toxic is not null and doc_id < 300").dropDuplicates(["doc_id"]).collect()]
+    assert sorted(bytes(r._rows) for r in rows) == sorted(want)
+
+
+def test_several_shards_learn_together(spark):
+    docs, labels = frames(spark, 150)
+    model = toxicity.train(docs, labels, shard_bytes=1500)
+    rows = [r for r in toxicity.score(docs, model).collect() if r.text]
+    assert all((r.toxic_score >= 0.5) == ("fool" in r.text) for r in rows)
+
+
+def test_long_texts_are_cut_into_slices(monkeypatch):
+    model = trained()
+    texts = ["one two three four five six seven", "", "one", "four five six seven eight nine ten eleven twelve"]
+    known = [toxicity.word_rows(*spans([t]))[0] for t in texts]
+    top, best = toxicity._pooled(model, known)
+    assert top @ model.weights + model.constant == pytest.approx(toxicity.logits(model, *spans(texts)), abs=1e-4)
+    for size in (1, 2, 4, 11):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        cut, places = toxicity._pooled(model, known)
+        assert cut == pytest.approx(top, abs=1e-5) and np.array_equal(places, best)
+
+
+def test_cuts_match_best_threshold(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CELLS", 7)
+    random = np.random.default_rng(5)
+    raw = np.round(random.normal(0, 1, 400), 1)
+    y = (raw + random.normal(0, 1, 400) > 0.8).astype(int)
+    langs = [("en", "fr", None, "xx")[i % 4] for i in range(400)]
+    y[3::4] = 0
+    rows = [(float(a), int(b), c) for a, b, c in zip(raw, y, langs, strict=True)]
+    found = toxicity.cuts(spark.createDataFrame(rows, "raw double, y int, lang string")).collect()
+    want = {(True, ""): np.ones(400, bool)} | {(False, n or ""): np.array([x == n for x in langs]) for n in ("en", "fr", None)}
+    assert {(r.every, r.lang) for r in found} == set(want)
+    for r in found:
+        part = want[r.every, r.lang]
+        limit = toxicity.best_threshold(raw[part], y[part], np.ones(part.sum()))
+        assert (r.raw + (r.below or 0)) / 2 == pytest.approx(limit)
+
+
 def test_held_out_accuracy(spark):
     from vigilog.llm.queries import QUERIES
 
