@@ -72,3 +72,9 @@ def test_a_path_over_the_limit_is_a_reject(spark):
     frame = spark.createDataFrame([(f"{RECORD}{header}{RECORD}\n1\t2\t{'p' * 401}\n" + export(1),)], "value string")
     assert [r.sha for r in commits.parse_git_log(frame).collect()] == ["0" * 40]
     assert [r.reason for r in commits.oversized_commits(frame).collect()] == ["files: a path over 400 characters"]
+
+
+def test_every_record_is_parsed_once(spark):
+    frame = spark.createDataFrame([(export(3),)], "value string")
+    plan = commits.parse_git_log(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr(") == 1 and plan.count("bad file line") == 1

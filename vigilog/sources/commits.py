@@ -22,9 +22,18 @@ def _fail(message: str, detail: Column) -> Column:
     return F.raise_error(F.concat(F.lit(message), detail))
 
 
-def split_tail(chunk: Column) -> Column:
+def _once(frame: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, each worked out once a row: a plain projection is repeated for every later use."""
+    return frame.select(F.inline(F.array(F.struct(*columns))))
+
+
+def patch_place(chunk: Column) -> Column:
+    """Where the first patch header is, from 1; 0 without one."""
+    return F.regexp_instr(chunk, F.lit(r"(?m)^diff --git "))
+
+
+def split_tail(chunk: Column, at: Column) -> Column:
     """``struct(numstat, diff)``: what follows a header, cut at the first patch header."""
-    at = F.regexp_instr(chunk, F.lit(r"(?m)^diff --git "))
     return F.struct(
         F.when(at > 0, F.substring(chunk, F.lit(1), at - 1)).otherwise(chunk).alias("numstat"),
         F.when(at > 0, trim_end(F.substring(chunk, at, F.length(chunk))))
@@ -82,9 +91,13 @@ def _parsed(records: DataFrame) -> DataFrame:
     parts = F.split(
         F.when(good, header).otherwise(_fail("commit export: bad record header: ", header)), V.GIT_UNIT, 5
     )
-    parsed = records.select(parts.alias("p"), split_tail(F.col("record.tail")).alias("t"))
+    cut = _once(
+        records, parts.alias("p"), F.col("record.tail").alias("tail"), patch_place(F.col("record.tail")).alias("patch_at")
+    )
+    parsed = _once(cut, "p", split_tail(F.col("tail"), F.col("patch_at")).alias("t"))
     at = F.try_to_timestamp(F.col("p")[1])
-    unpacked = parsed.select(
+    unpacked = _once(
+        parsed,
         F.col("p")[0].alias("sha"),
         F.coalesce(at, _fail("commit export: bad date: ", F.col("p")[1]).cast("timestamp")).alias("committed_at"),
         F.col("p")[2].alias("author"),
