@@ -142,6 +142,12 @@ def test_every_labelled_row_is_in_one_shard(spark):
     assert sorted(bytes(r._rows) for r in rows) == sorted(want)
 
 
+def test_texts_without_words_can_be_learnt_from(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(20)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic"))
+    assert len({r.toxic_score for r in toxicity.score(docs, model).collect()}) == 1
+
+
 def test_several_shards_learn_together(spark):
     docs, labels = frames(spark, 150)
     model = toxicity.train(docs, labels, shard_bytes=1500)

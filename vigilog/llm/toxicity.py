@@ -212,7 +212,7 @@ def fit(
             found, where = np.unique(np.concatenate(touched), return_inverse=True)
             sums = np.zeros((len(found), DIM), np.float32)
             pulled = np.concatenate(pulls)
-            for part in where.reshape(len(pulled), -1).T:
+            for part in where.reshape(len(pulled), 1 + len(PREFIXES)).T:
                 np.add.at(sums, part, pulled)
             rates["embeddings"].step(model.embeddings, sums, found)
     model.constant = float(constant[0])
